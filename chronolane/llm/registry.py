@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash_dedup
+from . import bpe, simhash_dedup, suffix_dedup, toxicity
 from .common import DOC_ID, TEXT, small_batches, table
 
 
@@ -35,8 +35,43 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
 
 
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    cleaned = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
+    sizes = F.transform("spans", lambda x: x["e"] - x["s"])
+    return cleaned.select(
+        DOC_ID,
+        F.octet_length(TEXT).cast("long").alias("n_bytes"),
+        F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def held_out(doc_id: str = DOC_ID) -> Column:
+    """A fifth of the ids, which no model may learn from."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    return toxicity.score(docs, model).select(
+        DOC_ID,
+        F.coalesce(held_out(), F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe": op1_bpe, "op2_simhash": op2_simhash}
+    return {
+        "op1_bpe": op1_bpe,
+        "op2_simhash": op2_simhash,
+        "op4_suffix_array": op4_suffix_array,
+        "op9_toxicity": op9_toxicity,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
