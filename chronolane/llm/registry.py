@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, simhash_dedup, suffix_dedup, toxicity
+from . import bpe, decontaminate, hilbert_shards, simhash_dedup, suffix_dedup, toxicity
 from .common import DOC_ID, TEXT, small_batches, table
 
 
@@ -48,6 +48,17 @@ def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = hilbert_shards.shards(table(spark, sf_dir, "documents"), n_shards=40)
+    return placed.select(
+        DOC_ID, "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "cell"
+    )
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def held_out(doc_id: str = DOC_ID) -> Column:
     """A fifth of the ids, which no model may learn from."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
@@ -70,6 +81,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_bpe": op1_bpe,
         "op2_simhash": op2_simhash,
         "op4_suffix_array": op4_suffix_array,
+        "op6_hilbert_shards": op6_hilbert_shards,
+        "op7_decontamination": op7_decontamination,
         "op9_toxicity": op9_toxicity,
     }
 
