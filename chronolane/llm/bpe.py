@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -33,7 +35,7 @@ from .common import DOC_ID, TEXT, texts, utf8
 #: Characters: shortest chunk, mask of the rolling hash (a cut each 2500 or so), longest chunk, hash window.
 SHORTEST, MASK, LONGEST, WINDOW = 512, 2047, 8192, 16
 #: Characters of chunk text that a task keeps with their ids.
-CACHE_CHARS = 24_000_000
+CACHE_CHARS = 8_000_000
 #: Below this code point every Unicode version classes characters alike.
 LATIN_END = 0x250
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -81,27 +83,33 @@ class Codec:
     """
 
     def __init__(self, json_path: str, ranks_path: str, pattern: str):
-        import tiktoken
-        from tokenizers import Tokenizer
-
-        self.slow = Tokenizer.from_file(json_path)
-        self.slow.no_truncation()
-        self.slow.no_padding()
+        self.json_path, self.pattern = json_path, pattern
+        with open(json_path, encoding="utf-8") as f:
+            added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
         with open(ranks_path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        added = {t.content: i for i, t in self.slow.get_added_tokens_decoder().items()}
-        self.fast = tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=added)
-        self.added = [*added]
-        size = max([*ranks.values(), *added.values()]) + 1
-        self.bytes_of = [b""] * size
-        for piece, i in ranks.items():
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.added = added
+        self.bytes_of = [b""] * (max([*self.ranks.values(), *added.values()]) + 1)
+        for piece, i in [*self.ranks.items(), *((utf8(t), i) for t, i in added.items())]:
             self.bytes_of[i] = piece
-        for piece, i in added.items():
-            self.bytes_of[i] = utf8(piece)
-        self.name_of = [str(i) for i in range(size)]
-        self.kept: dict[str, list[int]] = {}
+        self.kept: dict[str, np.ndarray] = {}
         self.kept_chars = 0
 
+    @cached_property
+    def slow(self):
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_file(self.json_path)
+        own.no_truncation()
+        own.no_padding()
+        return own
+
+    @cached_property
+    def fast(self):
+        import tiktoken
+
+        return tiktoken.Encoding("chunks", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens=self.added)
+
     def encode_piece(self, piece: str) -> list[int]:
         if _FAR.search(piece):
             return self.slow.encode(piece, add_special_tokens=False).ids
@@ -109,10 +117,10 @@ class Codec:
             return self.fast.encode(piece, allowed_special="all")
         return self.fast.encode_ordinary(piece)
 
-    def encode_chunk(self, chunk: str) -> list[int]:
+    def encode_chunk(self, chunk: str) -> np.ndarray:
         ids = self.kept.get(chunk)
         if ids is None:
-            ids = self.encode_piece(chunk)
+            ids = np.array(self.encode_piece(chunk), np.int32)
             self.kept_chars += len(chunk)
             while self.kept_chars > CACHE_CHARS and self.kept:
                 self.kept_chars -= len(oldest := next(iter(self.kept)))
@@ -120,10 +128,10 @@ class Codec:
             self.kept[chunk] = ids
         return ids
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         cuts = cut_points(text)
         if len(cuts) < 2:
-            return self.encode_chunk(text) if text else []
+            return self.encode_chunk(text) if text else np.zeros(0, np.int32)
         gaps: list[list[int]] = []
         for cut in cuts[:-1]:
             if gaps and cut <= gaps[-1][1]:
@@ -133,19 +141,19 @@ class Codec:
                 gaps[-1][1] = high
             else:
                 gaps.append([low, high])
-        out: list[int] = []
+        out: list[np.ndarray] = []
         done, edges = 0, [0, *cuts]
         for low, high in [*gaps, (len(text), len(text))]:
             if done < low:  # no cut lies between two repairs, so one chunk holds all of text[done:low]
                 start = edges[bisect_right(edges, done) - 1]
                 end = edges[bisect_left(edges, low)]
-                out += self._settled(text, start, end, done, low)
+                out.append(self._settled(text, start, end, done, low))
             if low < high:
-                out += self.encode_piece(text[low:high])
+                out.append(np.array(self.encode_piece(text[low:high]), np.int32))
             done = high
-        return out
+        return np.concatenate(out)
 
-    def _settled(self, text: str, start: int, end: int, low: int, high: int) -> list[int]:
+    def _settled(self, text: str, start: int, end: int, low: int, high: int) -> np.ndarray:
         """The tokens of chunk text[start:end] that spell text[low:high].
 
         If the chunk's tokens don't end exactly at low and high, old and new
@@ -162,7 +170,7 @@ class Codec:
             last -= 1
             right -= len(self.bytes_of[ids[last]])
         if left or right:
-            return self.encode_piece(text[low:high])
+            return np.array(self.encode_piece(text[low:high]), np.int32)
         return ids[first:last]
 
     def decode(self, ids: list[int]) -> str:
@@ -218,7 +226,7 @@ def encode(docs: DataFrame, vocabulary: tuple[str, str, str]) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 ids = whole.get(text)
                 if ids is None:
-                    ids = whole[text] = np.array(own.encode(text), np.int32)
+                    ids = whole[text] = own.encode(text)
                 parts.append(ids)
             offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
             values = np.concatenate(parts) if parts else np.zeros(0, np.int32)

@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, hilbert_shards, simhash_dedup, suffix_dedup, toxicity
+from . import (
+    bpe,
+    decontaminate,
+    hilbert_shards,
+    html_extract,
+    licenses,
+    media,
+    simhash_dedup,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
 from .common import DOC_ID, TEXT, small_batches, table
 
 
@@ -35,6 +46,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=4, radius=4)
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select(
+        F.col(DOC_ID).alias("file_id"),
+        F.concat_ws("/", F.coalesce("source", F.lit("none")), F.coalesce("lang", F.lit("none")), F.col(DOC_ID)).alias("path"),
+        TEXT,
+    )
+    return licenses.scan(files, licenses.templates(spark)).withColumnRenamed("file_id", DOC_ID)
+
+
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     cleaned = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=400)
@@ -48,6 +68,11 @@ def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return html_extract.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = hilbert_shards.shards(table(spark, sf_dir, "documents"), n_shards=40)
     return placed.select(
@@ -59,6 +84,40 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: The rules that go before the mined ones: verdict, host, path.
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    labels = table(spark, sf_dir, "labels").groupBy(DOC_ID).agg(F.max((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("blocked"))
+    # The number that ends a page's path is the id of the document it was made from, which is what labels are about.
+    about = pages.select("url", F.regexp_extract(url_filter.host_and_path(F.col("url"))[1], r"/(\d{1,18})(?:\D[^/]*)?/?\z", 1).try_cast("long").alias(DOC_ID))
+    return url_filter.judge(pages, about.join(labels, DOC_ID).select("url", "blocked"), URL_RULES)
+
+
+def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    back = media.read(media.store(table(spark, sf_dir, "documents")))
+    clips = F.transform("clips", lambda c: F.format_string("%.2f-%.2f", c["start_s"], c["end_s"]))
+    return back.select(
+        DOC_ID,
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(payload, -64, 64)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat(F.lit("clips="), F.array_join(clips, ",")).alias("feature"),
+    )
+
+
 def held_out(doc_id: str = DOC_ID) -> Column:
     """A fifth of the ids, which no model may learn from."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(5)) == 0
@@ -80,10 +139,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_simhash": op2_simhash,
+        "op3_licenses": op3_licenses,
         "op4_suffix_array": op4_suffix_array,
+        "op5_html": op5_html,
         "op6_hilbert_shards": op6_hilbert_shards,
         "op7_decontamination": op7_decontamination,
+        "op8_url_filter": op8_url_filter,
         "op9_toxicity": op9_toxicity,
+        "op10_media": op10_media,
     }
 
 
