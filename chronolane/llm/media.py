@@ -398,7 +398,10 @@ def read(files: DataFrame) -> DataFrame:
             for v in videos:
                 own = [p for p in (next(pictures) for _ in v.frames) if p is not None]
                 payloads.append(b"".join(p.tobytes() for p in own)[: v.payload_bytes])
-                clips.append(shots(own, v.fps))
+                ends = np.cumsum([0, *(p.size for p in own)])
+                # What only pads the last frame is no picture.
+                seen = [p.ravel()[: max(1, len(payloads[-1]) - int(at))] for p, at in zip(own, ends)]
+                clips.append(shots(seen, v.fps))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(payloads, pa.binary()), pa.array(clips, clip)], names=[*names, "payload", "clips"]
             )

@@ -22,7 +22,7 @@ from . import (
 from .common import DOC_ID, TEXT, small_batches, table
 
 
-def _vocabulary() -> tuple[str, str, str]:
+def vocabulary() -> tuple[str, str, str]:
     import public_tokenizers
 
     path = public_tokenizers.path
@@ -31,7 +31,7 @@ def _vocabulary() -> tuple[str, str, str]:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    words = _vocabulary()
+    words = vocabulary()
     ids = bpe.encode(table(spark, sf_dir, "documents"), words)
     return bpe.decode(ids, words).select(
         DOC_ID,

@@ -187,3 +187,157 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     return marked.join(labels, "fp").select(
         DOC_ID, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+#: For ``similar_documents``: bits of 128 that may differ, the ratio of two neighbouring size classes, texts in a tile.
+WIDE_RADIUS, SIZE_STEP, WIDE_TILE = 30, 1.25, 2048
+
+
+def shingle_hashes(text: str, width: int, seed: int) -> np.ndarray:
+    words = utf8(text).lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined, starts, ends = shingle_spans(words, width)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, ends)), np.uint64, len(starts)))
+
+
+def _majority(h: np.ndarray) -> int:
+    ones = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<u8")[0])
+
+
+def _wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, size, fp1, fp2): number of distinct shingles and 128 bits of SimHash."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            known: dict[str, tuple[int, int, int]] = {}
+            rows = []
+            for text in pdf[TEXT]:
+                if text not in known:
+                    h = shingle_hashes(text, width, SEED)
+                    # The second half takes its bits from the same hashes, remixed.
+                    g = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                    g = (g ^ (g >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+                    known[text] = (len(h), _majority(h), _majority(g ^ (g >> np.uint64(31)))) if len(h) else (0, 0, 0)
+                rows.append(known[text])
+            size, a, b = (np.array(c, np.uint64) for c in zip(*rows)) if rows else (np.zeros(0, np.uint64),) * 3
+            yield pd.DataFrame({DOC_ID: pdf[DOC_ID].astype("Int64"), "size": size.astype(np.int64), "fp1": a.view(np.int64), "fp2": b.view(np.int64)})
+
+    return texts(docs).select(F.col(DOC_ID).cast("long"), TEXT).mapInPandas(run, f"{DOC_ID} long, size long, fp1 long, fp2 long")
+
+
+def _nearest(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links from each text of tile a to its nearest text of tile b and the other way round; rows are id, size, fp1, fp2."""
+    us, vs = [], []
+    fa, fb = a[:, 2:].view(np.uint64), b[:, 2:].view(np.uint64)
+    best_of_b = np.full(len(b), 255, np.uint8)
+    from_b = np.zeros(len(b), np.int64)
+    rows = max(1, (1 << 18) // max(1, len(b)))
+    for at in range(0, len(a), rows):
+        far = np.bitwise_count(fa[at : at + rows, None, 0] ^ fb[None, :, 0])
+        far += np.bitwise_count(fa[at : at + rows, None, 1] ^ fb[None, :, 1])
+        if same:
+            own = np.arange(at, min(at + rows, len(a)))
+            far[own - at, own] = 255
+        near = far.argmin(axis=1)
+        hit = np.nonzero(far[np.arange(len(near)), near] <= WIDE_RADIUS)[0]
+        us.append(a[at + hit, 0])
+        vs.append(b[near[hit], 0])
+        if len(hit):
+            least = far.argmin(axis=0)
+            dist = far[least, np.arange(len(b))]
+            better = dist < best_of_b
+            best_of_b[better], from_b[better] = dist[better], least[better] + at
+    hit = np.nonzero(best_of_b <= WIDE_RADIUS)[0]
+    us.append(b[hit, 0])
+    vs.append(a[from_b[hit], 0])
+    return np.concatenate(us), np.concatenate(vs)
+
+
+def _candidates(distinct: DataFrame) -> DataFrame:
+    """(u, v): for each text, its nearest neighbours among texts of like size, at most one for each tile."""
+    classed = distinct.withColumn("b", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int"))
+    counts = classed.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / WIDE_TILE).cast("int").alias("tiles"))  # a row for each size class, under 200
+    sizes = F.broadcast(counts)
+    beside = F.broadcast(counts.select((F.col("b") - 1).alias("b"), F.col("tiles").alias("tiles_after")))
+    before = F.broadcast(counts.select((F.col("b") + 1).alias("b"), F.col("tiles").alias("tiles_before")))
+    tiles = (
+        classed.join(sizes, "b")
+        .withColumn("s", F.pmod(F.xxhash64(F.lit("tile"), DOC_ID), F.col("tiles")).cast("int"))
+        .groupBy("b", "s", "tiles")
+        .agg(F.collect_list(F.array(F.col(DOC_ID), F.col("size"), F.col("fp1"), F.col("fp2"))).alias("rows"))
+        .join(beside, "b", "left")
+        .join(before, "b", "left")
+    )
+
+    def steps(n):
+        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+
+    def key(b, s, b2, s2):
+        return F.struct(b.alias("b"), s.alias("s"), b2.alias("b2"), s2.alias("s2"))
+
+    b, s = F.col("b"), F.col("s")
+    left = tiles.select(
+        F.explode(
+            F.concat(
+                F.transform(F.filter(steps(F.col("tiles")), lambda x: x >= s), lambda x: key(b, s, b, x)),
+                F.transform(steps(F.coalesce("tiles_after", F.lit(0))), lambda x: key(b, s, b + 1, x)),
+            )
+        ).alias("key"),
+        F.flatten("rows").alias("left"),
+    )
+    right = tiles.select(
+        F.explode(
+            F.concat(
+                F.transform(F.filter(steps(F.col("tiles")), lambda x: x <= s), lambda x: key(b, x, b, s)),
+                F.transform(steps(F.coalesce("tiles_before", F.lit(0))), lambda x: key(b - 1, x, b, s)),
+            )
+        ).alias("key"),
+        F.flatten("rows").alias("right"),
+    )
+    pairs = left.join(right.hint("shuffle_hash"), "key")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a, b, same in zip(pdf["left"], pdf["right"], pdf["same"]):
+                u, v = _nearest(np.asarray(a, np.int64).reshape(-1, 4), np.asarray(b, np.int64).reshape(-1, 4), same)
+                yield pd.DataFrame({"u": u, "v": v})
+
+    same = (F.col("key.b") == F.col("key.b2")) & (F.col("key.s") == F.col("key.s2"))
+    found = pairs.select("left", "right", same.alias("same")).mapInPandas(run, "u long, v long")
+    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for every row of ``docs`` with an id: groups of texts whose word shingles are alike.
+
+    Candidates are nearest neighbours within ``WIDE_RADIUS`` of 128 SimHash bits,
+    found by the same tiled comparison among texts of like size; each candidate
+    is then verified: Jaccard similarity of the sets of ``width``-word shingles
+    is ``similarity`` or more. Texts without words are alike. component_id is the
+    smallest doc_id of the group; rows with a null doc_id are left out.
+    """
+    marked = written(_wide_fingerprints(docs, width).where(F.col(DOC_ID).isNotNull()))
+    shared = ["size", "fp1", "fp2"]
+    distinct = written(marked.groupBy(*shared).agg(F.min(DOC_ID).alias(DOC_ID)))
+    links = written(_candidates(distinct.where("size > 0")))
+    ends = links.select(F.col("u").alias(DOC_ID)).union(links.select(F.col("v").alias(DOC_ID))).distinct()
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({DOC_ID: pdf[DOC_ID], "bag": [shingle_hashes(t, width, SEED).view(np.int64) for t in pdf[TEXT]]})
+
+    wanted = texts(docs).select(F.col(DOC_ID).cast("long"), TEXT).join(ends, DOC_ID)
+    bags = written(wanted.mapInPandas(sets, f"{DOC_ID} long, bag array<long>"))
+    both = F.size(F.array_intersect("a", "b"))
+    verified = (
+        links.join(bags.select(F.col(DOC_ID).alias("u"), F.col("bag").alias("a")), "u")
+        .join(bags.select(F.col(DOC_ID).alias("v"), F.col("bag").alias("b")), "v")
+        .where(both >= similarity * (F.size("a") + F.size("b") - both))
+        .select("u", "v")
+    )
+    roots = components(verified).withColumnsRenamed({"node": DOC_ID})
+    first = distinct.join(roots, DOC_ID, "left").select(*shared, F.coalesce("root", DOC_ID).alias("component_id"))
+    return marked.join(first, shared).select(DOC_ID, "component_id")

@@ -22,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -145,7 +146,7 @@ def _starts(found: DataFrame, length: int) -> DataFrame:
 
 def _merged(spans: list[dict], data: bytes, whole_chars: bool) -> list[tuple[int, int]]:
     out: list[list[int]] = []
-    for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
+    for s, e in sorted((x["s"], x["e"]) for x in (() if spans is None else spans)):
         if out and s <= out[-1][1]:
             out[-1][1] = max(out[-1][1], e)
         else:
@@ -163,6 +164,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     """The rows with their keys, and (row_key, spans): for each row that repeats something, unmerged byte spans (s, e)."""
     keyed = _keyed(docs)
     counted = _suffixes(keyed, length, True).groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    counted = written(counted)  # both sides of the join are then plain exchanges, which the adaptive skew join can split
     shared = written(_suffixes(keyed, length, False).join(counted, "k"))
     contexts = written(
         shared.groupBy("k", "f").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(KEY, "a", "low", "high")).alias("rep"))
@@ -170,7 +172,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
     whole = shared.join(contexts.where("n > 1").select("k", "f"), ["k", "f"]).select(
         KEY, (F.col("a") - F.col("high")).alias("s"), (F.col("a") - F.col("low") + length).alias("e")
     )
-    mixed = contexts.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    mixed = written(contexts.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k"))
     lists = (
         contexts.join(mixed, "k")
         .select("rep.*")
@@ -217,3 +219,32 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_chars: bool = Fa
         .select(DOC_ID, TEXT, "found", KEY)
         .mapInArrow(run, f"{DOC_ID} {kind}, {TEXT} string, spans array<struct<s:int,e:int>>, kept binary")
     )
+
+
+def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with the same columns, repeats removed from column text (whole characters only) and n_chars, if there is one, set anew.
+
+    Null texts stay null.
+    """
+    keyed, spans = repeated_spans(docs, length)
+    named = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # whatever the columns are called, they can't clash
+    whole = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()])
+    key = F.xxhash64(F.col(named[DOC_ID]), F.coalesce(F.col(named[TEXT]).cast("string"), F.lit("")))
+
+    @F.pandas_udf("string")
+    def cut(texts_: pd.Series, found: pd.Series) -> pd.Series:
+        out = []
+        for text, own in zip(texts_, found):
+            if text is None or own is None or not len(own):
+                out.append(text)
+                continue
+            data = utf8(text)
+            edges = [0, *(x for s_e in _merged(own, data, True) for x in s_e), len(data)]
+            out.append(b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2])).decode("utf-8", "surrogatepass"))
+        return pd.Series(out, dtype=object)
+
+    joined = whole.withColumn(KEY, key).join(spans, KEY, "left")
+    done = joined.withColumn(named[TEXT], cut(named[TEXT], "found"))
+    if "n_chars" in named:
+        done = done.withColumn(named["n_chars"], F.length(named[TEXT]).cast("long"))
+    return done.select(*[F.col(n).alias(c) for c, n in named.items()])

@@ -22,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import DOC_ID, TEXT, texts, written
@@ -274,13 +274,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, label_col: s
     return ToxicityModel(landmarks, nystroem @ w, bias, *_calibrated(margin, y.astype(float)))
 
 
-def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """(doc_id, score) for every row of ``docs``, from its whole text; a null text is read as empty."""
-    kind = docs.select(F.col(DOC_ID)).schema[0].dataType.simpleString()
+def scored(model: ToxicityModel, text: Column) -> Column:
+    """The score of a text column, 0 to 1; a null text is read as empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = Matcher(model.landmarks)
-        for pdf in batches:
-            yield pd.DataFrame({DOC_ID: pdf[DOC_ID], "score": model.score(matcher.vectors(pdf[TEXT].tolist()))})
+        for batch in batches:
+            yield pd.Series(model.score(matcher.vectors(batch.fillna("").tolist())))
+
+    return run(text.cast("string"))
 
-    return texts(docs).mapInPandas(run, f"{DOC_ID} {kind}, score double")
+
+def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+    """(doc_id, score) for every row of ``docs``, from its whole text."""
+    return docs.select(F.col(DOC_ID), scored(model, F.col(TEXT)).alias("score"))

@@ -59,14 +59,19 @@ def tokens(url: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(*parts)))
 
 
-def mine(labelled: DataFrame, support: float = 0.001, confidence: float = 0.5, lift: float = 2.0) -> DataFrame:
-    """(items, confidence, support, lift): rules for ``block`` from ``labelled`` (url, blocked boolean; null labels are skipped). No labelled rows, no rules."""
+def mine(labelled: DataFrame, support: float = 0.001, confidence: float = 0.5, lift: float = 2.0, least_rows: int = 20) -> DataFrame:
+    """(items, confidence, support, lift): rules for ``block`` from ``labelled`` (url, blocked boolean; null labels are skipped).
+
+    A rule needs ``support`` as a share of the labelled rows and ``least_rows`` of
+    them; fewer rows than that give no rules.
+    """
     empty = labelled.sparkSession.createDataFrame([], "items array<string>, confidence double, support double, lift double")
     known = labelled.where("blocked is not null").select(tokens(F.col("url")).alias("t"), "blocked").where("size(t) > 0")
     baskets = written(known.select(F.when(F.col("blocked"), F.concat("t", F.array(F.lit(BLOCK)))).otherwise(F.col("t")).alias("items")))
-    if baskets.isEmpty():
+    n = baskets.count()
+    if n < least_rows:
         return empty
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=max(support, least_rows / n), minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where((F.col("consequent")[0] == BLOCK) & (F.col("lift") >= lift))
     return rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support", "lift")
 
