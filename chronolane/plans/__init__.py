@@ -6,7 +6,7 @@ from importlib import import_module
 
 from . import bind
 
-MODULES = ("temporal",)
+MODULES = ("temporal", "rules", "summary")
 
 
 def _load() -> None:
