@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def casefold(text: Column) -> Column:
@@ -14,7 +15,7 @@ def casefold(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold_full(text: pd.Series) -> pd.Series:
     """Unicode case folding of any script."""
     return text.str.casefold()
@@ -29,7 +30,7 @@ def normalized(text: Column) -> Column:
     return squeezed(F.regexp_replace(casefold(text), r"(?U)[^\w\s]", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def folded(text: pd.Series) -> pd.Series:
     """Lower case, words hyphenated over a line break joined, accents dropped, all but a-z and 0-9 as single blanks."""
 

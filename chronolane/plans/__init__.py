@@ -6,7 +6,7 @@ from importlib import import_module
 
 from . import bind
 
-MODULES = ("temporal", "rules", "summary")
+MODULES = ("temporal", "rules", "summary", "catalog", "archive")
 
 
 def _load() -> None:
