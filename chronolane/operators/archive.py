@@ -21,7 +21,7 @@ def state(footer: Column, version: Column) -> Column:
 
 def progress(last: Column, duration: Column) -> Column:
     """Share of the duration reached, 1 at most; null if either is unknown or the duration not positive."""
-    return F.when(duration > 0, F.least(F.lit(1.0), F.round(last / duration, 4)))
+    return F.when((duration > 0) & last.isNotNull(), F.least(F.lit(1.0), F.round(last / duration, 4)))
 
 
 def tokenize(query: str) -> list[tuple[str | None, str]]:

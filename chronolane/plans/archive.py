@@ -84,11 +84,11 @@ def inventory_state(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", archive.state(footer, version).alias("state"))
 
 
-@query(f"""WITH {OBS} SELECT pos, CASE WHEN k % 9 = 0 THEN NULL WHEN k - 5 <= 0 THEN NULL ELSE LEAST(1.0, ROUND(CAST(score AS DOUBLE) / ((k - 5) * 100), 4)) END AS progress FROM obs""")
+@query(f"""WITH {OBS} SELECT pos, CASE WHEN k % 9 = 0 THEN NULL WHEN k - 5 <= 0 THEN NULL ELSE LEAST(1.0, ROUND(CAST(score AS DOUBLE) / ((k - 5) * 101), 4)) END AS progress FROM obs""")
 def inventory_progress(spark, sf_dir):
     torn = F.when(F.col("k") % 9 == 0, F.concat(F.lit('{"t": 1'), F.col("score").cast("string"))).otherwise(F.to_json(F.struct(F.col("score").alias("t"))))
     last = F.try_variant_get(F.try_parse_json(torn), "$.t", "double")
-    return observations(spark, sf_dir).select("pos", archive.progress(last, (F.col("k") - 5) * 100).alias("progress"))
+    return observations(spark, sf_dir).select("pos", archive.progress(last, (F.col("k") - 5) * 101).alias("progress"))
 
 
 @query("""WITH c AS (SELECT o_custkey AS name, COUNT(*) AS n, 'cached' AS origin FROM orders WHERE o_custkey % 3 = 0 GROUP BY o_custkey)
