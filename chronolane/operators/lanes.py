@@ -55,6 +55,70 @@ def unpivot(frames: DataFrame, state: DataFrame, gate: str, projectors: dict) ->
     return painted.unionByName(closed)
 
 
+def closes(obs: DataFrame) -> DataFrame:
+    """(log_id, first_us, close_us): each log's first frame, and one last spacing past its last."""
+    ends = obs.groupBy(LOG).agg(F.min("t_us").alias("first_us"), F.max("t_us").alias("last_us"))
+    before = obs.join(ends, LOG).where("t_us < last_us").groupBy(LOG).agg(F.max("t_us").alias("prev_us"))
+    return ends.join(before, LOG, "left").select(
+        LOG, "first_us", F.coalesce(2 * F.col("last_us") - F.col("prev_us"), "last_us").alias("close_us")
+    )
+
+
+def gate_changes(obs: DataFrame, gate: str) -> DataFrame:
+    """(log_id, t_us, pos, open): when a log's gate, held under any key, opens and closes. It is closed before the first row."""
+    own = obs.where(F.col("signal") == gate)
+    held = F.col("v").isNotNull().cast("int")
+    by_key = Window.partitionBy(LOG, "col").orderBy("t_us", "pos")
+    by_log = Window.partitionBy(LOG).orderBy("t_us", "pos")
+    steps = own.withColumn("_d", held - F.coalesce(F.lag(held).over(by_key), F.lit(0))).where("_d <> 0")
+    counted = steps.withColumn("open", F.sum("_d").over(by_log) > 0)
+    return counted.withColumn("_p", F.coalesce(F.lag("open").over(by_log), F.lit(False))).where("open <> _p").select(LOG, "t_us", "pos", "open")
+
+
+def lane_changes(obs: DataFrame, gate: str, projectors: dict, ends: DataFrame) -> DataFrame:
+    """(log_id, lane, col, t_us, shown, v): change points of every lane, the sparse form of ``unpivot`` over carried state.
+
+    A lane's own rows and its log's gate changes meet in one window; of several at
+    one time the last counts.
+    """
+    from .temporal import validity
+
+    own = validity(obs, ["signal", "col"]).withColumn("fo", F.struct("t_us", "pos"))
+    signals = [s for s, p in projectors.items() if p is not None]
+    painted = [
+        project(own.where((F.col("signal") == signal) & F.col("v").isNotNull())).select(LOG, "lane", "col", "fo", "v", F.lit(True).alias("held"))
+        for signal, project in projectors.items()
+        if project is not None
+    ]
+    cleared = own.where(F.col("signal").isin(*signals)).select(
+        LOG, F.col("signal").alias("lane"), "col", "fo", F.lit(None).cast("long").alias("v"), F.lit(False).alias("held")
+    )
+    # A key's rows that its projector does not show read as cleared.
+    rows = reduce(DataFrame.unionByName, painted).unionByName(cleared)
+    rows = rows.groupBy(LOG, "lane", "col", "fo").agg(F.max(F.struct("held", "v")).alias("own"))
+    gates = gate_changes(obs, gate)
+    turned = rows.select(LOG, "lane", "col").distinct().join(gates, LOG).select(
+        LOG, "lane", "col", F.struct("t_us", "pos").alias("fo"), F.col("open").alias("gate")
+    )
+    both = rows.select("*", F.lit(None).cast("boolean").alias("gate")).unionByName(turned, allowMissingColumns=True)
+    w = Window.partitionBy(LOG, "lane", "col").orderBy("fo")
+    held = both.withColumns({"own": F.last("own", True).over(w), "gate": F.last("gate", True).over(w)})
+    points = held.select(
+        LOG,
+        "lane",
+        "col",
+        "fo",
+        (F.coalesce("gate", F.lit(False)) & F.coalesce("own.held", F.lit(False))).alias("shown"),
+        F.col("own.v").alias("v"),
+    )
+    dark = gates.select(LOG, F.struct("t_us", "pos").alias("fo"), (~F.col("open")).alias("shown")).unionByName(
+        ends.select(LOG, F.struct(F.col("first_us").alias("t_us"), F.lit(-1).cast("long").alias("pos")).alias("fo"), F.lit(True).alias("shown"))
+    )
+    dark = dark.select(LOG, F.lit("no_ui").alias("lane"), F.lit(0).cast("long").alias("col"), "fo", "shown", F.lit(None).cast("long").alias("v"))
+    each = points.unionByName(dark).groupBy(LOG, "lane", "col", F.col("fo.t_us").alias("t_us"))
+    return each.agg(F.max_by(F.struct("shown", "v"), "fo").alias("row")).select(LOG, "lane", "col", "t_us", "row.shown", "row.v")
+
+
 def frame_records(state: DataFrame) -> DataFrame:
     """One nested record a frame: held keys with their values, and since when if that was before this frame."""
     entry = F.struct(

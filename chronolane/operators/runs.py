@@ -16,6 +16,14 @@ def closing_times(frames: DataFrame) -> DataFrame:
     return frames.withColumn("nxt", last_sample_end(F.col(TIME), F.lead(TIME).over(w), F.lag(TIME).over(w)))
 
 
+def own_frames(obs: DataFrame) -> DataFrame:
+    """``obs`` with fo and nxt, for logs in which every row is a frame of its own: one window, no join."""
+    w = ordered(LOG)
+    return obs.withColumns(
+        {"fo": F.row_number().over(w), "nxt": last_sample_end(F.col(TIME), F.lead(TIME).over(w), F.lag(TIME).over(w))}
+    )
+
+
 def encode_runs(frames: DataFrame, painted: DataFrame, lane: list[str]) -> DataFrame:
     """(log_id, lane, start_us, end_us, v): maximal runs of each lane over the frames of a log.
 
@@ -24,12 +32,31 @@ def encode_runs(frames: DataFrame, painted: DataFrame, lane: list[str]) -> DataF
     two values splits it; a null v waits: the first value fills the run backwards,
     later nulls change nothing. Spans are half-open.
     """
-    shown = painted.join(closing_times(frames).select(LOG, "fo", TIME, "nxt"), [LOG, "fo"])
+    return encode_timed(painted.join(closing_times(frames).select(LOG, "fo", TIME, "nxt"), [LOG, "fo"]), lane)
+
+
+def encode_timed(shown: DataFrame, lane: list[str]) -> DataFrame:
+    """The same for painted rows that carry fo, t_us and nxt."""
+    by_frame = Window.partitionBy(LOG, *lane).orderBy("fo")
+    return _encoded(shown.withColumn("isl", F.col("fo") - F.row_number().over(by_frame)), lane, "fo")
+
+
+def encode_changes(changes: DataFrame, closes: DataFrame, lane: list[str]) -> DataFrame:
+    """The same from change points only: (log_id, lane, t_us, shown, v), each holding until the lane's next one.
+
+    ``closes``: (log_id, close_us), when a log's last runs end. The rows are as many
+    as changes, not frames times lanes.
+    """
+    w = Window.partitionBy(LOG, *lane).orderBy(TIME)
+    timed = changes.withColumns({"nxt": F.lead(TIME).over(w), "isl": F.sum(F.when(F.col("shown"), 0).otherwise(1)).over(w)})
+    held = timed.where("shown").join(closes, LOG).withColumn("nxt", F.coalesce("nxt", "close_us"))
+    return _encoded(held, lane, TIME)
+
+
+def _encoded(rows: DataFrame, lane: list[str], order: str) -> DataFrame:
     keys = [LOG, *lane]
-    by_frame = Window.partitionBy(*keys).orderBy("fo")
-    island = shown.withColumn("isl", F.col("fo") - F.row_number().over(by_frame))
-    inside = Window.partitionBy(*keys, "isl").orderBy("fo")
-    filled = island.withColumn(
+    inside = Window.partitionBy(*keys, "isl").orderBy(order)
+    filled = rows.withColumn(
         "vf",
         F.coalesce(
             F.last("v", ignorenulls=True).over(inside),
@@ -39,7 +66,7 @@ def encode_runs(frames: DataFrame, painted: DataFrame, lane: list[str]) -> DataF
     changed = (~F.col("vf").eqNullSafe(F.lag("vf").over(inside)) & F.lag(F.lit(1)).over(inside).isNotNull()).cast("int")
     runs = filled.withColumn("chg", changed).withColumn("run", F.sum("chg").over(inside))
     return runs.groupBy(*keys, "isl", "run").agg(
-        F.min(TIME).alias("start_us"), F.max_by("nxt", "fo").alias("end_us"), F.first("vf", ignorenulls=True).alias("v")
+        F.min(TIME).alias("start_us"), F.max("nxt").alias("end_us"), F.first("vf", ignorenulls=True).alias("v")
     ).drop("isl", "run")
 
 

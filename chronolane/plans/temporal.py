@@ -110,9 +110,8 @@ RUN_COLUMNS = ["log_id", "col", "start_us", "end_us", "v"]
 
 def event_runs(spark, sf_dir, obs=None):
     obs = observations(spark, sf_dir) if obs is None else obs
-    grid = temporal.frames(obs)
-    shown = obs.join(grid.select("log_id", "frame", "fo"), ["log_id", "frame"]).select("log_id", "fo", "col", F.floor(F.col("v") / 2500).alias("v"))
-    return runs.encode_runs(grid, shown, ["col"]).select(*RUN_COLUMNS)
+    shown = runs.own_frames(obs).select("log_id", "fo", "t_us", "nxt", "col", F.floor(F.col("v") / 2500).alias("v"))
+    return runs.encode_timed(shown, ["col"]).select(*RUN_COLUMNS)
 
 
 @query(f"WITH {OBS}, {EVENT_RUNS} SELECT log_id, col, start_us, end_us, v FROM runs")
@@ -160,9 +159,9 @@ lane_runs AS (SELECT log_id, lane, col, MIN(t_us) AS start_us, arg_max(nxt, fo)
 
 def lane_runs(spark, sf_dir, obs=None):
     obs = observations(spark, sf_dir) if obs is None else obs
-    grid = temporal.frames(obs)
-    painted = lanes.unpivot(grid, temporal.carry_forward(obs, KEY), "view", lanes.PROJECTORS)
-    return runs.encode_runs(grid, painted, ["lane", "col"])
+    ends = lanes.closes(obs)
+    changes = lanes.lane_changes(obs, "view", lanes.PROJECTORS, ends)
+    return runs.encode_changes(changes, ends.select("log_id", "close_us"), ["lane", "col"])
 
 
 @query(f"WITH {OBS}, {STATE}, {LANE_RUNS} SELECT log_id, lane, col, start_us, end_us, v FROM lane_runs")

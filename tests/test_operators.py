@@ -54,6 +54,28 @@ def test_runs_equal_a_loop(spark):
     assert sorted(((r.log_id, r.col, r.start_us, r.end_us, r.v) for r in got.collect()), key=repr) == sorted(want, key=repr)
 
 
+def test_change_points_give_the_runs_of_all_frames(spark, sf_dir):
+    from chronolane.operators import lanes
+
+    rnd = random.Random(11)
+    rows = []
+    for log in range(12):
+        t = 0
+        for i in range(60):
+            t += rnd.choice([0, 1, 5])
+            signal = rnd.choice(["view", "click", "error", "purchase", "signup"])
+            rows.append((log, rnd.randint(1, 2), t, i, t, signal, rnd.choice([None, None, 0, 1, 2]), 0))
+    obs = spark.createDataFrame(rows, "log_id long, col long, t_us long, pos long, frame long, signal string, v long, score long")
+    obs = obs.withColumn("v", F.when(F.col("signal") == "view", F.when(F.col("v") == 1, 1)).otherwise(F.col("v")))
+    grid = temporal.frames(obs)
+    painted = lanes.unpivot(grid, temporal.carry_forward(obs, ["signal", "col"]), "view", lanes.PROJECTORS)
+    cols = ["log_id", "lane", "col", "start_us", "end_us", "v"]
+    dense = runs.encode_runs(grid, painted, ["lane", "col"]).select(*cols)
+    ends = lanes.closes(obs)
+    sparse = runs.encode_changes(lanes.lane_changes(obs, "view", lanes.PROJECTORS, ends), ends.select("log_id", "close_us"), ["lane", "col"]).select(*cols)
+    assert sorted(map(repr, sparse.collect())) == sorted(map(repr, dense.collect()))
+
+
 def test_patches_equal_applying_them_in_order(spark):
     rnd = random.Random(6)
     rows = [(t, rnd.randint(0, 3)) for t in range(30)]
