@@ -2,7 +2,7 @@
 
 The kernel of two words counts their common three-letter subsequences, each
 weighted by ``DECAY`` to the letters it spans in either word, and is divided by
-the words' norms. Letters put between, dots, hyphens and blanks inside a word
+the norms that words of their lengths have if no subsequence repeats. Letters put between, dots, hyphens and blanks inside a word
 therefore cost a little and hide nothing. A document meets a landmark through
 its best word; kernels under ``LEAST`` count as zero, which lets a cheap upper
 bound skip most words without changing a result.
@@ -32,7 +32,7 @@ DECAY, SPAN, LEAST = 0.6, 7, 0.3
 PIECE = 16
 LANDMARKS, CANDIDATES, MIN_DOCS = 48, 600, 3
 #: Words whose kernels a worker keeps.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 300_000
 _DROP = re.compile(r"[^\w\s]+|[\d_]+")
 _SPACED = re.compile(r"(?<!\S)(?:[^\W\d_]\s+){3,}[^\W\d_](?!\S)")
 
@@ -69,11 +69,19 @@ def _features(word: str) -> dict[str, float]:
     return out
 
 
+_norms: dict[int, float] = {}
+
+
+def norm(n: int) -> float:
+    if n not in _norms:
+        _norms[n] = float(np.sqrt(sum(DECAY ** (2 * (k - i + 1)) for i, _, k in triples(n)))) or 1.0
+    return _norms[n]
+
+
 def kernel(a: str, b: str) -> float:
-    """The normalised kernel of two words, straight from its definition."""
-    fa, fb = _features(a[:PIECE]), _features(b[:PIECE])
-    norm = np.sqrt(sum(x * x for x in fa.values()) * sum(x * x for x in fb.values()))
-    return sum(x * fb.get(u, 0.0) for u, x in fa.items()) / norm if norm else 0.0
+    """The normalised kernel of two words of at most ``PIECE`` letters, straight from its definition."""
+    fa, fb = _features(a), _features(b)
+    return sum(x * fb.get(u, 0.0) for u, x in fa.items()) / (norm(len(a)) * norm(len(b)))
 
 
 class Matcher:
@@ -82,46 +90,44 @@ class Matcher:
     def __init__(self, landmarks: list[str]):
         self.landmarks = landmarks
         letters = sorted({c for w in landmarks for c in w})
-        self.letter = {c: i + 1 for i, c in enumerate(letters)}
+        self.letter = {c: i + 1 for i, c in enumerate(letters)}  # 0: a letter of no landmark
         m = self.m = len(letters) + 1
         self.table = np.zeros((m**3, len(landmarks)), np.float32)
         for at, word in enumerate(landmarks):
-            own = _features(word)
-            norm = np.sqrt(sum(x * x for x in own.values())) or 1.0
-            for u, x in own.items():
+            for u, x in _features(word).items():
                 a, b, c = (self.letter[z] for z in u)
-                self.table[(a * m + b) * m + c, at] = x / norm
-        self.bound = self.table.max(axis=1) if landmarks else np.zeros(m**3, np.float32)
+                self.table[(a * m + b) * m + c, at] = x / norm(len(word))
+        #: For the bound: the most that any landmark of each of a few groups has of a subsequence.
+        groups = np.array_split(np.arange(len(landmarks)), min(6, max(1, len(landmarks))))
+        self.bound = np.stack([self.table[:, g].max(axis=1, initial=0) for g in groups], axis=1)
         self.rows: dict[str, int] = {}
         self.matrix = np.zeros((1, len(landmarks)), np.float32)
 
+    def _summed(self, codes: np.ndarray, table: np.ndarray) -> np.ndarray:
+        n, m = len(codes), self.m
+        sums = np.zeros((codes.shape[1], table.shape[1]), np.float32)
+        for i in range(n - 2):
+            for j in range(i + 1, min(n - 1, i + SPAN - 1)):
+                pair = (codes[i] * m + codes[j]) * m
+                for k in range(j + 1, min(n, i + SPAN)):
+                    sums += np.float32(DECAY ** (k - i + 1)) * table.take(pair + codes[k], axis=0)
+        return sums
+
     def _kernels(self, words: list[str]) -> np.ndarray:
-        """One row for each word of one length."""
-        n, m = len(words[0]), self.m
+        """One row for each word; the words have one length."""
+        n = len(words[0])
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
-        spans = triples(n)
-        if not spans or not self.landmarks:
-            return out
-        codes = np.array([[self.letter.get(c, 0) for c in w] for w in words], np.int32).T
-        some = (codes > 0).sum(axis=0) >= 3
-        live = np.nonzero(some)[0]
-        codes = codes[:, live]
-        bound = np.zeros(len(live), np.float32)
-        for i, j, k in spans:
-            full = (codes[i] > 0) & (codes[j] > 0) & (codes[k] > 0)
-            bound += DECAY ** (k - i + 1) * np.where(full, self.bound[(codes[i] * m + codes[j]) * m + codes[k]], 0)
-        floor = np.sqrt(sum(DECAY ** (2 * (k - i + 1)) for i, j, k in spans))
-        near = bound >= LEAST * floor * 0.999
-        live, codes = live[near], codes[:, near]
-        if not len(live):
+        if n < 3 or not self.landmarks:
             return out
-        sums = np.zeros((len(live), len(self.landmarks)), np.float32)
-        for i, j, k in spans:
-            full = (codes[i] > 0) & (codes[j] > 0) & (codes[k] > 0)
-            sums += np.where(full, DECAY ** (k - i + 1), 0).astype(np.float32)[:, None] * self.table[(codes[i] * m + codes[j]) * m + codes[k]]
-        norms = np.array([np.sqrt(sum(x * x for x in _features(words[w]).values())) for w in live], np.float32)
-        sums /= norms[:, None]
-        out[live] = np.where(sums >= LEAST, sums, 0)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), n)
+        seen, flat = np.unique(points, return_inverse=True)
+        ids = np.array([self.letter.get(chr(c), 0) for c in seen], np.intp)
+        codes = ids[flat.reshape(points.shape)].T
+        least = LEAST * norm(n)
+        live = np.nonzero((self._summed(codes, self.bound) >= least * 0.999).any(axis=1))[0]
+        if len(live):
+            sums = self._summed(np.ascontiguousarray(codes[:, live]), self.table)
+            out[live] = np.where(sums >= least, sums / norm(n), 0)
         return out
 
     def learn(self, words: list[str]) -> None:
