@@ -128,18 +128,17 @@ def _starts(found: DataFrame, length: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list[np.ndarray]] = [[] for _ in kinds]
             for text, key, suffixes in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                 names = Names(utf8(text))
                 at, low, high = (np.array([s[c] for s in suffixes], np.int64) for c in ("a", "low", "high"))
-                wide = high - low + 1
-                each = np.repeat(at, wide)
-                step = np.arange(len(each)) - np.repeat(np.cumsum(wide) - wide, wide)
-                p = each - np.repeat(high, wide) + step
-                for i, column in enumerate((names.of(p, length).view(np.int64), np.full(len(p), key), each.astype(np.int32), p.astype(np.int32))):
-                    out[i].append(column)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, kinds.values())], names=[*kinds])
+                for part in range(0, len(at), 256):  # some ten thousand starts at a time, however long the text
+                    own = slice(part, part + 256)
+                    wide = high[own] - low[own] + 1
+                    each = np.repeat(at[own], wide)
+                    step = np.arange(len(each)) - np.repeat(np.cumsum(wide) - wide, wide)
+                    p = each - np.repeat(high[own], wide) + step
+                    columns = (names.of(p, length).view(np.int64), np.full(len(p), key), each.astype(np.int32), p.astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], names=[*kinds])
 
     return found.mapInArrow(run, f"w long, {KEY} long, a int, p int")
 
@@ -187,7 +186,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, Da
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_chars: bool = False) -> DataFrame:
-    """(doc_id, text, spans array<struct<s,e>>, kept binary) for every row of ``docs``.
+    """(doc_id, n_bytes, spans array<struct<s,e>>, kept binary) for every row of ``docs``: its size, what goes, what stays.
 
     Each byte covered by a ``length``-byte string that also starts anywhere else
     in the input (the same text included) is removed; strings are judged on the
@@ -202,22 +201,23 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, whole_chars: bool = Fa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.struct([("s", pa.int32()), ("e", pa.int32())])
         for batch in batches:
-            merged, kept = [], []
+            sizes, merged, kept = [], [], []
             for text, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 data = utf8(text)
                 own = _merged(found, data, whole_chars)
+                sizes.append(len(data))
                 merged.append([{"s": s, "e": e} for s, e in own])
                 edges = [0, *(x for s_e in own for x in s_e), len(data)]
                 kept.append(b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2])))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(merged, pa.list_(span)), pa.array(kept, pa.binary())],
-                names=[DOC_ID, TEXT, "spans", "kept"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(merged, pa.list_(span)), pa.array(kept, pa.binary())],
+                names=[DOC_ID, "n_bytes", "spans", "kept"],
             )
 
     return (
         keyed.join(spans, KEY, "left")
         .select(DOC_ID, TEXT, "found", KEY)
-        .mapInArrow(run, f"{DOC_ID} {kind}, {TEXT} string, spans array<struct<s:int,e:int>>, kept binary")
+        .mapInArrow(run, f"{DOC_ID} {kind}, n_bytes long, spans array<struct<s:int,e:int>>, kept binary")
     )
 
 
