@@ -9,6 +9,8 @@ from chronolane.functions.fuzzy import partial_ratio
 from chronolane.functions.text import normalized
 from chronolane.model import LOG, POS, TIME
 
+from .temporal import asof
+
 THRESHOLD, TAIL_LEAST = 80, 10
 
 
@@ -53,14 +55,15 @@ def best_template(rows: DataFrame, text: str, templates: DataFrame, threshold: f
     return rows.withColumn("hit", out)
 
 
-def episodes(reads: DataFrame, by: list[str]) -> DataFrame:
+def episodes(reads: DataFrame, by: list[str], read: list[str] = (POS,)) -> DataFrame:
     """(by, hit_id, first_us, last_us, reads, score): consecutive reads of a column that hit one template.
 
-    ``reads``: every read of the column with hit_id (null: none) and score. A read
-    without the hit closes the episode.
+    ``reads``: every read of the column with hit_id (null: none) and score; several
+    rows may be one read, told by the columns ``read``. A read without the hit closes
+    the episode.
     """
-    w = Window.partitionBy(*by).orderBy(TIME, POS)
-    numbered = reads.withColumn("_n", F.row_number().over(w))
+    w = Window.partitionBy(*by).orderBy(TIME, *read)
+    numbered = reads.withColumn("_n", F.dense_rank().over(w))
     hit = numbered.where("hit_id is not null")
     own = Window.partitionBy(*by, "hit_id").orderBy("_n")
     grouped = hit.withColumn("_isl", F.col("_n") - F.row_number().over(own))
@@ -78,8 +81,6 @@ def snapped(found: DataFrame, grid: DataFrame, by: list[str]) -> DataFrame:
     spacing = grid.groupBy(LOG).agg(
         F.when(F.count(F.lit(1)) > 1, F.floor((F.max(TIME) - F.min(TIME)) / (F.count(F.lit(1)) - 1))).otherwise(F.lit(0)).alias("spacing")
     )
-    from chronolane.operators.temporal import asof
-
     keyed = found.withColumn(POS, F.lit(0).cast("long"))
     ticks = grid.select(LOG, TIME, POS).withColumn("tick", F.col(TIME))
     start = asof(keyed.withColumn(TIME, F.col("first_us")), ticks, [LOG], ["tick"], inclusive=False).withColumn("start_us", F.coalesce("got.tick", "first_us")).drop("got")

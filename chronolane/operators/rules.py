@@ -1,8 +1,8 @@
 """Correction rules: window predicates that yield patches, folded in order.
 
 A rule takes the log as corrected so far and returns rows of (log_id, keys,
-start_us, end_us, action, value). Values are longs here; ``neutral`` is the value
-that reads as "off", null for confirmed absence.
+start_us, end_us, action, value). Values are of whatever type column v has;
+``neutral`` is the value that reads as "off", null for confirmed absence.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolane.model import LOG, POS, TIME
+from chronolane.sources.shared import written
 
 from .patches import apply_patches
 from .runs import island_spans
@@ -21,8 +22,15 @@ from .temporal import asof
 PATCH = ["start_us", "end_us", "action", "value"]
 
 
-def _point(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    return rows.select(LOG, *keys, F.col(TIME).alias("start_us"), F.col(TIME).alias("end_us"), F.lit("set").alias("action"), value.cast("long").alias("value"))
+def _value(rows: DataFrame, x) -> Column:
+    """A constant of the type that the log's values have."""
+    return F.lit(x).cast(rows.schema["v"].dataType)
+
+
+def _point(rows: DataFrame, keys: list[str], value) -> DataFrame:
+    return rows.select(
+        LOG, *keys, F.col(TIME).alias("start_us"), F.col(TIME).alias("end_us"), F.lit("set").alias("action"), _value(rows, value).alias("value")
+    )
 
 
 @dataclass(frozen=True)
@@ -31,13 +39,13 @@ class Debounce:
 
     signal: str
     min_us: int
-    neutral: int | None = None
+    neutral: int | str | None = None
 
     def patches(self, obs: DataFrame, keys: list[str]) -> DataFrame:
-        kind = F.when(F.col("v").eqNullSafe(F.lit(self.neutral)), F.lit(None).cast("long")).otherwise(F.col("v"))
+        kind = F.when(~F.col("v").eqNullSafe(_value(obs, self.neutral)), F.col("v"))
         spans = island_spans(obs.where(F.col("signal") == self.signal), [LOG, *keys], kind)
         return spans.where("kind is not null").where(F.col("end_us") - F.col("start_us") < self.min_us).select(
-            LOG, *keys, "start_us", "end_us", F.lit("set").alias("action"), F.lit(self.neutral).cast("long").alias("value")
+            LOG, *keys, "start_us", "end_us", F.lit("set").alias("action"), _value(obs, self.neutral).alias("value")
         )
 
 
@@ -47,10 +55,10 @@ class FillGap:
 
     signal: str
     max_us: int
-    neutral: int | None = None
+    neutral: int | str | None = None
 
     def patches(self, obs: DataFrame, keys: list[str]) -> DataFrame:
-        kind = F.when(F.col("v").eqNullSafe(F.lit(self.neutral)), F.lit(None).cast("long")).otherwise(F.col("v"))
+        kind = F.when(~F.col("v").eqNullSafe(_value(obs, self.neutral)), F.col("v"))
         spans = island_spans(obs.where(F.col("signal") == self.signal), [LOG, *keys], kind)
         return spans.where(
             F.col("kind").isNull()
@@ -74,22 +82,23 @@ class BracketedGap:
             (F.col("before.kind") == 2) & (F.col("after.kind") == 2) & (F.col("next_us") - F.col("start_us") <= self.max_us), F.lit(False)
         )
         return spans.where((F.col("kind") == 1) & ~kept).select(
-            LOG, *keys, "start_us", "end_us", F.lit("set").alias("action"), F.lit(None).cast("long").alias("value")
+            LOG, *keys, "start_us", "end_us", F.lit("set").alias("action"), _value(obs, None).alias("value")
         )
 
 
 @dataclass(frozen=True)
 class RequiresHeld:
-    """A fresh value of ``signal`` while ``other`` holds nothing under the same key is released to ``neutral``."""
+    """A fresh value of ``signal`` while ``other`` holds nothing is released to ``neutral``; both are matched by column ``by``."""
 
     signal: str
     other: str
-    neutral: int | None = None
+    neutral: int | str | None = None
+    by: str = "col"
 
     def patches(self, obs: DataFrame, keys: list[str]) -> DataFrame:
-        fresh = obs.where((F.col("signal") == self.signal) & F.col("v").isNotNull() & ~F.col("v").eqNullSafe(F.lit(self.neutral)))
-        held = asof(fresh, obs.where(F.col("signal") == self.other), [LOG, *keys], ["v"])
-        return _point(held.where("got.v is null"), keys, F.lit(self.neutral))
+        fresh = obs.where((F.col("signal") == self.signal) & F.col("v").isNotNull() & ~F.col("v").eqNullSafe(_value(obs, self.neutral)))
+        held = asof(fresh, obs.where(F.col("signal") == self.other), [LOG, self.by], ["v"])
+        return _point(held.where("got.v is null"), keys, self.neutral)
 
 
 @dataclass(frozen=True)
@@ -101,7 +110,7 @@ class UniqueByScore:
     def patches(self, obs: DataFrame, keys: list[str]) -> DataFrame:
         w = Window.partitionBy(LOG, "frame", "v").orderBy(F.desc("score"), POS)
         rows = obs.where((F.col("signal") == self.signal) & F.col("v").isNotNull())
-        return _point(rows.withColumn("_n", F.row_number().over(w)).where("_n > 1"), keys, F.lit(None))
+        return _point(rows.withColumn("_n", F.row_number().over(w)).where("_n > 1"), keys, None)
 
 
 RULES = {"debounce": Debounce, "fill_gap": FillGap, "bracketed_gap": BracketedGap, "requires_held": RequiresHeld, "unique_by_score": UniqueByScore}
@@ -143,5 +152,7 @@ def correct(obs: DataFrame, rules: list, keys: list[str]) -> DataFrame:
             .withColumn("signal", F.lit(rule.signal))
             .withColumn("patch_idx", F.lit(number << 40) + F.row_number().over(own))
         )
+        if number < len(rules) - 1:  # each rule reads all patches before it: without a cut the plan doubles with every rule
+            found = written(found)
         out = found if out is None else out.unionByName(found)
     return out
