@@ -4,8 +4,9 @@ A page is parted into blocks at block-level tags. Pass one decides what it can:
 structure first (menus, page headers and footers, sidebars, forms, adverts,
 notices and comments go, as does all that stands outside an article where the
 page marks one), then link density, then stop-word density and length. Short
-blocks stay open. In pass two each open block takes the label of the nearest
-decided block of its own section, or of the section itself if none is decided.
+blocks, and long ones without stop words, stay open. In pass two each open block
+takes the label of the nearest decided block (of the article, where one is
+marked); with none decided it stays.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Shortest block that stop words decide, least share of stop words, greatest share of linked characters.
-LONG, STOP_SHARE, LINK_SHARE = 70, 0.15, 0.5
+#: Shortest block that stop words decide, least share of stop words, greatest share of linked characters, the same inside an article.
+LONG, STOP_SHARE, LINK_SHARE, ARTICLE_LINK_SHARE = 70, 0.15, 0.5, 0.9
 #: Fixed word lists: frequent function words of English, German, French and Spanish.
 STOP_WORDS = frozenset(
     "a an and are as at be by for from has he in is it its not of on or that the this to was were will with you"
@@ -77,7 +78,7 @@ def _marks(attrs: str) -> set[str]:
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, not yet labelled."""
     out: list[Block] = []
-    open_tags: list[tuple[str, bool, bool]] = []  # name, furniture from here on, in an article from here on
+    open_tags: list[tuple[str, bool, bool, bool]] = []  # name; from here on: furniture, in an article, no article even if one is marked
     parts: list[str] = []
     state = {"linked": 0, "link_depth": 0, "section": 0}
 
@@ -85,7 +86,7 @@ def blocks_of(page: str) -> list[Block]:
         text = " ".join(html.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            _, bad, inside = open_tags[-1] if open_tags else ("", False, False)
+            _, bad, inside, _ = open_tags[-1] if open_tags else ("", False, False, False)
             out.append(Block(text, min(state["linked"], len(text)), bad, inside, state["section"]))
         state["linked"] = 0
 
@@ -132,35 +133,46 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in ("p", "li") and open_tags and open_tags[-1][0] == name:  # an end tag that was left out
             open_tags.pop()
-        _, bad, inside = open_tags[-1] if open_tags else ("", False, False)
+        _, bad, inside, never = open_tags[-1] if open_tags else ("", False, False, False)
         marks = _marks(attrs)
+        never = never or bool(marks & REMARKS)
         if name in ARTICLE:
-            bad = bool(marks & REMARKS) or (bad and inside)
+            bad = never or (bad and inside)
             inside = True
         elif name in ("body", "html"):
             bad = False
         else:
             bad = bad or name in FURNITURE or (name == "header" and not inside) or bool(marks & MARKS) or name == "head"
         state["section"] += name not in ("p", "li", "td", "tr")
-        open_tags.append((name, bad, inside))
+        open_tags.append((name, bad, inside, never))
     add(page[at:])
     flush()
     return out
 
 
+def _link_heavy(b: Block) -> bool:
+    return b.linked > (ARTICLE_LINK_SHARE if b.in_article else LINK_SHARE) * len(b.text)
+
+
 def classify(blocks: list[Block]) -> None:
     """Label all blocks, pass one and pass two."""
     marked = any(b.in_article and not b.furniture for b in blocks)
     for b in blocks:
         if b.furniture or (marked and not b.in_article):
             b.keep = False
-        elif b.linked > LINK_SHARE * len(b.text):
+        elif _link_heavy(b):
             b.keep = False
         elif len(b.text) >= LONG:
             words = _WORD.findall(b.text.lower())
             share = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-            b.keep = True if share >= STOP_SHARE or b.in_article else False
-    decided = [(i, b.keep) for i, b in enumerate(blocks) if b.keep is not None and not b.furniture and b.linked <= LINK_SHARE * len(b.text) and b.in_article == marked]
+            if share >= STOP_SHARE or b.in_article:
+                b.keep = True
+    # Inside a marked article only its own running text speaks for a short block; elsewhere lists of links do too.
+    decided = [
+        (i, b.keep)
+        for i, b in enumerate(blocks)
+        if b.keep is not None and not b.furniture and (not marked or (b.in_article and not _link_heavy(b)))
+    ]
     for i, b in enumerate(blocks):
         if b.keep is None:
             near = min(decided, key=lambda d: (abs(d[0] - i), not d[1]), default=None)

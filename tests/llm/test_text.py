@@ -139,6 +139,9 @@ PAGES = {
     None: "",
     "<article><p>un<i>clos</i>ed &lt;tag&gt; &#233;": "unclosed <tag> é",
     "<!-- a <p> --><article><p title='a > b'>quoted</p></article>": "quoted",
+    "<header><h1>Site</h1></header><article><header><h1>T</h1></header><p>Body</p><ul><li>one</ul></article><div id='comments'><article><p>nice post</article></div>": "T Body one",
+    "<article><p>one <a href=2>link text here</a></p><p><a href=3>all link</a></p></article>": "one link text here",
+    "<div id=content><h2>Head</h2><p>" + "zz yy xx " * 12 + "</p><p>Short one.</p></div><div class='cookie-notice'>We use cookies</div>": "Head " + ("zz yy xx " * 12).strip() + " Short one.",
     "<article class='comment'><p>reader says so</p></article><article><p>body</p></article>": "body",
 }
 
