@@ -77,3 +77,14 @@ def test_states_and_inventory(spark, log, tmp_path):
     assert api.fresh_at(log, at).count() == 2 and api.frame_view(log).count() == 6
     assert [r["state"] for r in api.inventory(spark, str(tmp_path)).collect()] == ["running"]
     assert jsonl.broken(jsonl.read_lines(spark, str(tmp_path))).count() == 0
+
+
+def test_command_line(log, tmp_path, capsys):
+    from chronolane.__main__ import clock, main, parser
+
+    assert clock("1:02:03.5") == 3723.5 and clock("7") == 7.0
+    assert main(["query", str(tmp_path), "--at", "3", "--show", "fresh"]) == 0
+    rows = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert sorted(r["signal"] for r in rows) == ["arm", "pedals", "popups"]
+    with pytest.raises(SystemExit):
+        parser().parse_args(["nothing"])
