@@ -17,6 +17,7 @@ The only broadcast is the table of cells: 23 * 22 * 22 rows at most.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -189,8 +190,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     )
 
 
-#: For ``similar_documents``: bits of 128 that may differ, the ratio of two neighbouring size classes, texts in a tile.
-WIDE_RADIUS, SIZE_STEP, WIDE_TILE = 30, 1.25, 2048
+#: For ``similar_documents``: documents looked at for how common shingles are, shingles remembered of those, texts in a tile.
+SAMPLE, COMMON, CROSS_TILE = 4096, 1 << 17, 512
 
 
 def shingle_hashes(text: str, width: int, seed: int) -> np.ndarray:
@@ -202,142 +203,150 @@ def shingle_hashes(text: str, width: int, seed: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[s:e], seed) for s, e in zip(starts, ends)), np.uint64, len(starts)))
 
 
-def _majority(h: np.ndarray) -> int:
-    ones = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * ones > len(h)).astype(np.uint8), bitorder="little").view("<u8")[0])
+def _common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, ascending, and counts of shingles that a sample of the documents holds twice or more; they only set an order."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            bags = [shingle_hashes(t, width, SEED) for t in pdf[TEXT]]
+            if bags:
+                yield pd.DataFrame({"token": np.concatenate(bags).view(np.int64)})
+
+    every = max(1, docs.count() // SAMPLE)
+    some = texts(docs).where(F.pmod(F.xxhash64(F.lit("sample"), DOC_ID), F.lit(every)) == 0)
+    counts = some.select(TEXT).mapInPandas(run, "token long").groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = counts.orderBy(F.desc("n"), "token").limit(COMMON).collect()
+    tokens = np.array([r["token"] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], np.array([r["n"] for r in rows], np.int64)[order]
+
+
+def rare_first(bag: np.ndarray, common: np.ndarray, heat: np.ndarray, similarity: float) -> np.ndarray:
+    """The shingles of which two bags as alike as ``similarity`` share one at least: all but that share of them, rare ones first."""
+    keep = len(bag) - math.ceil(similarity * len(bag) - 1e-9) + 1
+    if len(common):
+        at = np.minimum(np.searchsorted(common, bag), len(common) - 1)
+        bag = bag[np.lexsort((bag, np.where(common[at] == bag, heat[at], 0)))]
+    return bag[:keep]
 
-def _wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, size, fp1, fp2): number of distinct shingles and 128 bits of SimHash."""
+
+def _name(bag: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh3_64_intdigest(bag.astype("<u8").tobytes())).view(np.int64))
+
+
+def _marked(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(doc_id, size, name, prefix): number of distinct shingles, a 64-bit name of their set, and the ``rare_first`` ones."""
+    common, heat = _common_shingles(docs, width)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            known: dict[str, tuple[int, int, int]] = {}
+            known: dict[str, tuple] = {}
             rows = []
             for text in pdf[TEXT]:
                 if text not in known:
                     h = shingle_hashes(text, width, SEED)
-                    # The second half takes its bits from the same hashes, remixed.
-                    g = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                    g = (g ^ (g >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
-                    known[text] = (len(h), _majority(h), _majority(g ^ (g >> np.uint64(31)))) if len(h) else (0, 0, 0)
+                    prefix = rare_first(h, common, heat, similarity).view(np.int64) if len(h) else h.view(np.int64)
+                    known[text] = (len(h), _name(h), prefix)
                 rows.append(known[text])
-            size, a, b = (np.array(c, np.uint64) for c in zip(*rows)) if rows else (np.zeros(0, np.uint64),) * 3
-            yield pd.DataFrame({DOC_ID: pdf[DOC_ID].astype("Int64"), "size": size.astype(np.int64), "fp1": a.view(np.int64), "fp2": b.view(np.int64)})
+            out = pd.DataFrame(rows, columns=["size", "name", "prefix"])
+            out.insert(0, DOC_ID, pdf[DOC_ID].astype("Int64").to_numpy())
+            yield out
 
-    return texts(docs).select(F.col(DOC_ID).cast("long"), TEXT).mapInPandas(run, f"{DOC_ID} long, size long, fp1 long, fp2 long")
+    schema = f"{DOC_ID} long, size long, name long, prefix array<long>"
+    return texts(docs).select(F.col(DOC_ID).cast("long"), TEXT).where(F.col(DOC_ID).isNotNull()).mapInPandas(run, schema)
 
 
-def _nearest(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Links from each text of tile a to its nearest text of tile b and the other way round; rows are id, size, fp1, fp2."""
-    us, vs = [], []
-    fa, fb = a[:, 2:].view(np.uint64), b[:, 2:].view(np.uint64)
-    best_of_b = np.full(len(b), 255, np.uint8)
-    from_b = np.zeros(len(b), np.int64)
+def cross_pairs(a: np.ndarray, b: np.ndarray, same: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of texts of two tiles that share a shingle, lie in different groups and can be alike by size and place; rows are name, size, place, group."""
+    us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     rows = max(1, (1 << 18) // max(1, len(b)))
     for at in range(0, len(a), rows):
-        far = np.bitwise_count(fa[at : at + rows, None, 0] ^ fb[None, :, 0])
-        far += np.bitwise_count(fa[at : at + rows, None, 1] ^ fb[None, :, 1])
+        x = a[at : at + rows, None]
+        # Shingles shared before this one and from it on, at most.
+        most = np.minimum(x[..., 2], b[None, :, 2]) + np.minimum(x[..., 1] - x[..., 2], b[None, :, 1] - b[None, :, 2])
+        near = most + 1e-6 >= similarity / (1 + similarity) * (x[..., 1] + b[None, :, 1])
+        near &= x[..., 3] != b[None, :, 3]
         if same:
-            own = np.arange(at, min(at + rows, len(a)))
-            far[own - at, own] = 255
-        near = far.argmin(axis=1)
-        hit = np.nonzero(far[np.arange(len(near)), near] <= WIDE_RADIUS)[0]
-        us.append(a[at + hit, 0])
-        vs.append(b[near[hit], 0])
-        if len(hit):
-            least = far.argmin(axis=0)
-            dist = far[least, np.arange(len(b))]
-            better = dist < best_of_b
-            best_of_b[better], from_b[better] = dist[better], least[better] + at
-    hit = np.nonzero(best_of_b <= WIDE_RADIUS)[0]
-    us.append(b[hit, 0])
-    vs.append(a[from_b[hit], 0])
+            near &= x[..., 0] < b[None, :, 0]
+        i, j = np.nonzero(near)
+        us.append(a[at + i, 0])
+        vs.append(b[j, 0])
     return np.concatenate(us), np.concatenate(vs)
 
 
-def _candidates(distinct: DataFrame) -> DataFrame:
-    """(u, v): for each text, its nearest neighbours among texts of like size, at most one for each tile."""
-    classed = distinct.withColumn("b", F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(SIZE_STEP))).cast("int"))
-    counts = classed.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / WIDE_TILE).cast("int").alias("tiles"))  # a row for each size class, under 200
-    sizes = F.broadcast(counts)
-    beside = F.broadcast(counts.select((F.col("b") - 1).alias("b"), F.col("tiles").alias("tiles_after")))
-    before = F.broadcast(counts.select((F.col("b") + 1).alias("b"), F.col("tiles").alias("tiles_before")))
-    tiles = (
-        classed.join(sizes, "b")
-        .withColumn("s", F.pmod(F.xxhash64(F.lit("tile"), DOC_ID), F.col("tiles")).cast("int"))
-        .groupBy("b", "s", "tiles")
-        .agg(F.collect_list(F.array(F.col(DOC_ID), F.col("size"), F.col("fp1"), F.col("fp2"))).alias("rows"))
-        .join(beside, "b", "left")
-        .join(before, "b", "left")
-    )
+def _leader_links(shared: DataFrame) -> DataFrame:
+    """(u, v): each text with the smallest and the largest of the first texts of its shingles, two links at most."""
+    first = shared.groupBy("token").agg(F.min("name").alias("lead"))
+    ends = shared.join(first, "token").where(F.col("lead") != F.col("name")).groupBy("name").agg(F.min("lead").alias("a"), F.max("lead").alias("b"))
+    return ends.select(F.col("name").alias("u"), F.explode(F.array_distinct(F.array("a", "b"))).alias("v"))
 
-    def steps(n):
-        return F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-
-    def key(b, s, b2, s2):
-        return F.struct(b.alias("b"), s.alias("s"), b2.alias("b2"), s2.alias("s2"))
-
-    b, s = F.col("b"), F.col("s")
-    left = tiles.select(
-        F.explode(
-            F.concat(
-                F.transform(F.filter(steps(F.col("tiles")), lambda x: x >= s), lambda x: key(b, s, b, x)),
-                F.transform(steps(F.coalesce("tiles_after", F.lit(0))), lambda x: key(b, s, b + 1, x)),
-            )
-        ).alias("key"),
-        F.flatten("rows").alias("left"),
-    )
-    right = tiles.select(
-        F.explode(
-            F.concat(
-                F.transform(F.filter(steps(F.col("tiles")), lambda x: x <= s), lambda x: key(b, x, b, s)),
-                F.transform(steps(F.coalesce("tiles_before", F.lit(0))), lambda x: key(b - 1, x, b, s)),
-            )
-        ).alias("key"),
-        F.flatten("rows").alias("right"),
+
+def _crossing_links(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): every pair of different groups that shares a shingle of ``shared`` and can be alike; a hot shingle becomes many tiles."""
+    grouped = shared.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name"))
+    mixed = grouped.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    tiles = (
+        grouped.join(mixed.select("token", F.ceil(F.col("n") / CROSS_TILE).cast("int").alias("tiles")), "token")
+        .withColumn("s", F.pmod(F.xxhash64(F.lit("tile"), "name"), F.col("tiles")).cast("int"))
+        .groupBy("token", "s", "tiles")
+        .agg(F.collect_list(F.array(F.col("name"), F.col("size"), F.col("place"), F.col("root"))).alias("rows"))
     )
-    pairs = left.join(right.hint("shuffle_hash"), "key")
+    left = tiles.select("token", "s", F.explode(F.sequence(F.col("s"), F.col("tiles") - 1)).alias("s2"), F.flatten("rows").alias("left"))
+    right = tiles.select("token", F.explode(F.sequence(F.lit(0), F.col("s"))).alias("s"), F.col("s").alias("s2"), F.flatten("rows").alias("right"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for a, b, same in zip(pdf["left"], pdf["right"], pdf["same"]):
-                u, v = _nearest(np.asarray(a, np.int64).reshape(-1, 4), np.asarray(b, np.int64).reshape(-1, 4), same)
-                yield pd.DataFrame({"u": u, "v": v})
+            found = [
+                cross_pairs(np.asarray(a, np.int64).reshape(-1, 4), np.asarray(b, np.int64).reshape(-1, 4), same, similarity)
+                for a, b, same in zip(pdf["left"], pdf["right"], pdf["same"])
+            ]
+            if found:
+                yield pd.DataFrame({"u": np.concatenate([u for u, _ in found]), "v": np.concatenate([v for _, v in found])})
 
-    same = (F.col("key.b") == F.col("key.b2")) & (F.col("key.s") == F.col("key.s2"))
-    found = pairs.select("left", "right", same.alias("same")).mapInPandas(run, "u long, v long")
-    return found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
+    pairs = left.join(right, ["token", "s", "s2"]).select("left", "right", (F.col("s") == F.col("s2")).alias("same"))
+    return pairs.mapInPandas(run, "u long, v long").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for every row of ``docs`` with an id: groups of texts whose word shingles are alike.
 
-    Candidates are nearest neighbours within ``WIDE_RADIUS`` of 128 SimHash bits,
-    found by the same tiled comparison among texts of like size; each candidate
-    is then verified: Jaccard similarity of the sets of ``width``-word shingles
-    is ``similarity`` or more. Texts without words are alike. component_id is the
-    smallest doc_id of the group; rows with a null doc_id are left out.
+    Texts link if the Jaccard similarity of their sets of ``width``-word shingles
+    is ``similarity`` or more, and no such link between groups is lost. Equal sets
+    are one text. Two sets that alike share a shingle among the first fifth (for
+    0.8) of each in any common order; rare shingles come first, as far as a sample
+    tells, so that common passages bring few texts together. Each text is first
+    verified against two others that it shares such a shingle with; then every
+    pair that shares one and is not yet in one group is. Texts without words are
+    alike. component_id is the smallest doc_id of the group; rows with a null
+    doc_id are left out.
     """
-    marked = written(_wide_fingerprints(docs, width).where(F.col(DOC_ID).isNotNull()))
-    shared = ["size", "fp1", "fp2"]
-    distinct = written(marked.groupBy(*shared).agg(F.min(DOC_ID).alias(DOC_ID)))
-    links = written(_candidates(distinct.where("size > 0")))
-    ends = links.select(F.col("u").alias(DOC_ID)).union(links.select(F.col("v").alias(DOC_ID))).distinct()
+    marked = written(_marked(docs, width, similarity))
+    distinct = written(marked.groupBy("name").agg(F.min(DOC_ID).alias("first_id"), F.first("size").alias("size"), F.first("prefix").alias("prefix")))
+    tokens = distinct.select("name", "first_id", "size", F.posexplode("prefix").alias("place", "token"))
+    repeated = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("token")
+    shared = written(tokens.join(repeated, "token"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({DOC_ID: pdf[DOC_ID], "bag": [shingle_hashes(t, width, SEED).view(np.int64) for t in pdf[TEXT]]})
+            bags = [shingle_hashes(t, width, SEED) for t in pdf[TEXT]]
+            yield pd.DataFrame({"name": [_name(b) for b in bags], "bag": [b.view(np.int64) for b in bags]})
 
-    wanted = texts(docs).select(F.col(DOC_ID).cast("long"), TEXT).join(ends, DOC_ID)
-    bags = written(wanted.mapInPandas(sets, f"{DOC_ID} long, bag array<long>"))
+    wanted = texts(docs).select(F.col(DOC_ID).cast("long"), TEXT).join(shared.select(F.col("first_id").alias(DOC_ID)).distinct(), DOC_ID)
+    bags = written(wanted.select(TEXT).mapInPandas(sets, "name long, bag array<long>"))
     both = F.size(F.array_intersect("a", "b"))
-    verified = (
-        links.join(bags.select(F.col(DOC_ID).alias("u"), F.col("bag").alias("a")), "u")
-        .join(bags.select(F.col(DOC_ID).alias("v"), F.col("bag").alias("b")), "v")
-        .where(both >= similarity * (F.size("a") + F.size("b") - both))
-        .select("u", "v")
-    )
-    roots = components(verified).withColumnsRenamed({"node": DOC_ID})
-    first = distinct.join(roots, DOC_ID, "left").select(*shared, F.coalesce("root", DOC_ID).alias("component_id"))
-    return marked.join(first, shared).select(DOC_ID, "component_id")
+
+    def verified(links: DataFrame) -> DataFrame:
+        return written(
+            links.join(bags.select(F.col("name").alias("u"), F.col("bag").alias("a")), "u")
+            .join(bags.select(F.col("name").alias("v"), F.col("bag").alias("b")), "v")
+            .where(both >= similarity * (F.size("a") + F.size("b") - both))
+            .select("u", "v")
+        )
+
+    near = verified(_leader_links(shared))
+    far = verified(written(_crossing_links(shared, components(near), similarity)))
+    roots = components(near.union(far)).withColumnRenamed("node", "name")
+    rooted = distinct.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    labels = rooted.join(least, "root").select("name", "component_id")
+    return marked.join(labels, "name").select(DOC_ID, "component_id")

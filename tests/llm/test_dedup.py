@@ -89,6 +89,18 @@ def test_similar_documents(spark):
     assert sorted((r["doc_id"], r["component_id"]) for r in rows(simhash_dedup.similar_documents(docs))) == want
 
 
+def test_similar_documents_joins_tight_clusters(spark):
+    """Each text's nearest is in its own cluster; only links of 0.85 join the two."""
+    a1 = [f"w{i}" for i in range(200)]
+    a2 = [*a1[:-1], "other"]
+    b1 = [f"x{i}" if i in (40, 90, 140) else w for i, w in enumerate(a1)]
+    b2 = [*b1[:-1], "another"]
+    far = [f"y{i}" if i in (20, 60, 75, 100, 125, 160) else w for i, w in enumerate(b1)]
+    docs = spark.createDataFrame(list(enumerate(" ".join(t) for t in (a1, a2, b1, b2, far))), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in rows(simhash_dedup.similar_documents(docs))}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4}
+
+
 def _removed(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
