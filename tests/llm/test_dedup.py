@@ -101,6 +101,15 @@ def test_similar_documents_joins_tight_clusters(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, 4: 4}
 
 
+def test_similar_documents_finds_short_texts_at_the_limit(spark):
+    """Nine words and the same without the last: four shingles of five."""
+    texts = [" ".join(f"{c}{i}" for c in "abcdefghi") for i in range(300)]
+    texts += [t.rsplit(" ", 1)[0] for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in rows(simhash_dedup.similar_documents(docs))}
+    assert got == {i: i % 300 for i in range(600)}
+
+
 def _removed(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
