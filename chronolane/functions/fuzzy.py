@@ -42,12 +42,18 @@ def partial_ratio_of(a: str, b: str) -> float:
     def best(short: str, long: str) -> float:
         n, top = len(short), 0.0
         letters = set(short)
-        for end in range(1, len(long) + n):
+        end = 1
+        while end < len(long) + n:
             window = long[max(0, end - n) : end]
             # A window that starts or ends with a foreign letter is never better than its neighbour.
             if window[-1] not in letters and end < len(long):
+                end += 1
                 continue
-            top = max(top, ratio_of(short, window))
+            common = common_subsequence(short, window)
+            top = max(top, 200.0 * common / (n + len(window)))
+            # One step adds one letter, so whole windows before the one that could be better are passed over.
+            ahead = int(top * n / 100 + 1e-9) + 1 - common if n <= end < len(long) else 1
+            end = min(end + ahead, len(long)) if ahead > 1 else end + 1
         return top
 
     return max(best(a, b), best(b, a)) if len(a) == len(b) else best(a, b)

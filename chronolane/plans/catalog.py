@@ -114,11 +114,10 @@ TEMPLATES = [("bench", "sent by {name}: the erhe thatnd"), ("ring", "call {numbe
 
 @query()
 def fuzzy_template_join(spark, sf_dir):
-    """First lines of conversation turns against two templates."""
+    """Whole texts of conversation turns against two templates."""
     forms = spark.createDataFrame([(i, n, t) for n, (i, t) in enumerate(TEMPLATES)], "template_id string, ord int, template string")
     tails = forms.select("template_id", "ord", F.trim(privacy.template_tail(F.col("template"))).alias("tail"))
-    first = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring(F.substring_index("text", "\n", 1), 1, 120).alias("line"))
-    hit = privacy.best_template(first, "line", tails, threshold=60)
+    hit = privacy.best_template(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", tails, threshold=60)
     return hit.where("hit is not null").select("conv_id", "turn", "hit.template_id", F.round("hit.score", 4).alias("score"))
 
 
