@@ -102,9 +102,9 @@ def topk_margin(spark, sf_dir):
 def fuzzy_catalog_match(spark, sf_dir):
     """Noisy part names against the distinct names: best entry of at least 70, and its lead."""
     names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("entry_id"))
-    noisy = names.select(F.col("entry_id").alias("asked"), F.concat(F.substring("name", 1, 3), F.lit(" x"), F.substring("name", 4, 99)).alias("text"))
-    # Distinct names share their first letter with what is asked, which keeps the pairs few.
-    pairs = noisy.withColumn("c", F.substring("text", 1, 1)).join(names.withColumn("c", F.substring("name", 1, 1)), "c")
+    noisy = names.select(F.col("entry_id").alias("asked"), F.concat(F.substring("name", 1, 3), F.lit(" x"), F.expr("substring(name, 4)")).alias("text"))
+    # Every text meets every name, in blocks of both: the runner-up may begin with any letter.
+    pairs = noisy.crossJoin(names)
     scored = pairs.select("asked", "entry_id", F.round(fuzzy.ratio(text.squeezed(F.col("text")), F.col("name")), 4).alias("score")).where("score >= 70")
     return catalog.top_and_margin(scored, ["asked"])
 

@@ -33,3 +33,16 @@ def test_templates_are_found_anywhere_in_a_turn(spark, tmp_path):
         if score >= 60:
             want[i] = (name, round(score, 4))
     assert got == want and set(got) == {0, 1}
+
+
+def test_every_name_is_a_candidate(spark, tmp_path):
+    long = "tin " + "nut" * 40
+    names = ["cold bolt", "old bolt", "brass ring", long, long + "s"]
+    spark.createDataFrame(list(enumerate(names)), "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.asked: (r.entry_id, r.score, None if r.margin is None else round(r.margin, 4)) for r in plans.queries()["fuzzy_catalog_match"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, x in enumerate(names):
+        scores = [(round(fuzzy.ratio_of(x[:3] + " x" + x[3:], y), 4), -j) for j, y in enumerate(names)]
+        best, *rest = sorted((s for s in scores if s[0] >= 70), reverse=True)
+        want[i] = (-best[1], best[0], round(best[0] - rest[0][0], 4) if rest else None)
+    assert got == want and got[0][2] is not None
