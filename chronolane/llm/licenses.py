@@ -1,7 +1,8 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance along directories, in DataFrame functions only.
 
-Every line of every text that has a cue word is compared with every template, and so
-is every whole text as a candidate licence file. Only words of the templates are
+Every line, every block of lines between blank ones and every whole text (as a
+candidate licence file) is compared with every template; left out are those whose
+share of template words bounds every cosine below the least. Only words of the templates are
 looked up; how many lines hold each is counted over the whole input, and words
 outside the templates weigh like a word that no line holds. A file without a
 licence line takes the one of the nearest directory above it that has a licence
@@ -10,6 +11,8 @@ file, found by a join of its directories with those that have one.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +35,6 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
-#: Fixed words, one of which a licence line has.
-CUES = ("license", "licence", "licensed", "licenced", "licenses", "spdx", "copyright", "released", "cc", "gnu")
 HEADER_COSINE, FILE_COSINE = 0.7, 0.7
 WORD = r"[a-z0-9]+(?:\.[0-9]+)*"
 
@@ -58,11 +59,29 @@ def _cosines(units: DataFrame, forms: DataFrame, df: DataFrame, total: Column, l
     return best.select(*key, F.col("best.license").alias("license"), (-F.col("best.less")).alias("cosine"))
 
 
+def _can_reach(words: Column, idf: dict[str, float], outside: float, least: float) -> Column:
+    """Whether some template's cosine can reach ``least``: no cosine exceeds the root of the template words' share of the squared weights."""
+    if not idf:
+        return F.lit(False)
+    weights = F.create_map(*[F.lit(x) for pair in sorted(idf.items()) for x in pair])
+    share = (least - 1e-6) ** 2  # cosines are rounded to six places
+
+    def enough(words: Column, inside: Column) -> Column:
+        times = lambda d: F.size(F.filter(inside, lambda x: x == d))
+        own = F.aggregate(F.array_distinct(inside), F.lit(0.0), lambda sum_, d: sum_ + F.pow(times(d) * F.element_at(weights, d), F.lit(2.0)))
+        # Words outside the templates weigh least if none repeats.
+        return own >= share * (own + (F.size(words) - F.size(inside)) * outside**2)
+
+    # Arrays of one element name a value, so that it is computed once.
+    named = lambda ws: F.exists(F.array(F.filter(ws, lambda w: w.isin(*idf))), lambda ins: (F.size(ins) > 0) & enough(ws, ins))
+    return F.exists(F.array(words), named)
+
+
 def scan(files: DataFrame, known: DataFrame, header_cosine: float = HEADER_COSINE, file_cosine: float = FILE_COSINE) -> DataFrame:
     """(file_id, path, license, cosine, how, from_dir) for every row of ``files`` (file_id, path, text).
 
-    how: ``header`` if a line of the file matches a template (the best line
-    counts, then the first), ``file`` if the whole text is one, ``inherited`` from
+    how: ``header`` if a line or a block of lines matches a template (the best
+    counts, then the first, lines before blocks), ``file`` if the whole text is one, ``inherited`` from
     the nearest directory at or above the file's own that holds a licence file (of
     several the best match, then the first name), ``none`` else (license and
     cosine null). A null text is empty, a null path lies in no directory; rows
@@ -87,9 +106,13 @@ def scan(files: DataFrame, known: DataFrame, header_cosine: float = HEADER_COSIN
     forms = bags.join(F.broadcast(df), "word").withColumn("form_w", F.col("tf") * F.col("idf"))
     forms = forms.withColumn("form_norm", F.sqrt(F.sum(F.col("form_w") * F.col("form_w")).over(Window.partitionBy("license")))).select("word", "license", "form_w", "form_norm")
 
-    cue = F.array(*[F.lit(c) for c in CUES])
+    idf = {w: math.log((n_lines + 1.0) / (counts.get(w, 0) + 1.0)) + 1.0 for w in vocabulary}
+    outside = math.log(n_lines + 1.0) + 1.0
+    blocks = base.select("key", F.posexplode(F.split(TEXT, r"\n[ \t\r]*\n")).alias("block", "content")).where(F.trim(F.col("content"), F.lit("\n")).contains("\n"))
+    blocks = blocks.select("key", (F.lit(1 << 30) + F.col("block")).alias("line"), _words(F.col("content")).alias("words"))
     # A line's cosine depends on its words alone: equal lines are compared once.
-    cued = written(worded.where(F.arrays_overlap("words", cue)).withColumn("content", F.xxhash64("words")))
+    likely = worded.unionAll(blocks).where(_can_reach(F.col("words"), idf, outside, min(header_cosine, file_cosine)))
+    cued = written(likely.withColumn("content", F.xxhash64("words")))
     distinct = cued.groupBy("content").agg(F.first("words").alias("words"))
     matched = written(_cosines(distinct, forms, df, total, min(header_cosine, file_cosine), ["content"]))
     headers = (
@@ -98,10 +121,8 @@ def scan(files: DataFrame, known: DataFrame, header_cosine: float = HEADER_COSIN
         .agg(F.min(F.struct((-F.col("cosine")).alias("less"), "line", "license")).alias("best"))
         .select("key", F.col("best.license").alias("header"), (-F.col("best.less")).alias("header_cosine"))
     )
-    # A licence file says nothing else, so its cue line holds nearly all its words.
-    whole = cued.groupBy("key").agg(F.sum(F.size("words")).alias("cued_words"))
-    sizes = base.join(whole, "key").select("key", "path", "cued_words", _words(F.col(TEXT)).alias("words")).where(F.size("words") <= 2 * F.col("cued_words"))
-    candidates = sizes.dropDuplicates(["key"])
+    sizes = base.select("key", "path", _words(F.col(TEXT)).alias("words")).where(_can_reach(F.col("words"), idf, outside, file_cosine))
+    candidates = written(sizes.dropDuplicates(["key"]))
     whole_files = _cosines(candidates.select("key", "words"), forms, df, total, file_cosine, ["key"])
     licence_files = candidates.select("key", "path").join(whole_files, "key").withColumnsRenamed({"license": "file", "cosine": "file_cosine"})
 
