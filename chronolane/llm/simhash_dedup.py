@@ -190,8 +190,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     )
 
 
-#: For ``similar_documents``: documents looked at for how common shingles are, shingles remembered of those, texts in a tile.
-SAMPLE, COMMON, CROSS_TILE = 4096, 1 << 17, 512
+#: For ``similar_documents``: documents looked at for how common shingles are, shingles remembered of those, first links of a text, texts in a tile.
+SAMPLE, COMMON, LEADS, CROSS_TILE = 4096, 1 << 17, 8, 512
 
 
 def shingle_hashes(text: str, width: int, seed: int) -> np.ndarray:
@@ -275,10 +275,11 @@ def cross_pairs(a: np.ndarray, b: np.ndarray, same: bool, similarity: float) ->
 
 
 def _leader_links(shared: DataFrame) -> DataFrame:
-    """(u, v): each text with the smallest and the largest of the first texts of its shingles, two links at most."""
-    first = shared.groupBy("token").agg(F.min("name").alias("lead"))
-    ends = shared.join(first, "token").where(F.col("lead") != F.col("name")).groupBy("name").agg(F.min("lead").alias("a"), F.max("lead").alias("b"))
-    return ends.select(F.col("name").alias("u"), F.explode(F.array_distinct(F.array("a", "b"))).alias("v"))
+    """(u, v): each text with ``LEADS`` at most of the leaders of its shingles; a shingle's leader is drawn by hash, so that a large group has many."""
+    drawn = F.struct(F.xxhash64("token", "name").alias("draw"), "name")
+    first = shared.groupBy("token").agg(F.min(drawn)["name"].alias("lead"))
+    led = shared.join(first, "token").where(F.col("lead") != F.col("name")).groupBy("name").agg(F.collect_set("lead").alias("leads"))
+    return led.select(F.col("name").alias("u"), F.explode(F.slice(F.array_sort("leads"), 1, LEADS)).alias("v"))
 
 
 def _crossing_links(shared: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
@@ -315,7 +316,7 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8)
     are one text. Two sets that alike share a shingle among the first fifth (for
     0.8) of each in any common order; rare shingles come first, as far as a sample
     tells, so that common passages bring few texts together. Each text is first
-    verified against two others that it shares such a shingle with; then every
+    verified against a few others that it shares such a shingle with; then every
     pair that shares one and is not yet in one group is. Texts without words are
     alike. component_id is the smallest doc_id of the group; rows with a null
     doc_id are left out.
