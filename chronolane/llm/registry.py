@@ -65,6 +65,8 @@ def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
+        # What stays, to be read: bytes of characters of which a part went read as replacement characters.
+        F.expr("make_valid_utf8(cast(kept as string))").alias("text"),
     )
 
 

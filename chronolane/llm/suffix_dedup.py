@@ -426,10 +426,11 @@ def _outside(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(data[s:e] for s, e in zip(edges[::2], edges[1::2]))
 
 
-def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def cut_texts(docs: DataFrame, length: int = LENGTH, least_words: int = 0) -> DataFrame:
     """``docs`` with the same columns, repeats removed from column text (whole characters only) and n_chars, if there is one, set anew.
 
-    Null texts stay null.
+    A run of repeated bytes goes if it has ``least_words`` words or more (parted by
+    white space; a cut word counts). Null texts stay null.
     """
     keyed, spans = repeated_spans(docs, length)
     named = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # whatever the columns are called, they can't clash
@@ -444,7 +445,8 @@ def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append(text)
                 continue
             data = utf8(text)
-            out.append(_outside(data, _merged(own, data, True)).decode("utf-8", "surrogatepass"))
+            spans_ = [(s, e) for s, e in _merged(own, data, True) if len(data[s:e].split()) >= least_words]
+            out.append(_outside(data, spans_).decode("utf-8", "surrogatepass"))
         return pd.Series(out, dtype=object)
 
     joined = whole.withColumn(ROW[0], F.xxhash64(*row)).withColumn(ROW[1], F.xxhash64(F.lit("row"), *row)).join(spans, ROW, "left")

@@ -33,12 +33,13 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without every passage of 400 bytes or more that occurs twice; n_chars follows the text.
+    """All documents, without every passage of 50 words or more, and 200 bytes or more, that occurs twice; n_chars follows the text.
 
-    A character of which only some bytes are covered stays, so that texts stay UTF-8.
+    50 words of the corpus are 250 to 500 bytes but for very short words. A
+    character of which only some bytes are covered stays, so that texts stay UTF-8.
     """
     small_batches(spark)
-    return suffix_dedup.cut_texts(docs, length=suffix_dedup.LENGTH)
+    return suffix_dedup.cut_texts(docs, length=200, least_words=50)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
