@@ -13,10 +13,11 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +46,11 @@ MARKS = frozenset(
 )
 #: Of these, the ones that also hold for an article element itself.
 REMARKS = frozenset("comment comments commentlist disqus ad ads advert advertisement sponsored promo related recommended".split())
+#: What stands in a tag after its name, up to ``>`` outside quotes or, where quotes don't close, to the next one; a tag that the page ends in goes on to the end. Nothing is tried twice.
+_INSIDE = r"(?>(?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*+)"
 _TAG = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{UNREAD})\b(?:\"[^\"]*\"|'[^']*'|[^>])*?>.*?(?:</(?P=raw)\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>])*?)>",
+    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{UNREAD})\b{_INSIDE}(?:>.*?(?:</(?P=raw)\s*>|\Z)|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    rf"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>{_INSIDE})(?:>|\Z)",
     re.S | re.I,
 )
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
@@ -79,6 +82,7 @@ def blocks_of(page: str) -> list[Block]:
     """The page's blocks in order, not yet labelled."""
     out: list[Block] = []
     open_tags: list[tuple[str, bool, bool, bool]] = []  # name; from here on: furniture, in an article, no article even if one is marked
+    n_open: Counter[str] = Counter()
     parts: list[str] = []
     state = {"linked": 0, "link_depth": 0, "section": 0}
 
@@ -118,21 +122,23 @@ def blocks_of(page: str) -> list[Block]:
         attrs = m.group("attrs") or ""
         if name in INLINE and not m.group("end") and not _marks(attrs) & MARKS:
             continue
-        if name in INLINE and m.group("end") and not any(t[0] == name for t in open_tags):
+        if name in INLINE and m.group("end") and not n_open[name]:
             continue
         flush()
         if name in VOID:
             continue
         if m.group("end"):
-            for i in range(len(open_tags) - 1, -1, -1):
-                if open_tags[i][0] == name:
-                    del open_tags[i:]
-                    state["section"] += name not in ("p", "li", "td", "tr")
-                    break
+            if n_open[name]:
+                shut = ""
+                while shut != name:
+                    shut = open_tags.pop()[0]
+                    n_open[shut] -= 1
+                state["section"] += name not in ("p", "li", "td", "tr")
             state["link_depth"] = 0
             continue
         if name in ("p", "li") and open_tags and open_tags[-1][0] == name:  # an end tag that was left out
             open_tags.pop()
+            n_open[name] -= 1
         _, bad, inside, never = open_tags[-1] if open_tags else ("", False, False, False)
         marks = _marks(attrs)
         never = never or bool(marks & REMARKS)
@@ -145,6 +151,7 @@ def blocks_of(page: str) -> list[Block]:
             bad = bad or name in FURNITURE or (name == "header" and not inside) or bool(marks & MARKS) or name == "head"
         state["section"] += name not in ("p", "li", "td", "tr")
         open_tags.append((name, bad, inside, never))
+        n_open[name] += 1
     add(page[at:])
     flush()
     return out
@@ -168,15 +175,19 @@ def classify(blocks: list[Block]) -> None:
             if share >= STOP_SHARE or b.in_article:
                 b.keep = True
     # Inside a marked article only its own running text speaks for a short block; elsewhere lists of links do too.
-    decided = [
-        (i, b.keep)
-        for i, b in enumerate(blocks)
-        if b.keep is not None and not b.furniture and (not marked or (b.in_article and not _link_heavy(b)))
-    ]
+    speaks = [b.keep is not None and not b.furniture and (not marked or (b.in_article and not _link_heavy(b))) for b in blocks]
+    n = len(blocks)
+    before, after, last = [-n] * n, [2 * n] * n, -n
+    for i in range(n):
+        before[i] = last = i if speaks[i] else last
+    last = 2 * n
+    for i in range(n - 1, -1, -1):
+        after[i] = last = i if speaks[i] else last
+    labels = [b.keep for b in blocks]
     for i, b in enumerate(blocks):
         if b.keep is None:
-            near = min(decided, key=lambda d: (abs(d[0] - i), not d[1]), default=None)
-            b.keep = near[1] if near else True
+            near = [labels[j] for j in (before[i], after[i]) if 0 <= j < n and abs(j - i) == min(i - before[i], after[i] - i)]
+            b.keep = any(near) if near else True
 
 
 def extract(page: str) -> str:
@@ -189,9 +200,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
     """(page_id, url, text) for every row of ``pages``; null or empty html gives an empty text, repeated rows stay repeated."""
     chosen = pages.select(F.col(id_col), F.col("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({id_col: pdf[id_col], "url": pdf["url"], "text": pdf["html"].map(extract)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.array([extract(x) for x in batch.column(2).to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], names=[id_col, "url", "text"])
 
     kinds = [f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema.fields[:2]]
-    return chosen.mapInPandas(run, ", ".join([*kinds, "text string"]))
+    return chosen.mapInArrow(run, ", ".join([*kinds, "text string"]))
