@@ -158,26 +158,26 @@ def parse_avi(data: bytes) -> Video:
     """Frames of the first video stream, by the index if there is one, else in the order of the movi list. Broken files give the frames that can be told."""
     out, movi, index = Video(), None, None
 
-    def walk(at: int, end: int) -> None:
-        nonlocal movi, index
-        while at + 8 <= end:
-            name, size = struct.unpack_from("<4sI", data, at)
-            body, stop = at + 8, min(at + 8 + size, end)
-            if name in (b"RIFF", b"LIST"):
-                if data[body : body + 4] == b"movi":
-                    movi = (body, stop)
-                else:
-                    walk(body + 4, stop)
-            elif name == b"strh" and data[body : body + 4] == b"vids" and stop - body >= 28:
-                scale, rate = struct.unpack_from("<II", data, body + 20)
-                out.fps = rate / scale if scale and rate else out.fps
-            elif name == b"strd" and stop - body == 8:
-                out.payload_bytes = struct.unpack_from("<Q", data, body)[0]
-            elif name == b"idx1":
-                index = (body, stop)
-            at = body + size + size % 2
-
-    walk(0, len(data))
+    open_lists = [(0, len(data))]
+    while open_lists:
+        at, end = open_lists.pop()
+        if at + 8 > end:
+            continue
+        name, size = struct.unpack_from("<4sI", data, at)
+        body, stop = at + 8, min(at + 8 + size, end)
+        open_lists.append((body + size + size % 2, end))
+        if name in (b"RIFF", b"LIST"):
+            if data[body : body + 4] == b"movi":
+                movi = (body, stop)
+            else:
+                open_lists.append((body + 4, stop))
+        elif name == b"strh" and data[body : body + 4] == b"vids" and stop - body >= 28:
+            scale, rate = struct.unpack_from("<II", data, body + 20)
+            out.fps = rate / scale if scale and rate else out.fps
+        elif name == b"strd" and stop - body == 8:
+            out.payload_bytes = struct.unpack_from("<Q", data, body)[0]
+        elif name == b"idx1":
+            index = (body, stop)
     if movi is None:
         return out
     if index is not None:
