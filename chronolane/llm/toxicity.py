@@ -227,6 +227,11 @@ def _calibrated(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, label_col: str = "toxic") -> ToxicityModel:
     """Learn from ``labels`` (doc_id and a 0/1 column; null labels and ids are skipped, of repeated ids the greatest label counts).
 
+    Of documents that share a labelled id the longest text is learnt from, so the
+    sample has ``max_rows`` rows at most. The map to landmarks is Nystroem's in
+    form: kernels under ``LEAST`` are zero and a document takes each landmark's
+    best word, which is no longer a positive definite kernel.
+
     Without both labels there is nothing to tell apart: every score is then the
     share of toxic labels (0 without labels).
     """
@@ -238,7 +243,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, label_col: s
         .limit(max_rows)
     )
     # max_rows pairs of numbers at most, so the broadcast is bounded.
-    sample = written(texts(docs).join(F.broadcast(known), DOC_ID).select("y", TEXT))
+    found = texts(docs).join(F.broadcast(known), DOC_ID)
+    sample = written(found.groupBy(DOC_ID).agg(F.first("y").alias("y"), F.max_by(TEXT, F.struct(F.length(TEXT), F.xxhash64(TEXT))).alias(TEXT)).select("y", TEXT))
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
