@@ -1,10 +1,12 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance along directories, in DataFrame functions only.
 
 Every line, every block of lines between blank ones and every whole text (as a
-candidate licence file) is compared with every template; left out are those whose
-share of template words bounds every cosine below the least. Only words of the templates are
-looked up; how many lines hold each is counted over the whole input, and words
-outside the templates weigh like a word that no line holds. A file without a
+candidate licence file) is compared with every template, but for those that an
+exact bound rules out: a template's lightest words, as long as their share of its
+squared weights stays under the square of the least cosine, cannot reach that
+cosine alone, so a match holds one of its other words (its cues). Only words of
+the templates are looked up; how many lines hold each is counted over the whole
+input, and words outside the templates weigh like a word that no line holds. A file without a
 licence line takes the one of the nearest directory above it that has a licence
 file, found by a join of its directories with those that have one.
 """
@@ -12,6 +14,7 @@ file, found by a join of its directories with those that have one.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,6 +62,21 @@ def _cosines(units: DataFrame, forms: DataFrame, df: DataFrame, total: Column, l
     return best.select(*key, F.col("best.license").alias("license"), (-F.col("best.less")).alias("cosine"))
 
 
+def cues(bags: list[tuple[str, str, int]], idf: dict[str, float], least: float) -> list[str]:
+    """Words of which a text holds one at least if its cosine to any template (license, word, tf) reaches ``least``."""
+    out: set[str] = set()
+    weights: dict[str, list[tuple[float, str]]] = {}
+    for license_, word, tf in bags:
+        weights.setdefault(license_, []).append(((tf * idf[word]) ** 2, word))
+    for words in weights.values():
+        room = (least - 1e-6) ** 2 * sum(w for w, _ in words) - 1e-9
+        for w, word in sorted(words):
+            room -= w
+            if room <= 0:
+                out.add(word)
+    return sorted(out)
+
+
 def _can_reach(words: Column, idf: dict[str, float], outside: float, least: float) -> Column:
     """Whether some template's cosine can reach ``least``: no cosine exceeds the root of the template words' share of the squared weights."""
     if not idf:
@@ -92,11 +110,11 @@ def scan(files: DataFrame, known: DataFrame, header_cosine: float = HEADER_COSIN
         "file_id", "path", F.coalesce(F.col(TEXT).cast("string"), F.lit("")).alias(TEXT)
     ).withColumn("key", F.xxhash64("file_id", "path", TEXT))
     bags = known.select("license", F.explode(_words(F.col("template"))).alias("word")).groupBy("license", "word").agg(F.count(F.lit(1)).alias("tf"))
-    vocabulary = [r["word"] for r in bags.select("word").distinct().orderBy("word").collect()]  # of the templates
-    listed = F.array(*[F.lit(w) for w in vocabulary]) if vocabulary else F.array().cast("array<string>")
-    lines = base.select("key", F.posexplode(F.split(TEXT, "\n")).alias("line", "content"))
-    worded = lines.select("key", "line", _words(F.col("content")).alias("words"))
-    counts = worded.select(F.explode(F.array_union(F.array_intersect("words", listed), F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    listed_bags = [(r["license"], r["word"], r["tf"]) for r in bags.collect()]  # of the templates, a list that the caller gives
+    vocabulary = sorted({word for _, word, _ in listed_bags})
+    each_line = base.select(F.explode(F.split(TEXT, "\n")).alias("content")).select(_words(F.col("content")).alias("words"))
+    known_words = F.array_distinct(F.filter("words", lambda w: w.isin(*vocabulary)))
+    counts = each_line.select(F.explode(F.concat(known_words, F.array(F.lit("")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["word"]: r["n"] for r in counts.collect()}  # one row for each word of the templates, and one for all lines
     n_lines = counts.pop("", 0)
     total = F.lit(float(n_lines))
@@ -108,7 +126,12 @@ def scan(files: DataFrame, known: DataFrame, header_cosine: float = HEADER_COSIN
 
     idf = {w: math.log((n_lines + 1.0) / (counts.get(w, 0) + 1.0)) + 1.0 for w in vocabulary}
     outside = math.log(n_lines + 1.0) + 1.0
-    blocks = base.select("key", F.posexplode(F.split(TEXT, r"\n[ \t\r]*\n")).alias("block", "content")).where(F.trim(F.col("content"), F.lit("\n")).contains("\n"))
+    low = F.lower(TEXT)
+    cued_words = cues(listed_bags, idf, min(header_cosine, file_cosine))
+    base_cued = base.where(reduce(lambda a, b: a | b, [low.contains(w) for w in cued_words], F.lit(False)))
+    lines = base_cued.select("key", F.posexplode(F.split(TEXT, "\n")).alias("line", "content"))
+    worded = lines.select("key", "line", _words(F.col("content")).alias("words"))
+    blocks = base_cued.select("key", F.posexplode(F.split(TEXT, r"\n[ \t\r]*\n")).alias("block", "content")).where(F.trim(F.col("content"), F.lit("\n")).contains("\n"))
     blocks = blocks.select("key", (F.lit(1 << 30) + F.col("block")).alias("line"), _words(F.col("content")).alias("words"))
     # A line's cosine depends on its words alone: equal lines are compared once.
     likely = worded.unionAll(blocks).where(_can_reach(F.col("words"), idf, outside, min(header_cosine, file_cosine)))
@@ -121,7 +144,7 @@ def scan(files: DataFrame, known: DataFrame, header_cosine: float = HEADER_COSIN
         .agg(F.min(F.struct((-F.col("cosine")).alias("less"), "line", "license")).alias("best"))
         .select("key", F.col("best.license").alias("header"), (-F.col("best.less")).alias("header_cosine"))
     )
-    sizes = base.select("key", "path", _words(F.col(TEXT)).alias("words")).where(_can_reach(F.col("words"), idf, outside, file_cosine))
+    sizes = base_cued.select("key", "path", _words(F.col(TEXT)).alias("words")).where(_can_reach(F.col("words"), idf, outside, file_cosine))
     candidates = written(sizes.dropDuplicates(["key"]))
     whole_files = _cosines(candidates.select("key", "words"), forms, df, total, file_cosine, ["key"])
     licence_files = candidates.select("key", "path").join(whole_files, "key").withColumnsRenamed({"license": "file", "cosine": "file_cosine"})
