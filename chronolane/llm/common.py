@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (local tests), a temporary folder is set.
+    Where the session names none, a session on one machine gets a temporary
+    folder; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
@@ -59,5 +62,6 @@ def utf8(text: str) -> bytes:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows of whole documents go to Python a few hundred at a time, so that long texts don't pile up in a worker."""
+    """Rows of whole documents go to Python a few hundred at a time, so that long texts don't pile up in a worker; shuffles go when the write that they were for has ended."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
