@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +42,54 @@ def next_event(runs: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
     return both.where("not mark").select(*by, F.col("t_us").alias("at_us"), "next_us")
 
 
+def visible(layers: DataFrame, by: list[str]) -> DataFrame:
+    """``layers`` (by, layer, start_us, end_us, v) as runs that don't overlap within a layer: at any time the run that started last shows (of several the one with the greatest v).
+
+    One pass over each layer's sorted runs, with a stack of those that are still open; at most two pieces for each run.
+    """
+    keys = [*by, "layer"]
+    rows = layers.where("end_us > start_us").select(*keys, "start_us", "end_us", "v")
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "start_us", F.asc_nulls_first("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, now, open_runs, out = None, 0, [], []
+
+        def upto(time: int | None) -> None:
+            nonlocal now
+            while open_runs and (time is None or now < time):
+                end, v = open_runs[-1]
+                if end <= now:
+                    open_runs.pop()
+                    continue
+                stop = end if time is None else min(end, time)
+                out.append((*group, now, stop, v))
+                now = stop
+
+        def table() -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
+            out.clear()
+            return pa.RecordBatch.from_arrays(columns, names=[*keys, "start_us", "end_us", "v"])
+
+        kinds: list[pa.DataType] = []
+        for batch in batches:
+            kinds = kinds or [c.type for c in batch.columns]
+            for *own, start, end, v in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != group:
+                    upto(None)
+                    group, now = own, start
+                    open_runs.clear()
+                upto(start)
+                now = start
+                open_runs.append((end, v))
+            if out:
+                yield table()
+        upto(None)
+        if out:
+            yield table()
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 def overlay(layers: DataFrame, by: list[str]) -> DataFrame:
     """Elementary segments between all boundaries of ``layers`` (by, layer, start_us, end_us, v), one row for each segment and layer that covers it.
 
@@ -49,15 +100,14 @@ def overlay(layers: DataFrame, by: list[str]) -> DataFrame:
     segments = cuts.select(*by, F.col("at_us").alias("from_us"), F.lead("at_us").over(Window.partitionBy(*by).orderBy("at_us")).alias("to_us")).where(
         "to_us is not null"
     )
-    # Runs end exactly at boundaries, so each run unfolds into its own segments by a count of boundaries.
+    # Visible pieces begin and end at boundaries, so each unfolds into its own segments, which are the rows of the result, by a count of boundaries.
     numbered = segments.withColumn("seg", F.row_number().over(Window.partitionBy(*by).orderBy("from_us")))
     first = numbered.select(*by, F.col("from_us").alias("start_us"), F.col("seg").alias("first_seg"))
     last = numbered.select(*by, F.col("to_us").alias("end_us"), F.col("seg").alias("last_seg"))
     unfolded = (
-        layers.where("end_us > start_us")
+        visible(layers, by)
         .join(first, [*by, "start_us"])
         .join(last, [*by, "end_us"])
         .withColumn("seg", F.explode(F.sequence("first_seg", "last_seg")))
     )
-    top = unfolded.groupBy(*by, "layer", "seg").agg(F.max(F.struct("start_us", "v")).alias("top"))
-    return numbered.join(top, [*by, "seg"]).select(*by, "layer", "from_us", "to_us", F.col("top.v").alias("v"))
+    return numbered.join(unfolded.select(*by, "layer", "seg", "v"), [*by, "seg"]).select(*by, "layer", "from_us", "to_us", "v")

@@ -7,9 +7,10 @@ others.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolane.model import LOG
@@ -17,18 +18,24 @@ from chronolane.model import LOG
 LANE = [LOG, "fo", "lane", "col", "v"]
 
 
-def _plain(name: str):
-    def project(state: DataFrame) -> DataFrame:
-        return state.select(LOG, "fo", F.lit(name).alias("lane"), "col", "v")
+@dataclass(frozen=True)
+class Projector:
+    """Rows of one signal as rows of lane ``name``: shown where the SQL condition ``shows`` holds, with ``value``."""
 
-    return project
+    name: str
+    shows: str
+    value: str
 
+    def __call__(self, state: DataFrame) -> DataFrame:
+        return state.where(self.shows).select(LOG, "fo", F.lit(self.name).alias("lane"), "col", F.expr(self.value).cast("long").alias("v"))
 
-def _flag(name: str):
-    def project(state: DataFrame) -> DataFrame:
-        return state.where("v > 0").select(LOG, "fo", F.lit(name).alias("lane"), "col", F.lit(None).cast("long").alias("v"))
 
-    return project
+def _plain(name: str) -> Projector:
+    return Projector(name, "v is not null", "v")
+
+
+def _flag(name: str) -> Projector:
+    return Projector(name, "v > 0", "null")
 
 
 #: Lanes of the driver tables' signals; ``view`` stands for the layout that gates all others.
@@ -79,43 +86,37 @@ def lane_changes(obs: DataFrame, gate: str, projectors: dict, ends: DataFrame) -
     """(log_id, lane, col, t_us, shown, v): change points of every lane, the sparse form of ``unpivot`` over carried state.
 
     A lane's own rows and its log's gate changes meet in one window; of several at
-    one time the last counts.
+    one time the last counts. The lane ``no_ui`` shows while the gate is closed.
+    All that follows the rows' own change points needs one shuffle by (log, lane, col).
     """
     from .temporal import validity
 
-    own = validity(obs, ["signal", "col"]).withColumn("fo", F.struct("t_us", "pos"))
-    signals = [s for s, p in projectors.items() if p is not None]
-    painted = [
-        project(own.where((F.col("signal") == signal) & F.col("v").isNotNull())).select(LOG, "lane", "col", "fo", "v", F.lit(True).alias("held"))
-        for signal, project in projectors.items()
-        if project is not None
-    ]
-    cleared = own.where(F.col("signal").isin(*signals)).select(
-        LOG, F.col("signal").alias("lane"), "col", "fo", F.lit(None).cast("long").alias("v"), F.lit(False).alias("held")
-    )
-    # A key's rows that its projector does not show read as cleared.
-    rows = reduce(DataFrame.unionByName, painted).unionByName(cleared)
-    rows = rows.groupBy(LOG, "lane", "col", "fo").agg(F.max(F.struct("held", "v")).alias("own"))
+    named = {s: p for s, p in projectors.items() if p is not None}
+
+    def pick(of) -> Column:
+        return reduce(lambda c, s: c.when(F.col("signal") == s, of(named[s])), named, F.when(F.lit(False), of(next(iter(named.values())))))
+
+    shown = obs.where(F.col("signal").isin(*named))
+    lane = pick(lambda p: F.lit(p.name)).alias("lane")
+    at = F.struct(F.col("t_us"), F.col("pos")).alias("fo")
+    held = F.coalesce(pick(lambda p: F.expr(p.shows)), F.lit(False))
+    own = F.struct(held.alias("held"), F.when(held, pick(lambda p: F.expr(p.value).cast("long"))).alias("v")).alias("own")
+    rows = validity(shown, ["signal", "col"]).select(LOG, lane, "col", at, own, F.lit(None).cast("boolean").alias("gate"))
     gates = gate_changes(obs, gate)
-    turned = rows.select(LOG, "lane", "col").distinct().join(gates, LOG).select(
-        LOG, "lane", "col", F.struct("t_us", "pos").alias("fo"), F.col("open").alias("gate")
+    empty = F.lit(None).cast("struct<held: boolean, v: bigint>")
+    turned = shown.select(LOG, lane, "col").distinct().join(gates, LOG).select(LOG, "lane", "col", at, empty.alias("own"), F.col("open").alias("gate"))
+    bare = F.struct(F.lit(True).alias("held"), F.lit(None).cast("long").alias("v")).alias("own")
+    dark = gates.select(LOG, at, (~F.col("open")).alias("gate")).unionByName(
+        ends.select(LOG, F.struct(F.col("first_us").alias("t_us"), F.lit(-1).cast("long").alias("pos")).alias("fo"), F.lit(True).alias("gate"))
     )
-    both = rows.select("*", F.lit(None).cast("boolean").alias("gate")).unionByName(turned, allowMissingColumns=True)
+    dark = dark.select(LOG, F.lit("no_ui").alias("lane"), F.lit(0).cast("long").alias("col"), "fo", bare, "gate")
     w = Window.partitionBy(LOG, "lane", "col").orderBy("fo")
-    held = both.withColumns({"own": F.last("own", True).over(w), "gate": F.last("gate", True).over(w)})
-    points = held.select(
-        LOG,
-        "lane",
-        "col",
-        "fo",
-        (F.coalesce("gate", F.lit(False)) & F.coalesce("own.held", F.lit(False))).alias("shown"),
-        F.col("own.v").alias("v"),
-    )
-    dark = gates.select(LOG, F.struct("t_us", "pos").alias("fo"), (~F.col("open")).alias("shown")).unionByName(
-        ends.select(LOG, F.struct(F.col("first_us").alias("t_us"), F.lit(-1).cast("long").alias("pos")).alias("fo"), F.lit(True).alias("shown"))
+    both = rows.unionByName(turned).unionByName(dark)
+    state = both.withColumns({"own": F.last("own", True).over(w), "gate": F.last("gate", True).over(w)})
+    points = state.select(
+        LOG, "lane", "col", "fo", (F.coalesce("gate", F.lit(False)) & F.coalesce("own.held", F.lit(False))).alias("shown"), F.col("own.v").alias("v")
     )
-    dark = dark.select(LOG, F.lit("no_ui").alias("lane"), F.lit(0).cast("long").alias("col"), "fo", "shown", F.lit(None).cast("long").alias("v"))
-    each = points.unionByName(dark).groupBy(LOG, "lane", "col", F.col("fo.t_us").alias("t_us"))
+    each = points.groupBy(LOG, "lane", "col", F.col("fo.t_us").alias("t_us"))
     return each.agg(F.max_by(F.struct("shown", "v"), "fo").alias("row")).select(LOG, "lane", "col", "t_us", "row.shown", "row.v")
 
 

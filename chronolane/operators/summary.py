@@ -14,11 +14,15 @@ def span() -> Column:
 
 def totals(runs: DataFrame, lanes: dict[str, str]) -> DataFrame:
     """One row a log: for each lane its count and duration, under the names given."""
-    out = []
+    return runs.groupBy(LOG).agg(*_totals(lanes))
+
+
+def _totals(lanes: dict[str, str]) -> list[Column]:
+    out = [F.count(F.lit(1)).alias("intervals")]
     for lane, name in lanes.items():
         own = F.col("lane") == lane
         out += [F.count_if(own).alias(f"{name}_count"), F.coalesce(F.sum(F.when(own, span())), F.lit(0)).alias(f"{name}_us")]
-    return runs.groupBy(LOG).agg(F.count(F.lit(1)).alias("intervals"), *out)
+    return out
 
 
 def uses(runs: DataFrame, lane: str) -> DataFrame:
@@ -41,14 +45,11 @@ def changes(runs: DataFrame, lane: str) -> DataFrame:
 
 
 def summarize(runs: DataFrame, lanes: dict[str, str], mount: str) -> DataFrame:
-    """Totals, number of distinct mounts and mount changes of each log."""
-    mounts = uses(runs, mount).groupBy(LOG).agg(F.count(F.lit(1)).alias("mounts"))
-    return (
-        totals(runs, lanes)
-        .join(mounts, LOG, "left")
-        .join(changes(runs, mount), LOG, "left")
-        .fillna(0, ["mounts", "changes"])
-    )
+    """Totals, number of distinct mounts and mount changes of each log, in one pass over ``runs``."""
+    before = Window.partitionBy(LOG, "lane", "col").orderBy("start_us").rowsBetween(Window.unboundedPreceding, -1)
+    mounted = F.when(F.col("lane") == mount, F.col("v"))
+    seen = runs.withColumn("_before", F.last(mounted, True).over(before))
+    return seen.groupBy(LOG).agg(*_totals(lanes), F.count_distinct(mounted).alias("mounts"), F.count_if(mounted != F.col("_before")).alias("changes"))
 
 
 def footer(obs: DataFrame, gate: str) -> DataFrame:
