@@ -1,8 +1,10 @@
 """Command line over the named API: rows as JSON lines on standard output.
 
-    python -m chronolane query LOGS --at 1:02:03 [--show state|fresh]
+    python -m chronolane query LOGS --at 1:02:03 [--show state|fresh|lanes]
     python -m chronolane intervals|summary LOGS [--actions ACTIONS.json] [--templates TEMPLATES.json] [--raw]
     python -m chronolane frames|inventory LOGS
+    python -m chronolane search LOGS 'instrument:scissors "a phrase"'
+    python -m chronolane catalog ENTRIES.json
     python -m chronolane screen LOGS --templates TEMPLATES.json
 
 Texts that match a template are masked in intervals and summaries where templates
@@ -18,28 +20,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolane import api
+from chronolane.functions.clock import parsed
 from chronolane.operators import privacy
 
 ACTIONS = "alias string, color string, labels array<string>"
 
 
-def clock(text: str) -> float:
-    """Seconds from ``h:mm:ss.f`` or any number of base-60 parts."""
-    total = 0.0
-    for part in text.split(":"):
-        total = total * 60 + float(part)
-    return total
-
-
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="chronolane")
     commands = out.add_subparsers(dest="command", required=True)
-    for name in ("query", "intervals", "summary", "frames", "inventory", "screen"):
+    for name in ("query", "intervals", "summary", "frames", "inventory", "search", "screen", "catalog"):
         own = commands.add_parser(name)
-        own.add_argument("logs")
+        own.add_argument("entries" if name == "catalog" else "logs")
+        if name == "search":
+            own.add_argument("words")
         if name == "query":
-            own.add_argument("--at", type=clock)
-            own.add_argument("--show", choices=("state", "fresh"), default="state")
+            own.add_argument("--at", help="h:mm:ss or seconds")
+            own.add_argument("--show", choices=("state", "fresh", "lanes"), default="state")
+            own.add_argument("--actions")
         if name in ("intervals", "summary"):
             own.add_argument("--actions")
             own.add_argument("--raw", action="store_true", help="without corrections")
@@ -57,13 +55,22 @@ def _templates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
+    if args.command == "catalog":
+        entries = spark.read.json(args.entries, multiLine=True)
+        return entries.orderBy(*[c for c in ("is_system", "type", "name") if c in entries.columns])
     if args.command == "inventory":
-        return api.inventory(spark, args.logs)
+        return api.inventory(spark, args.logs).orderBy("name")
+    if args.command == "search":
+        return api.search(api.inventory(spark, args.logs), args.words, api.corpus()).orderBy("name")
     log = api.load(spark, args.logs)
     if args.command == "query":
         at = log.groupBy("log_id").agg(F.max("t_us").alias("at_us"))
         if args.at is not None:
-            at = at.withColumn("at_us", F.lit(round(args.at * 1_000_000)))
+            seconds = F.coalesce(parsed(F.lit(args.at)), F.raise_error(F.lit(f"no time: {args.at}")).cast("double"))
+            at = at.withColumn("at_us", F.round(seconds * 1_000_000).cast("long"))
+        if args.show == "lanes":
+            known = spark.read.schema(ACTIONS).json(args.actions, multiLine=True) if args.actions else spark.createDataFrame([], ACTIONS)
+            return api.lanes_at(log, at, known).orderBy("log_id", "lane", "arm", "col")
         return (api.state_at if args.show == "state" else api.fresh_at)(log, at).orderBy("log_id", "signal", "key")
     if args.command == "frames":
         return api.frame_view(log).orderBy("log_id", "t_us")

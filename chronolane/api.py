@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from chronolane.functions.text import normalized
 from chronolane.model import LOG
 from chronolane.operators import archive, lanes, privacy, rules, summary, temporal, wire
-from chronolane.sources import jsonl
+from chronolane.sources import jsonl, tails
 from chronolane.sources.shared import written
 
 search = archive.search
@@ -36,20 +36,41 @@ def fresh_at(log: DataFrame, at: DataFrame) -> DataFrame:
     return temporal.frame_at(log, at)
 
 
+def lanes_at(log: DataFrame, at: DataFrame, actions: DataFrame) -> DataFrame:
+    """(log_id, lane, arm, col, v): what the lanes of each log's last frame at or before its ``at_us`` show."""
+    upto = log.join(at, LOG).where("t_us <= at_us").drop("at_us")
+    grid, shown = wire.painted(upto, actions)
+    last = grid.groupBy(LOG).agg(F.max("fo").alias("fo"))
+    return shown.join(last, [LOG, "fo"]).select(LOG, "lane", "arm", "col", "v")
+
+
 def corrected(log: DataFrame, actions: DataFrame, steps: list | None = None) -> DataFrame:
     """``log`` with the rules' patches applied, the default ones unless ``steps`` are given."""
     found = rules.correct(log, wire.default_rules(actions) if steps is None else steps, ["key"])
     return log if found is None else rules.corrected(log, written(found), ["key"])
 
 
-def masked(log: DataFrame, templates: DataFrame) -> DataFrame:
-    """``log`` with popup texts that match a template replaced; ``templates``: (template_id, ord, tail). Mask after correcting."""
+def mask_patches(log: DataFrame, templates: DataFrame) -> DataFrame:
+    """Point patches that set popup texts which match a template to ``masked:<id>``; ``templates``: (template_id, ord, tail).
+
+    Take them from the log that the views will read, after the corrections.
+    """
     stacks = log.where("signal = 'popups' and v is not null").select("*", F.posexplode(F.from_json("v", wire.SHAPES["popups"])["messages"]).alias("_at", "m"))
     hit = privacy.best_template(stacks.withColumn("_text", F.col("m.text")), "_text", templates)
     part = F.struct("_at", F.struct(privacy.mask(F.col("m.text"), F.col("hit.template_id")).alias("text"), F.col("m.box").alias("box")).alias("m"))
-    whole = hit.groupBy(LOG, "pos").agg(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["m"]).alias("messages"))
-    new = whole.select(LOG, "pos", F.to_json(F.struct(F.lit("popups").alias("type"), "messages")).alias("_v"))
-    return log.join(new, [LOG, "pos"], "left").withColumn("v", F.coalesce("_v", "v")).select(*log.columns)
+    # A row's messages are one payload, which was one value before.
+    whole = hit.groupBy(LOG, "signal", "key", "t_us", "pos").agg(
+        F.transform(F.array_sort(F.collect_list(part)), lambda x: x["m"]).alias("messages"), F.bool_or(F.col("hit").isNotNull()).alias("touched")
+    )
+    return whole.where("touched").select(
+        LOG, "signal", "key", F.col("t_us").alias("start_us"), F.col("t_us").alias("end_us"), F.lit("set").alias("action"),
+        F.to_json(F.struct(F.lit("popups").alias("type"), "messages")).alias("value"), F.col("pos").alias("patch_idx"), F.lit("mask").alias("by"),
+    )
+
+
+def masked(log: DataFrame, templates: DataFrame) -> DataFrame:
+    """``log`` with the patches of ``mask_patches`` applied."""
+    return rules.corrected(log, mask_patches(log, templates), ["key"])
 
 
 def screen(log: DataFrame, templates: DataFrame) -> DataFrame:
@@ -80,9 +101,43 @@ def summary_view(log: DataFrame, actions: DataFrame) -> DataFrame:
     return summary.summarize(runs, names, "instrument")
 
 
-def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(file, state, first, last): each log under ``path``, sealed if its last line is a footer."""
-    edges = jsonl.edge_lines(jsonl.read_lines(spark, path))
-    footer = F.get_json_object("last", "$.observations")
-    version = F.coalesce(F.get_json_object("last", "$.summary_version").cast("int"), F.lit(0))
-    return edges.select("file", archive.state(footer, version).alias("state"), "first", "last")
+def inventory(spark: SparkSession, path: str, by_content: bool = False) -> DataFrame:
+    """(name, state, locale, header, footer, summary, progress): each log under ``path``.
+
+    ``state``: running without a footer, complete with a current summary, outdated
+    else; summary (JSON) of complete logs, progress of running ones with a known
+    duration. Of each file three small ranges are read; ``by_content``: the whole
+    file, for stores that only Spark opens. A file that is no log is an error.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path) if by_content else tails.listing(spark, path)
+    named = files.select(F.col("path").alias("name"), F.col("length").alias("size"), "content") if by_content else files
+    read = tails.edge_lines(named, by_content).withColumns({"header": jsonl.header(F.col("first")), "footer": jsonl.footer(F.col("last"))})
+    kind = archive.state(F.col("footer.observations"), F.coalesce("footer.summary_version", F.lit(0)))
+    last_s = F.get_json_object("last", "$.t").try_cast("double")
+    return read.withColumn("state", kind).select(
+        "name",
+        "state",
+        jsonl.locale(F.col("header")).alias("locale"),
+        "header",
+        "footer",
+        F.when(F.col("state") == "complete", F.col("footer.summary")).alias("summary"),
+        F.when(F.col("state") == "running", archive.progress(last_s, F.col("header.video.duration_s"))).alias("progress"),
+    )
+
+
+def corpus() -> dict:
+    """What ``search`` looks into of an inventory's rows: names, and of summaries the instruments, actions and texts."""
+
+    def listed(path: str, kind: str = "ARRAY<STRING>"):
+        return F.coalesce(F.from_json(F.get_json_object("summary", path), kind), F.array().cast("array<string>"))
+
+    uses = F.from_json(F.get_json_object("summary", "$.instruments"), "ARRAY<STRUCT<name: STRING, type: STRING>>")
+    both = F.coalesce(F.flatten(F.transform(uses, lambda u: F.array(u["name"], u["type"]))), F.array().cast("array<string>"))
+    actions = F.coalesce(F.map_keys(F.from_json(F.get_json_object("summary", "$.presses_by_action"), "MAP<STRING, STRING>")), F.array().cast("array<string>"))
+    return {
+        "name": F.array("name"),
+        "instrument": F.filter(both, lambda x: x.isNotNull()),
+        "action": actions,
+        "popup": listed("$.popup_texts"),
+        "banner": listed("$.banner_texts"),
+    }

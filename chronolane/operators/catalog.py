@@ -33,6 +33,14 @@ def conflicts(aliases: DataFrame) -> DataFrame:
     return aliases.groupBy(casefold(F.col("alias")).alias("alias")).agg(F.count_distinct("entry_id").alias("owners")).where("owners > 1")
 
 
+def unique(aliases: DataFrame) -> DataFrame:
+    """``aliases``, checked: an alias that two entries claim is an error that names it."""
+    claimed = [r["alias"] for r in conflicts(aliases).orderBy("alias").limit(5).collect()]
+    if claimed:
+        raise ValueError(f"aliases with more than one entry: {', '.join(claimed)}")
+    return aliases
+
+
 def resolve(rows: DataFrame, text: str, aliases: DataFrame) -> DataFrame:
     """``rows`` with entry_id of the exact alias, case folded; of several the smallest. Null if none."""
     known = aliases.groupBy(casefold(F.col("alias")).alias("_folded")).agg(F.min("entry_id").alias("entry_id"))

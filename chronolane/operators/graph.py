@@ -23,13 +23,10 @@ SELECT node, MAX(level) AS level FROM depth GROUP BY node"""
 
 def closure(edges: DataFrame) -> DataFrame:
     """(node, needs) over any number of steps; a cycle is an error of the recursion limit."""
-    edges.createOrReplaceTempView("chronolane_edges")
-    return edges.sparkSession.sql(CLOSURE.format(edges="chronolane_edges"))
+    return edges.sparkSession.sql(CLOSURE, edges=edges)
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, level): the longest path below each node; edges to nodes not listed don't count."""
     own = edges.join(nodes, "node", "left_semi").join(nodes.withColumnRenamed("node", "needs"), "needs", "left_semi")
-    nodes.createOrReplaceTempView("chronolane_nodes")
-    own.createOrReplaceTempView("chronolane_own_edges")
-    return edges.sparkSession.sql(LEVELS.format(nodes="chronolane_nodes", edges="chronolane_own_edges"))
+    return edges.sparkSession.sql(LEVELS, nodes=nodes, edges=own)

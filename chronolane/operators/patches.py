@@ -29,13 +29,20 @@ def apply_patches(obs: DataFrame, patches: DataFrame, keys: list[str], bucket_us
     """``obs`` corrected: a row goes if any patch that covers it deletes, else takes the value of the last one that sets.
 
     Coverage looks at time and key only, which patches never change, so applying
-    them in order equals this. Time and score stay. Patches are filed under every
-    ``bucket_us`` of time that they touch, so the join is an equi-join with a
-    bounded number of candidates.
+    them in order equals this. Time and score stay. Patches that are not
+    ``validated`` are an error. A patch is filed under the two buckets of time at
+    most that it touches, of ``bucket_us`` or, for a longer one, as many times
+    doubled as it takes; a row looks into one bucket of each length in use.
     """
-    first, last = F.floor(F.col("start_us") / bucket_us), F.floor(F.col("end_us") / bucket_us)
-    filed = patches.select(LOG, *keys, "start_us", "end_us", "action", F.col("value").alias("_new"), "patch_idx", F.explode(F.sequence(first, last)).alias("_b"))
-    hit = obs.withColumn("_b", F.floor(F.col(TIME) / bucket_us)).join(filed, [LOG, *keys, "_b"]).where(
+    doubled = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.lit(1.0), (F.col("end_us") - F.col("start_us")) / F.lit(bucket_us))))).cast("int")
+    placed = validated(patches).withColumn("_l", doubled)
+    wide = F.pow(F.lit(2.0), F.col("_l")) * bucket_us
+    filed = placed.select(
+        LOG, *keys, "start_us", "end_us", "action", F.col("value").alias("_new"), "patch_idx", "_l",
+        F.explode(F.sequence(F.floor(F.col("start_us") / wide), F.floor(F.col("end_us") / wide))).alias("_b"),
+    )
+    lengths = placed.select(LOG, *keys, "_l").distinct()
+    hit = obs.join(lengths, [LOG, *keys]).withColumn("_b", F.floor(F.col(TIME) / wide)).join(filed, [LOG, *keys, "_l", "_b"]).where(
         covers(F.col(TIME), F.col("start_us"), F.col("end_us"))
     )
     verdict = hit.groupBy(LOG, POS).agg(

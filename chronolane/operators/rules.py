@@ -7,7 +7,7 @@ start_us, end_us, action, value). Values are of whatever type column v has;
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,23 +117,28 @@ RULES = {"debounce": Debounce, "fill_gap": FillGap, "bracketed_gap": BracketedGa
 
 
 def settings(rule) -> dict:
-    """A rule as the plain settings that a log's header keeps."""
+    """A rule as the plain settings that a log's header keeps; tables that it reads are left out."""
     kind = next(k for k, c in RULES.items() if type(rule) is c)
-    return {"name": f"{kind}:{rule.signal}", **asdict(rule)}
+    plain = {f.name: getattr(rule, f.name) for f in fields(rule)}
+    return {"name": f"{kind}:{rule.signal}", **{k: v for k, v in plain.items() if not isinstance(v, DataFrame)}}
 
 
-def from_settings(entries: list[dict]) -> list:
-    """Rules from their settings; an unknown kind and a time that is no number are errors."""
+def from_settings(entries: list[dict], **tables: DataFrame) -> list:
+    """Rules from their settings; an unknown kind and a time that is no number are errors.
+
+    ``tables``: what rules read besides the log, by the name of their field.
+    """
     out = []
     for entry in entries:
         kind = str(entry.get("name", "")).partition(":")[0]
         if kind not in RULES:
             raise ValueError(f"unknown rule {kind!r}; known: {', '.join(sorted(RULES))}")
-        fields = {k: v for k, v in entry.items() if k != "name"}
+        given = {k: v for k, v in entry.items() if k != "name"}
         for name in ("min_us", "max_us"):
-            if name in fields and (isinstance(fields[name], bool) or not isinstance(fields[name], (int, float))):
-                raise TypeError(f"{name} must be a number, not {fields[name]!r}")
-        out.append(RULES[kind](**fields))
+            if name in given and (isinstance(given[name], bool) or not isinstance(given[name], (int, float))):
+                raise TypeError(f"{name} must be a number, not {given[name]!r}")
+        rule = RULES[kind]
+        out.append(rule(**given, **{f.name: tables[f.name] for f in fields(rule) if f.name in tables}))
     return out
 
 
@@ -147,12 +152,14 @@ def correct(obs: DataFrame, rules: list, keys: list[str]) -> DataFrame:
     out = None
     for number, rule in enumerate(rules):
         own = Window.partitionBy(LOG).orderBy("start_us", "end_us", *keys)
+        if number:  # only the last rule's patches are laid over what the others have corrected
+            obs = corrected(obs, found, keys)
         found = (
-            rule.patches(corrected(obs, out, keys), keys)
+            rule.patches(obs, keys)
             .withColumn("signal", F.lit(rule.signal))
             .withColumn("patch_idx", F.lit(number << 40) + F.row_number().over(own))
         )
-        if number < len(rules) - 1:  # each rule reads all patches before it: without a cut the plan doubles with every rule
+        if number < len(rules) - 1:  # the next rule reads them twice
             found = written(found)
         out = found if out is None else out.unionByName(found)
     return out

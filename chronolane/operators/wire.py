@@ -160,3 +160,6 @@ def default_rules(actions: DataFrame) -> list:
         rules.Debounce("pedals", 50_000, "false"),
         rules.Debounce("laser", 1_000_000, "false"),
     ]
+
+
+rules.RULES |= {"complete_layout": CompleteLayout, "press_needs_action": PressNeedsAction}

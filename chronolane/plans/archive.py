@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from chronolane.functions import clock
-from chronolane.operators import archive, graph, privacy
-from chronolane.sources import jsonl
+from chronolane.operators import archive, graph, privacy, ranks
+from chronolane.sources import jsonl, tails
+from chronolane.sources.shared import folder
 
-from .bind import OBS, observations, query, table
+from .bind import OBS, observations, partial_sql, query, table
 
 #: An archive's entries made from pages: name, and popup and banner texts from the page's host and title.
 CORPUS = "e AS (SELECT page_id, url AS name, string_split(regexp_extract(html, '<title>(.*?)</title>', 1), ' ') AS popup, [regexp_extract(url, '//([^/]*)', 1)] AS banner FROM pages)"
@@ -45,7 +45,7 @@ def search_text_union(spark, sf_dir):
     return archive.search(corpus(spark, sf_dir), "text:tion", fields(), fuzzy=False).select("page_id")
 
 
-@query()
+@query(f"WITH RECURSIVE {CORPUS}, pairs AS (SELECT 'exampel.org' AS x, lower(banner[1]) AS y FROM e), {partial_sql('pairs')} SELECT page_id FROM e JOIN part ON y = lower(banner[1]) WHERE score >= 80")
 def search_fuzzy(spark, sf_dir):
     """A misspelt host finds its pages."""
     return archive.search(corpus(spark, sf_dir), "banner:exampel.org", fields()).select("page_id")
@@ -61,14 +61,13 @@ def search_tokens(spark, sf_dir):
 
 
 @query("""WITH c AS (SELECT o_custkey, COUNT(*) AS n, COUNT(*) FILTER (o_orderstatus = 'F') AS changes FROM orders GROUP BY o_custkey)
-SELECT c_custkey, ROW_NUMBER() OVER (ORDER BY COALESCE(n * 1000 + LEAST(changes, 999), -1) DESC, c_name DESC) AS place FROM customer LEFT JOIN c ON o_custkey = c_custkey QUALIFY place <= 100""")
+SELECT c_custkey, ROW_NUMBER() OVER (ORDER BY COALESCE(n * 1000 + LEAST(changes, 999), -1) DESC, c_name DESC) AS place FROM customer LEFT JOIN c ON o_custkey = c_custkey""")
 def listing_sort(spark, sf_dir):
     counts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderstatus") == "F").alias("changes"))
     rows = table(spark, sf_dir, "customer").join(counts, F.col("o_custkey") == F.col("c_custkey"), "left")
     rank = F.coalesce(F.col("n") * 1000 + F.least("changes", F.lit(999)), F.lit(-1))
-    # A listing's page: sorted and cut before the places are numbered.
-    page = rows.select("c_custkey", "c_name", rank.alias("rank")).orderBy(F.desc("rank"), F.desc("c_name")).limit(100)
-    return page.select("c_custkey", F.row_number().over(Window.orderBy(F.desc("rank"), F.desc("c_name"))).alias("place"))
+    placed = ranks.numbered(rows.select("c_custkey", "c_name", rank.alias("rank")), [F.desc("rank"), F.desc("c_name")])
+    return placed.select("c_custkey", "place")
 
 
 @query("SELECT p_name AS label, COUNT(*) AS n FROM part WHERE contains(lower(p_name), 'ri') GROUP BY p_name ORDER BY n DESC, label LIMIT 8")
@@ -235,8 +234,7 @@ def graph_levels(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base}/chronolane-logs-{uuid.uuid4().hex}"
+    return f"{folder(spark)}/chronolane-logs-{uuid.uuid4().hex}"
 
 
 def _wire(spark, sf_dir):
@@ -282,7 +280,7 @@ def src_incremental_scan(spark, sf_dir):
     where = _folder(spark)
     jsonl.write_logs(_wire(spark, sf_dir), where)
     name = F.regexp_extract("name", r"log_id=([^/]*)/", 1)
-    now = jsonl.listing(spark, where).where(name != "")
+    now = tails.listing(spark, where).where(name != "")
     known = now.where(name < "log-7").withColumn("fresh", F.lit(False))
     fresh = jsonl.changed(now, known).withColumn("fresh", F.lit(True))
     return jsonl.refreshed(now, known, fresh).select(name.alias("log_id"), "fresh")

@@ -23,6 +23,28 @@ OBS = """obs AS (
 #: Half-way through each log.
 MID = "mid AS (SELECT log_id, (MIN(t_us) + MAX(t_us)) // 2 AS at_us FROM obs GROUP BY log_id)"
 
+
+
+def common_sql(pairs: str) -> str:
+    """CTEs for the oracle: ``lcs`` (a, b, common) has the longest common subsequence of each pair of ``pairs`` (a, b), a of 1 to 62 characters, by bits over a."""
+    return f"""ab AS (SELECT DISTINCT a, b FROM {pairs}),
+masks AS (SELECT a, substr(a, p, 1) AS c, SUM(1::HUGEINT << (p - 1)) AS mask FROM (SELECT a, UNNEST(range(1, length(a) + 1)) AS p FROM (SELECT DISTINCT a FROM ab)) GROUP BY a, c),
+steps(a, b, i, bits) AS (SELECT a, b, 0, (1::HUGEINT << length(a)) - 1 FROM ab UNION ALL
+  SELECT s.a, s.b, i + 1, ((bits + (bits & COALESCE(mask, 0::HUGEINT))) | (bits - (bits & COALESCE(mask, 0::HUGEINT)))) & ((1::HUGEINT << length(s.a)) - 1)
+  FROM steps s LEFT JOIN masks m ON m.a = s.a AND m.c = substr(s.b, i + 1, 1) WHERE i < length(s.b)),
+lcs AS (SELECT a, b, length(a) - bit_count(bits) AS common FROM steps WHERE i = length(b))"""
+
+
+def partial_sql(pairs: str) -> str:
+    """CTEs for the oracle: ``part`` (x, y, score) has the partial ratio of each pair of ``pairs`` (x, y), the shorter of up to 62 characters."""
+    return f"""xy AS (SELECT DISTINCT x, y FROM {pairs}),
+sides AS (SELECT x, y, x AS a, y AS l FROM xy WHERE length(x) <= length(y) UNION ALL SELECT x, y, y, x FROM xy WHERE length(y) <= length(x)),
+windows AS (SELECT x, y, a, substr(l, greatest(0, e - length(a)) + 1, least(e, length(l)) - greatest(0, e - length(a))) AS b FROM (SELECT *, UNNEST(range(1, length(l) + length(a))) AS e FROM sides WHERE a <> '' AND NOT contains(l, a))),
+{common_sql("windows")},
+part AS (SELECT x, y, CASE WHEN contains(x, y) AND y <> '' OR contains(y, x) AND x <> '' OR x = y THEN 100.0::DOUBLE ELSE COALESCE(best, 0.0) END AS score FROM xy
+  LEFT JOIN (SELECT x, y, MAX(200.0::DOUBLE * common / (length(a) + length(b))) AS best FROM windows JOIN lcs USING (a, b) GROUP BY x, y) USING (x, y))"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 

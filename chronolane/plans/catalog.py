@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chronolane.functions import fuzzy, text
 from chronolane.operators import catalog, privacy, temporal
 
-from .bind import OBS, observations, query, table
+from .bind import OBS, common_sql, observations, partial_sql, query, table
 
 #: Entries made from parts: the name, a localized name for every third, reload colors for every fifth.
 COLORS = {"red": "rot", "blue": "blau"}
@@ -89,30 +89,41 @@ def pedal_action_lookup(spark, sf_dir):
 
 
 #: Scores of entries for texts: how alike an item's key and a part's key are, a stand-in that SQL can repeat.
-@query("""WITH s AS (SELECT item_id, p_partkey AS entry_id, 100 - abs(length(text) % 97 - p_partkey % 101) AS score FROM benchmark JOIN part ON p_size = item_id % 50 + 1),
+@query("""WITH s AS (SELECT item_id, p_partkey AS entry_id, 100 - abs(length(text) % 97 - p_partkey % 101) AS score FROM benchmark, part),
 r AS (SELECT *, ROW_NUMBER() OVER w AS n, score - LEAD(score) OVER w AS margin FROM s WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, entry_id)) SELECT item_id, entry_id, score, margin FROM r WHERE n = 1""")
 def topk_margin(spark, sf_dir):
-    items = table(spark, sf_dir, "benchmark").select("item_id", (F.length("text") % 97).alias("x"), (F.col("item_id") % 50 + 1).alias("p_size"))
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_id"), F.col("p_size").cast("long").alias("p_size"))
-    scored = items.join(part, "p_size").withColumn("score", 100 - F.abs(F.col("x") - F.col("entry_id") % 101)).select("item_id", "entry_id", "score")
+    items = table(spark, sf_dir, "benchmark").select("item_id", (F.length("text") % 97).alias("x"))
+    entries = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_id"))
+    # The items are what is asked: each is scored against every entry, in blocks.
+    scored = items.crossJoin(entries).withColumn("score", 100 - F.abs(F.col("x") - F.col("entry_id") % 101)).select("item_id", "entry_id", "score")
     return catalog.top_and_margin(scored, ["item_id"])
 
 
-@query()
+@query(f"""WITH RECURSIVE names AS (SELECT p_name AS name, MIN(p_partkey) AS entry_id FROM part GROUP BY p_name),
+asked AS (SELECT entry_id AS asked, replace(lower(trim(regexp_replace(substr(name, 1, 3) || ' x' || substr(name, 4), '\\s+', ' ', 'g'))), 'ß', 'ss') AS a FROM names),
+pairs AS (SELECT asked, entry_id, a, replace(lower(name), 'ß', 'ss') AS b FROM asked, names), {common_sql("pairs")},
+scored AS (SELECT asked, entry_id, ROUND(200.0::DOUBLE * common / (length(a) + length(b))) AS score FROM pairs JOIN lcs USING (a, b) WHERE 200.0::DOUBLE * common / (length(a) + length(b)) >= 70),
+r AS (SELECT *, ROW_NUMBER() OVER w AS n, score - LEAD(score) OVER w AS margin FROM scored WINDOW w AS (PARTITION BY asked ORDER BY score DESC, entry_id))
+SELECT asked, entry_id, score, margin FROM r WHERE n = 1""")
 def fuzzy_catalog_match(spark, sf_dir):
-    """Noisy part names against the distinct names: best entry of at least 70, and its lead."""
+    """Noisy part names against the distinct names, case folded: best entry of at least 70, whole scores, and its lead."""
     names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("entry_id"))
     noisy = names.select(F.col("entry_id").alias("asked"), F.concat(F.substring("name", 1, 3), F.lit(" x"), F.expr("substring(name, 4)")).alias("text"))
     # Every text meets every name, in blocks of both: the runner-up may begin with any letter.
     pairs = noisy.crossJoin(names)
-    scored = pairs.select("asked", "entry_id", F.round(fuzzy.ratio(text.squeezed(F.col("text")), F.col("name")), 4).alias("score")).where("score >= 70")
+    ratio = fuzzy.ratio(text.casefold(text.squeezed(F.col("text"))), text.casefold(F.col("name")))
+    scored = pairs.select("asked", "entry_id", ratio.alias("ratio")).where("ratio >= 70").select("asked", "entry_id", F.round("ratio").alias("score"))
     return catalog.top_and_margin(scored, ["asked"])
 
 
 TEMPLATES = [("bench", "sent by {name}: the erhe thatnd"), ("ring", "call {number} and then for the onen")]
 
 
-@query()
+@query(f"""WITH RECURSIVE forms(template_id, ord, x) AS (VALUES ('bench', 0, ': the erhe thatnd'), ('ring', 1, 'and then for the onen')),
+turns AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{{L}}\\p{{M}}\\p{{N}}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS y FROM conversations),
+pairs AS (SELECT x, y FROM forms, turns), {partial_sql("pairs")},
+r AS (SELECT conv_id, turn, template_id, score, ROW_NUMBER() OVER (PARTITION BY conv_id, turn ORDER BY score DESC, ord) AS n FROM turns JOIN part USING (y) JOIN forms USING (x) WHERE score >= 60)
+SELECT conv_id, turn, template_id, ROUND(score, 4) AS score FROM r WHERE n = 1""")
 def fuzzy_template_join(spark, sf_dir):
     """Whole texts of conversation turns against two templates."""
     forms = spark.createDataFrame([(i, n, t) for n, (i, t) in enumerate(TEMPLATES)], "template_id string, ord int, template string")
@@ -124,11 +135,11 @@ def fuzzy_template_join(spark, sf_dir):
 # Text.
 
 
-@query("SELECT page_id, replace(lower(url), 'ß', 'ss') AS folded FROM pages UNION ALL SELECT doc_id + 1000000, replace(lower(text), 'ß', 'ss') FROM documents WHERE lang = 'de'")
+@query("SELECT page_id, replace(lower(url), 'ß', 'ss') AS folded FROM pages UNION ALL SELECT doc_id + 1000000, replace(lower(text), 'ß', 'ss') FROM documents")
 def str_casefold(spark, sf_dir):
     pages = table(spark, sf_dir, "pages").select("page_id", text.casefold(F.col("url")).alias("folded"))
-    german = table(spark, sf_dir, "documents").where("lang = 'de'").select((F.col("doc_id") + 1000000).alias("page_id"), text.casefold(F.col("text")).alias("folded"))
-    return pages.unionAll(german)
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000000).alias("page_id"), text.casefold(F.col("text")).alias("folded"))
+    return pages.unionAll(docs)
 
 
 @query(r"""SELECT conv_id, turn, trim(regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{M}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS plain FROM conversations""")

@@ -227,12 +227,11 @@ def tristate_resolution(spark, sf_dir):
     return rows.withColumn("d", decision).where("d is not null").select("log_id", "col", "pos", "d.v")
 
 
-MESSAGES = "m AS (SELECT conv_id, turn, w.x AS text, w.i AS ord FROM (SELECT conv_id, turn, UNNEST(list_transform(string_split(split_part(text, chr(10), 1), ' ')[1:12], lambda x, i: {'x': x, 'i': i})) AS w FROM conversations))"
+MESSAGES = "m AS (SELECT conv_id, turn, w.x AS text, w.i AS ord FROM (SELECT conv_id, turn, UNNEST(list_transform(string_split(replace(text, chr(10), ' '), ' '), lambda x, i: {'x': x, 'i': i})) AS w FROM conversations))"
 
 
 def messages(spark, sf_dir):
-    first = F.substring_index("text", "\n", 1)
-    words = F.slice(F.split(first, " "), 1, 12)
+    words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(words).alias("ord", "text")).withColumn("ord", F.col("ord") + 1)
 
 
@@ -248,7 +247,7 @@ def explode_last_wins(spark, sf_dir):
 
 @query(f"WITH {MESSAGES} SELECT conv_id, turn, ord, text FROM m WHERE length(text) >= 6")
 def explode_filtered_array(spark, sf_dir):
-    words = F.slice(F.split(F.substring_index("text", "\n", 1), " "), 1, 12)
+    words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
     placed = F.transform(words, lambda w, i: F.struct((i + 1).alias("ord"), w.alias("text")))
     long = F.filter(placed, lambda p: F.length(p["text"]) >= 6)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(long).alias("p")).select("conv_id", "turn", "p.ord", "p.text")

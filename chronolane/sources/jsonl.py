@@ -6,9 +6,6 @@ its format version; a line without one is an observation.
 
 from __future__ import annotations
 
-import gzip
-import struct
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,12 +96,6 @@ def edge_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def listing(spark: SparkSession, path: str) -> DataFrame:
-    """(name, modified, size) of the files under ``path``; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select(F.col("path").alias("name"), F.col("modificationTime").alias("modified"), F.col("length").alias("size"))
-
-
 def changed(now: DataFrame, known: DataFrame) -> DataFrame:
     """Files that are new or have another time or size than ``known`` has."""
     return now.join(known, ["name", "modified", "size"], "left_anti")
@@ -115,22 +106,40 @@ def refreshed(now: DataFrame, known: DataFrame, fresh: DataFrame) -> DataFrame:
     return known.join(now, ["name", "modified", "size"], "left_semi").unionByName(fresh)
 
 
-def packed(members: list[bytes]) -> bytes:
-    """A sealed log in one gzip file of several members; the first one's extra field tells the sizes of the last two."""
+#: Fixed field names of header, appendix and footer lines.
+HEADER = (
+    "log_version INT, version STRING, created_at STRING, video STRUCT<filename: STRING, width: INT, height: INT, codec: STRING, sha256: STRING, frame_rate: DOUBLE, duration_s: DOUBLE>,"
+    " requested ARRAY<STRING>, signals ARRAY<STRING>, rates MAP<STRING, DOUBLE>, batch_size INT, device STRING, models MAP<STRING, STRUCT<file: STRING, sha256: STRING, threshold: DOUBLE>>,"
+    " engines MAP<STRING, STRUCT<used_by: ARRAY<STRING>, model: STRING, locale: STRING>>, corrections ARRAY<MAP<STRING, STRING>>"
+)
+APPENDIX = "intervals_version INT, intervals ARRAY<STRING>"
+FOOTER = "observations BIGINT, frames_sampled BIGINT, achieved_fps DOUBLE, runtime_s DOUBLE, summary_version INT, summary STRING"
+
+
+def header(line: Column) -> Column:
+    """A header line as a struct; another version than ``LOG_VERSION``, or a line that is no header, is an error."""
+    read = F.from_json(line, HEADER)
+    problem = F.concat(F.lit("no header, or an unsupported log version: "), F.coalesce(F.substring(line, 1, 80), F.lit("")))
+    return F.when(read["log_version"] == LOG_VERSION, read).otherwise(F.raise_error(problem).cast(f"struct<{HEADER}>"))
+
+
+def appendix(line: Column, version: int) -> Column:
+    """An appendix line as a struct; null if the line is none or its version another."""
+    read = F.from_json(line, APPENDIX)
+    return F.when(read["intervals_version"] == version, read)
+
+
+def footer(line: Column) -> Column:
+    """A footer line as a struct; null if the line is none."""
+    read = F.from_json(line, FOOTER)
+    return F.when(read["observations"].isNotNull(), read)
 
-    def member(data: bytes, extra: bytes = b"") -> bytes:
-        body = gzip.compress(data, mtime=0)
-        if not extra:
-            return body
-        return body[:3] + b"\x04" + body[4:10] + struct.pack("<H", len(extra)) + extra + body[10:]
 
-    tails = [member(m) for m in members[1:]]
-    sizes = struct.pack("<QQ", *(len(t) for t in tails[-2:]))
-    return b"".join([member(members[0], b"CL" + struct.pack("<H", len(sizes)) + sizes), *tails])
+def locale(head: Column) -> Column:
+    """The catalog locale that a log (its header struct) was written with, ``en`` if it names none."""
+    return F.coalesce(F.try_element_at(head["engines"], F.lit("catalog"))["locale"], F.lit("en"))
 
 
-def tail_sizes(head: bytes) -> tuple[int, int] | None:
-    """The sizes that ``packed`` wrote, from a file's first bytes; None if there are none."""
-    if len(head) < 32 or head[:2] != b"\x1f\x8b" or not head[3] & 4 or head[12:14] != b"CL":
-        return None
-    return struct.unpack_from("<QQ", head, 16)
+def confined(name: Column) -> Column:
+    """Whether a name stays inside its archive: a relative path without ``..`` steps, not empty."""
+    return F.coalesce((F.length(name) > 0) & ~name.startswith("/") & ~F.array_contains(F.split(name, "/"), ".."), F.lit(False))

@@ -97,3 +97,68 @@ def gate_loss_tombstones(obs: DataFrame, gate: str, limit_us: int, keys: list[st
 def windowed(rows: DataFrame, size: str, late: str, by: list[str]) -> DataFrame:
     """Counts in tumbling windows of event time (column ts), late rows up to ``late`` included."""
     return rows.withWatermark("ts", late).groupBy(F.window("ts", size), *by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def gate_step(time: int, kind: str | None, state: tuple, loss_us: int, recheck_us: int) -> tuple[str | None, tuple]:
+    """What a gate reading brings, ``lost``, ``recheck`` or None, and the state after it.
+
+    ``kind``: None (absent), ``incomplete`` or ``complete``. State: whether a
+    complete reading is remembered, since when the gate is absent, since when it is
+    incomplete. Absence or incompleteness for its limit, while a complete reading is
+    remembered, forgets that reading.
+    """
+    known, gone, partial = state
+    if kind == "complete":
+        return None, (True, None, None)
+    if kind == "incomplete":
+        if not known:
+            return None, (False, None, None)
+        if partial is None:
+            return None, (True, None, time)
+        return ("recheck", (False, None, None)) if time - partial >= recheck_us else (None, (True, None, partial))
+    if gone is None:
+        return None, (known, time, None)
+    return ("lost", (False, gone, partial)) if known and time - gone >= loss_us else (None, (known, gone, partial))
+
+
+def gate_events(readings: DataFrame, loss_us: int, recheck_us: int) -> DataFrame:
+    """(log_id, t_us, pos, event) of a batch of gate readings (log_id, t_us, pos, kind), streamed through tasks sorted by log and time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        log, state = None, (False, None, None)
+        for pdf in batches:
+            out = []
+            for own, t, pos, kind in pdf.itertuples(index=False):
+                if own != log:
+                    log, state = own, (False, None, None)
+                event, state = gate_step(t, kind, state, loss_us, recheck_us)
+                if event:
+                    out.append((own, t, pos, event))
+            yield pd.DataFrame(out, columns=[LOG, TIME, POS, "event"])
+
+    kind = readings.schema[LOG].dataType.simpleString()
+    rows = readings.select(LOG, TIME, POS, "kind").repartition(LOG).sortWithinPartitions(LOG, TIME, POS)
+    return rows.mapInPandas(run, f"{LOG} {kind}, {TIME} long, {POS} long, event string")
+
+
+def gate_events_stream(readings: DataFrame, loss_us: int, recheck_us: int) -> DataFrame:
+    """The same of a stream; the state is four numbers for each log, rows older than its last are left out."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known, gone, partial, newest = state.get if state.exists else (False, None, None, None)
+        out, own = [], (bool(known), gone, partial)
+        for t, pos, kind in pd.concat(list(parts)).sort_values([TIME, POS])[[TIME, POS, "kind"]].itertuples(index=False):
+            if newest is not None and t < newest:
+                continue
+            event, own = gate_step(t, kind, own, loss_us, recheck_us)
+            newest = t
+            if event:
+                out.append((key[0], t, pos, event))
+        state.update((*own, newest))
+        yield pd.DataFrame(out, columns=[LOG, TIME, POS, "event"])
+
+    kind = readings.schema[LOG].dataType.simpleString()
+    schema = f"{LOG} {kind}, {TIME} long, {POS} long, event string"
+    rows = readings.select(LOG, TIME, POS, "kind").groupBy(LOG)
+    return rows.applyInPandasWithState(run, schema, "known boolean, gone long, partial long, newest long", "append", GroupStateTimeout.NoTimeout)

@@ -3,9 +3,10 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronolane import api
-from chronolane.sources import jsonl
+from chronolane.sources import jsonl, tails
 
 POD = {"x": 1, "y": 2, "w": 3, "h": 4}
 
@@ -80,11 +81,39 @@ def test_states_and_inventory(spark, log, tmp_path):
 
 
 def test_command_line(log, tmp_path, capsys):
-    from chronolane.__main__ import clock, main, parser
+    from chronolane.__main__ import main, parser
 
-    assert clock("1:02:03.5") == 3723.5 and clock("7") == 7.0
-    assert main(["query", str(tmp_path), "--at", "3", "--show", "fresh"]) == 0
+    assert main(["query", str(tmp_path), "--at", "0:03", "--show", "fresh"]) == 0
     rows = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
     assert sorted(r["signal"] for r in rows) == ["arm", "pedals", "popups"]
+    assert main(["query", str(tmp_path), "--at", "3", "--show", "lanes"]) == 0
+    assert "instrument" in {json.loads(x)["lane"] for x in capsys.readouterr().out.splitlines()}
+    assert main(["search", str(tmp_path), "name:case"]) == 0 and '"state":"running"' in capsys.readouterr().out
+    (tmp_path / "entries.json").write_text('[{"name": "b", "type": "x"}, {"name": "a", "type": "x"}]')
+    assert main(["catalog", str(tmp_path / "entries.json")]) == 0
+    assert [json.loads(x)["name"] for x in capsys.readouterr().out.splitlines()] == ["a", "b"]
     with pytest.raises(SystemExit):
         parser().parse_args(["nothing"])
+
+
+def test_inventory_of_sealed_logs(spark, tmp_path):
+    from chronolane.model import LOG_VERSION, SUMMARY_VERSION
+
+    video = {"filename": "v.mp4", "width": 1, "height": 1, "codec": "x", "duration_s": 8.0}
+    head = json.dumps({"log_version": LOG_VERSION, "video": video, "engines": {"catalog": {"used_by": ["instrument"], "locale": "de"}}}).encode()
+    summary = {"instruments": [{"name": "Grasper", "type": "tool"}], "presses_by_action": {"Seal": 1}, "popup_texts": ["hello there"], "banner_texts": []}
+    for name, version in (("new", SUMMARY_VERSION), ("old", SUMMARY_VERSION - 1)):
+        foot = json.dumps({"observations": 1, "frames_sampled": 1, "achieved_fps": 1.0, "runtime_s": 2.0, "summary_version": version, "summary": summary}).encode()
+        (tmp_path / f"{name}.gz").write_bytes(tails.packed(head, b'{"t":1.0,"f":1,"s":"arm","k":["2"],"v":null,"c":0.5}\n', b'{"intervals_version":1,"intervals":[]}', foot))
+    (tmp_path / "open.jsonl").write_bytes(head + b'\n{"t":2.0,"f":1,"s":"arm","k":["2"],"v":null,"c":0.5}\n{"t":3.')
+    for whole in (False, True):
+        got = {r["name"].rsplit("/", 1)[1]: r for r in api.inventory(spark, str(tmp_path), whole).collect()}
+        assert {k: (r["state"], r["locale"], r["progress"]) for k, r in got.items()} == {"new.gz": ("complete", "de", None), "old.gz": ("outdated", "de", None), "open.jsonl": ("running", "de", None)}
+        assert got["new.gz"]["footer"]["runtime_s"] == 2.0 and got["old.gz"]["summary"] is None
+    entries = api.inventory(spark, str(tmp_path))
+    found = lambda words: {r["name"].rsplit("/", 1)[1] for r in api.search(entries, words, api.corpus()).collect()}
+    assert found("instrument:grasper action:seal") == {"new.gz"} and found("popup:hello") == {"new.gz"} and found("name:open") == {"open.jsonl"}
+    (tmp_path / "other.jsonl").write_text('{"log_version":99}\n')
+    with pytest.raises(Exception, match="log version"):
+        api.inventory(spark, str(tmp_path)).collect()
+    assert spark.sql("select 'a/../b' x union all select '/a' union all select '' union all select 'a/b'").where(jsonl.confined(F.col("x"))).count() == 1

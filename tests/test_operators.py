@@ -1,14 +1,16 @@
 """Operators against loops written from their definitions, on seeded random sequences, and at their boundaries."""
 
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from chronolane.functions import fuzzy, text
-from chronolane.operators import archive, intervals, patches, privacy, rules, runs, temporal
-from chronolane.sources import jsonl
-from chronolane.streaming import sessions
+from chronolane.operators import archive, intervals, patches, privacy, rules, runs, temporal, wire
+from chronolane.operators.patches import apply_patches
+from chronolane.sources import jsonl, tails
+from chronolane.streaming import live, sessions
 
 OBS = "log_id int, col int, t_us long, pos long, frame long, signal string, v long, score long"
 
@@ -212,14 +214,105 @@ def test_text_functions(spark):
     assert (row.a, row.b, row.c, row.d) == ("strasse  ä-\nb!", "strasse ä b", "strasse ab", "A BC D")
 
 
-def test_packed_log_tells_its_tail(tmp_path):
+def test_packed_log_tells_its_tail(spark, tmp_path):
     import gzip
 
-    data = jsonl.packed([b"head\n", b"body\n", b"appendix\n", b"footer\n"])
-    a, b = jsonl.tail_sizes(data[:64])
-    assert gzip.decompress(data) == b"head\nbody\nappendix\nfooter\n"
+    data = tails.packed(b"head", b"one\ntwo\n", b"appendix", b"footer")
+    a, b = tails.tail_sizes(data[:64])
+    assert gzip.decompress(data) == b"head\none\ntwo\nappendix\nfooter\n" and tails.head_line(data) == b"head"
     assert gzip.decompress(data[-b:]) == b"footer\n" and gzip.decompress(data[-a - b : -b]) == b"appendix\n"
-    assert jsonl.tail_sizes(gzip.compress(b"x" * 99)) is None and jsonl.packed([b"a", b"b", b"c", b"d"]) == jsonl.packed([b"a", b"b", b"c", b"d"])
+    assert tails.tail_sizes(gzip.compress(b"x" * 99)) is None and tails.head_line(gzip.compress(b"x")) is None and tails.head_line(b"no gzip") is None
+    bare = tails.packed(b"head", b"", None, b"footer")
+    files = {"a.gz": data, "b.gz": gzip.compress(b"head\n\none\ntwo\n"), "c.jsonl": b"head\none\n\ntwo", "d.gz": bare, "e.jsonl": b"\n"}
+    for name, content in files.items():
+        (tmp_path / name).write_bytes(content)
+    want = {"a.gz": ("head", "appendix", "footer"), "b.gz": ("head", "one", "two"), "c.jsonl": ("head", "one", "two"), "d.gz": ("head", "", "footer"), "e.jsonl": ("", "", "")}
+    for whole in (False, True):
+        listed = tails.listing(spark, str(tmp_path))
+        if whole:
+            listed = spark.read.format("binaryFile").load(str(tmp_path)).selectExpr("path as name", "length as size", "content")
+        got = {r["name"].rsplit("/", 1)[1]: (r["first"], r["second_last"], r["last"]) for r in tails.edge_lines(listed, whole).collect()}
+        assert got == want
+    import hashlib
+
+    assert {r["sha256"] for r in tails.sha256(spark, str(tmp_path)).collect()} == {hashlib.sha256(x).hexdigest() for x in files.values()}
+
+
+def test_rules_of_every_kind_come_back_from_settings(spark):
+    actions = spark.createDataFrame([("a", "blue", ["cut"])], "alias string, color string, labels array<string>")
+    own = wire.default_rules(actions)
+    kept = [rules.settings(r) for r in own]
+    assert json.loads(json.dumps(kept)) == kept
+    assert rules.from_settings(kept, actions=actions) == own
+
+
+def test_patches_of_any_length_and_bad_ones(spark):
+    day = 86_400_000_000
+    obs = spark.createDataFrame([(1, i * day // 3, i, "a", i) for i in range(60)], "log_id int, t_us long, pos long, signal string, v long")
+    spans = [(0, 0, 10 * day, "set", -1, 0), (0, 3 * day, 3 * day, "set", -2, 1), (0, 4 * day, 5 * day, "delete", None, 2), (0, 0, 19 * day, "set", -3, 3)]
+    patches = spark.createDataFrame([(1, "a", s, e, act, v, i) for _, s, e, act, v, i in spans], "log_id int, signal string, start_us long, end_us long, action string, value long, patch_idx long")
+    want = {}
+    for i in range(60):
+        t, v, gone = i * day // 3, i, False
+        for _, s, e, act, new, _ in spans:
+            if (t == s) if s == e else s <= t < e:
+                gone, v = gone or act == "delete", new if act == "set" else v
+        if not gone:
+            want[i] = v
+    assert {r["pos"]: r["v"] for r in apply_patches(obs, patches, ["signal"]).collect()} == want
+    with pytest.raises(Exception, match="bad patch"):
+        apply_patches(obs, patches.withColumn("action", F.lit("nope")), ["signal"]).collect()
+
+
+def test_gate_events_of_streams_and_batches(spark, tmp_path):
+    rnd = random.Random(4)
+    rows, want = [], []
+    for log in range(3):
+        t, known, gone, partial = 0, False, None, None
+        for i in range(150):
+            t += rnd.randint(1, 4)
+            kind = rnd.choices([None, "incomplete", "complete"], [5, 4, 1])[0]
+            rows.append((log, t, i, kind))
+            if kind == "complete":
+                known, gone, partial = True, None, None
+            elif kind == "incomplete":
+                gone = None
+                if not known:
+                    partial = None
+                elif partial is None:
+                    partial = t
+                elif t - partial >= 9:
+                    known, partial = False, None
+                    want.append((log, t, i, "recheck"))
+            elif gone is None:
+                gone, partial = t, None
+            elif known and t - gone >= 6:
+                known = False
+                want.append((log, t, i, "lost"))
+    schema = "log_id int, t_us long, pos long, kind string"
+    batch = sessions.gate_events(spark.createDataFrame(rows, schema), 6, 9)
+    assert sorted(tuple(r) for r in batch.collect()) == sorted(want) and {w[3] for w in want} == {"lost", "recheck"}
+    rows.sort(key=lambda r: r[1])
+    for i in range(0, len(rows), 150):
+        spark.createDataFrame(rows[i : i + 150], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = sessions.gate_events_stream(source, 6, 9).writeStream.format("memory").queryName("gate").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    run.awaitTermination(180)
+    assert sorted(tuple(r) for r in spark.table("gate").collect()) == sorted(want)
+
+
+def test_live_logs_are_read_while_open_and_sealed(spark, tmp_path):
+    schema = "log_id string, pos long, t_us long, frame long, signal string, key array<string>, value string, score double"
+    rows = [("a" if i % 2 else "b", i, i * 1000, i, "arm", ["2"], None if i % 3 else "x", 0.5) for i in range(20)]
+    for n, part in enumerate((rows[:9], rows[9:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        live.append(source, str(tmp_path / "open"), str(tmp_path / "cp"), {"availableNow": True}).awaitTermination(120)
+        assert live.read(spark, str(tmp_path / "open")).count() == (9, 20)[n]
+    live.seal(spark, str(tmp_path / "open"), str(tmp_path / "done"))
+    back = jsonl.observations(jsonl.read_lines(spark, str(tmp_path / "done")))
+    assert sorted(r["t_us"] for r in back.collect()) == [i * 1000 for i in range(20)]
+    assert jsonl.broken(jsonl.read_lines(spark, str(tmp_path / "done"))).count() == 0
 
 
 def test_unknown_signals_and_missing_headers(spark, tmp_path):
