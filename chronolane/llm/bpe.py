@@ -5,9 +5,10 @@ copies and near copies meet in one partition; the adaptive rebalance splits a
 partition that a hot group makes too large. Inside a task, texts are cut where
 a rolling hash of the last characters says so (the cut moves with the content,
 not with the offset), and every chunk is encoded once and kept in a bounded
-cache. A cut may fall inside a word, so each join is repaired: the tokens
-between the last safe boundary before the cut and the first one after it are
-encoded again until the boundaries of old and new tokens agree.
+cache. A cut may fall inside a word, so each join is repaired: what lies between
+a safe boundary before the cut and one after it is encoded again. Both must be
+ends of tokens in the chunks they lie in; where one is not, the next safe
+boundary outwards is tried, until old and new tokens agree.
 
 A safe boundary is a single space between two non-space characters. The
 vocabulary's pattern takes a space only as the first character of a token, so
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import DOC_ID, TEXT, texts, utf8
 
-#: Characters: shortest chunk, mask of the rolling hash (a cut each 2500 or so), longest chunk, hash window.
-SHORTEST, MASK, LONGEST, WINDOW = 512, 2047, 8192, 16
+#: Characters: shortest chunk, mask of the rolling hash (a cut each 600 or so), longest chunk, hash window.
+SHORTEST, MASK, LONGEST, WINDOW = 128, 511, 4096, 16
 #: Characters of chunk text that a task keeps with their ids.
 CACHE_CHARS = 8_000_000
 #: Below this code point every Unicode version classes characters alike.
@@ -92,7 +93,8 @@ class Codec:
         self.bytes_of = [b""] * (max([*self.ranks.values(), *added.values()]) + 1)
         for piece, i in [*self.ranks.items(), *((utf8(t), i) for t, i in added.items())]:
             self.bytes_of[i] = piece
-        self.kept: dict[str, np.ndarray] = {}
+        self.size_of = np.array([len(x) for x in self.bytes_of], np.int64)
+        self.kept: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self.kept_chars = 0
 
     @cached_property
@@ -117,61 +119,58 @@ class Codec:
             return self.fast.encode(piece, allowed_special="all")
         return self.fast.encode_ordinary(piece)
 
-    def encode_chunk(self, chunk: str) -> np.ndarray:
-        ids = self.kept.get(chunk)
-        if ids is None:
+    def encode_chunk(self, chunk: str) -> tuple[np.ndarray, np.ndarray]:
+        """The chunk's tokens, and the byte in it at which each of them ends."""
+        known = self.kept.get(chunk)
+        if known is None:
             ids = np.array(self.encode_piece(chunk), np.int32)
+            known = ids, np.cumsum(self.size_of[ids])
             self.kept_chars += len(chunk)
             while self.kept_chars > CACHE_CHARS and self.kept:
                 self.kept_chars -= len(oldest := next(iter(self.kept)))
                 del self.kept[oldest]
-            self.kept[chunk] = ids
-        return ids
+            self.kept[chunk] = known
+        return known
 
     def encode(self, text: str) -> np.ndarray:
         cuts = cut_points(text)
         if len(cuts) < 2:
-            return self.encode_chunk(text) if text else np.zeros(0, np.int32)
+            return self.encode_chunk(text)[0] if text else np.zeros(0, np.int32)
+        edges = [0, *cuts]
         gaps: list[list[int]] = []
         for cut in cuts[:-1]:
-            if gaps and cut <= gaps[-1][1]:
+            done = gaps[-1][1] if gaps else 0
+            if gaps and cut <= done:
                 continue  # a repair before this cut reaches past it
-            low, high = _safe_around(text, cut, gaps[-1][1] if gaps else 0)
-            if gaps and low <= gaps[-1][1]:
+            low, high = _safe_around(text, cut, done)
+            while low > done and not self._ends(text, edges, low, bisect_left(edges, low) - 1):
+                low, _ = _safe_around(text, low - 1, done)
+            while high < len(text) and not self._ends(text, edges, high, bisect_right(edges, high) - 1):
+                _, high = _safe_around(text, high + 1, done)
+            if gaps and low <= done:
                 gaps[-1][1] = high
             else:
                 gaps.append([low, high])
         out: list[np.ndarray] = []
-        done, edges = 0, [0, *cuts]
+        done = 0
         for low, high in [*gaps, (len(text), len(text))]:
             if done < low:  # no cut lies between two repairs, so one chunk holds all of text[done:low]
                 start = edges[bisect_right(edges, done) - 1]
                 end = edges[bisect_left(edges, low)]
-                out.append(self._settled(text, start, end, done, low))
+                ids, ends = self.encode_chunk(text[start:end])
+                first, last = (np.searchsorted(ends, len(utf8(text[start:at])), "right") for at in (done, low))
+                out.append(ids[first:last])
             if low < high:
                 out.append(np.array(self.encode_piece(text[low:high]), np.int32))
             done = high
         return np.concatenate(out)
 
-    def _settled(self, text: str, start: int, end: int, low: int, high: int) -> np.ndarray:
-        """The tokens of chunk text[start:end] that spell text[low:high].
-
-        If the chunk's tokens don't end exactly at low and high, old and new
-        tokens disagree there and the whole span is encoded again.
-        """
-        ids = self.encode_chunk(text[start:end])
-        first, last = 0, len(ids)
-        left = len(utf8(text[start:low]))
-        while left > 0 and first < last:
-            left -= len(self.bytes_of[ids[first]])
-            first += 1
-        right = len(utf8(text[high:end]))
-        while right > 0 and first < last:
-            last -= 1
-            right -= len(self.bytes_of[ids[last]])
-        if left or right:
-            return np.array(self.encode_piece(text[low:high]), np.int32)
-        return ids[first:last]
+    def _ends(self, text: str, edges: list[int], at: int, chunk: int) -> bool:
+        """Whether a token of that chunk ends, or the chunk begins, at ``at``."""
+        _, ends = self.encode_chunk(text[edges[chunk] : edges[chunk + 1]])
+        byte = len(utf8(text[edges[chunk] : at]))
+        place = np.searchsorted(ends, byte)
+        return byte == 0 or (place < len(ends) and ends[place] == byte)
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")

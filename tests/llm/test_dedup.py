@@ -1,12 +1,14 @@
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 
 from chronolane.llm import components, simhash_dedup, suffix_dedup
 
-from .helpers import SCHEMA, documents, rows
+from .helpers import SCHEMA, documents, rows, words
 
 
 def _fingerprint(text, width=4):
@@ -135,8 +137,6 @@ def test_repeats_equal_brute_force(spark):
 
 
 def test_repeats_of_all_lengths_around_the_limit(spark):
-    import random
-
     rnd = random.Random(2)
 
     def letters(n):
@@ -153,6 +153,79 @@ def test_repeats_of_all_lengths_around_the_limit(spark):
     assert got == want
 
 
+def _mixture(rnd, length, alphabet):
+    """Texts with pieces around the length, near copies, periods, empty and equal texts."""
+
+    def letters(n):
+        return "".join(rnd.choice(alphabet) for _ in range(max(1, int(n))))
+
+    pieces = [letters(length * f) for f in (0.9, 1, 1.01, 1.2, 2.5)]
+    base = letters(length * 5)
+    texts = []
+    for _ in range(20):
+        texts.append(letters(rnd.randint(1, 2 * length)) + "".join(rnd.choice(pieces) + letters(rnd.randint(1, length)) for _ in range(rnd.randint(0, 3))))
+    for _ in range(4):
+        near = list(base)
+        near[rnd.randrange(len(near))] = "Z"
+        texts.append("".join(near))
+    return [*texts, "a" * (3 * length), letters(length // 4) * 12, "", None, texts[0], texts[1]]
+
+
+@pytest.mark.parametrize("length", [1, 20, 100, 174])
+def test_repeats_of_any_length_equal_brute_force(spark, length):
+    texts = _mixture(random.Random(length), length, "abcdefgh" if length > 1 else [chr(200 + i) for i in range(900)])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    data, gone = _removed(texts, length)
+    want = {i: bytes(b for b, g in zip(d, x) if not g) for i, (d, x) in enumerate(zip(data, gone))}
+    assert {r["doc_id"]: bytes(r["kept"]) for r in rows(suffix_dedup.remove_repeats(docs, length))} == want
+
+
+def test_suffix_ranks_equal_sorted_suffixes(spark):
+    rnd = random.Random(5)
+    seqs = [[rnd.randint(1, 2) for _ in range(n)] for n in (1, 2, 3, 4, 17, 40)] + [[1] * 12, [1, 2] * 9]
+    names = [(s, i, x, i, i + 1) for s, seq in enumerate(seqs) for i, x in enumerate(seq)]
+    df = spark.createDataFrame(names, "seq long, i int, name long, at long, reach long")
+    got = {(r["seq"], r["i"]): r["rank"] for r in rows(suffix_dedup.suffix_ranks(df, 1000))}
+    suffixes = {(s, i): seq[i:] for s, seq in enumerate(seqs) for i in range(len(seq))}
+    assert got == {k: 1 + sum(o < v for o in suffixes.values()) for k, v in suffixes.items()}
+
+
+def test_cut_texts_spares_short_repeats(spark):
+    rnd = random.Random(6)
+    few, many = words(rnd, 40), words(rnd, 60)
+    texts = [words(rnd, 30) + " " + p + " " + words(rnd, 30) for p in (few, few, many, many)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in rows(suffix_dedup.cut_texts(docs, 100, 50))}
+    assert got[0] == texts[0] and got[1] == texts[1]
+    assert all(many not in got[i] and got[i].startswith(texts[i][:50]) for i in (2, 3))
+
+
+def test_ids_stay_whole_beside_nulls(spark):
+    big = (1 << 60) + 1
+    docs = spark.createDataFrame([(big, "one two three four five"), (None, "six seven"), (big + 2, None)], "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"] for r in rows(simhash_dedup.near_duplicates(docs))} == {big, None, big + 2}
+    assert {r["doc_id"] for r in rows(simhash_dedup.similar_documents(docs))} == {big, big + 2}
+
+
+def test_wide_fingerprints_of_alike_sets_lie_within_the_radius():
+    rng = np.random.default_rng(1)
+    for size, shared in ((5, 4), (10, 8), (60, 48), (600, 480)):
+        worst = 0
+        for _ in range(300):
+            a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            b = a[:shared] if size < 20 else np.concatenate([a[: round(size * 8 / 9)], rng.integers(0, 1 << 63, size - round(size * 8 / 9), dtype=np.uint64)])
+            x, y = (np.array(simhash_dedup.wide_simhash(np.unique(z)), np.int64).view(np.uint64) for z in (a, b))
+            worst = max(worst, int(np.bitwise_count(x ^ y).sum()))
+        assert worst <= simhash_dedup.WIDE_RADIUS, (size, worst)
+
+
+def test_shared_counts_equal_sets():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(0, 60)).astype(np.int64)) for _ in range(25)]
+    got = simhash_dedup.shared_counts(sets, sets[:7])
+    assert got.tolist() == [[float(len(set(a.tolist()) & set(b.tolist()))) for b in sets[:7]] for a in sets]
+
+
 def test_cut_texts_keeps_columns_and_characters(spark):
     docs = documents(spark)
     out = suffix_dedup.cut_texts(docs)

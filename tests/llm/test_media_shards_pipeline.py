@@ -26,6 +26,18 @@ def test_store_and_read_back_any_bytes():
     assert media.parse_avi(bare).frames == videos[2].frames
 
 
+def test_lists_nested_without_end():
+    nested = b""
+    for _ in range(3000):
+        nested = b"LIST" + (len(nested) + 4).to_bytes(4, "little") + b"abcd" + nested
+    assert media.parse_avi(b"RIFF" + (len(nested) + 4).to_bytes(4, "little") + b"AVI " + nested).frames == []
+
+
+def test_media_of_an_empty_table(spark):
+    none = spark.createDataFrame([], SCHEMA)
+    assert media.read(media.store(none)).count() == 0 and media.clip_rows(media.store(none)).count() == 0
+
+
 def test_shots_are_found():
     dark, light = np.full((4, 64), 10, np.uint8), np.full((4, 64), 240, np.uint8)
     found = media.shots([dark] * 10 + [light] * 5 + [dark] * 3, 25)
