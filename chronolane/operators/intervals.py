@@ -37,7 +37,7 @@ def next_event(runs: DataFrame, points: DataFrame, by: list[str]) -> DataFrame:
     """For each point (by, at_us) the first boundary after it, null if there is none."""
     marks = boundaries(runs, by).select(*by, F.col("at_us").alias("t_us"), F.lit(True).alias("mark"))
     asked = points.select(*by, F.col("at_us").alias("t_us"), F.lit(False).alias("mark"))
-    w = Window.partitionBy(*by).orderBy("t_us", F.desc("mark")).rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy(*by).orderBy(F.desc("t_us"), "mark").rowsBetween(Window.unboundedPreceding, -1)  # backwards, so that one pass does
     both = marks.unionByName(asked).withColumn("next_us", F.min(F.when(F.col("mark"), F.col("t_us"))).over(w))
     return both.where("not mark").select(*by, F.col("t_us").alias("at_us"), "next_us")
 

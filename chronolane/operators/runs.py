@@ -56,13 +56,9 @@ def encode_changes(changes: DataFrame, closes: DataFrame, lane: list[str]) -> Da
 def _encoded(rows: DataFrame, lane: list[str], order: str) -> DataFrame:
     keys = [LOG, *lane]
     inside = Window.partitionBy(*keys, "isl").orderBy(order)
-    filled = rows.withColumn(
-        "vf",
-        F.coalesce(
-            F.last("v", ignorenulls=True).over(inside),
-            F.first("v", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)),
-        ),
-    )
+    # Where no value came before, the first one that follows is the island's first: a frame that is summed once, not for each row.
+    whole = inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    filled = rows.withColumn("vf", F.coalesce(F.last("v", ignorenulls=True).over(inside), F.first("v", ignorenulls=True).over(whole)))
     changed = (~F.col("vf").eqNullSafe(F.lag("vf").over(inside)) & F.lag(F.lit(1)).over(inside).isNotNull()).cast("int")
     runs = filled.withColumn("chg", changed).withColumn("run", F.sum("chg").over(inside))
     return runs.groupBy(*keys, "isl", "run").agg(
