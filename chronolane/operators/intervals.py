@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolane.sources.shared import written
+
 
 def stab(runs: DataFrame, points: DataFrame, by: list[str], bucket_us: int) -> DataFrame:
     """The runs that hold each point (by, at_us). Runs are filed under the time buckets they touch, so the join has an equi-key."""
@@ -96,12 +98,13 @@ def overlay(layers: DataFrame, by: list[str]) -> DataFrame:
     Where two runs of one layer cover a segment, the one that starts last counts
     (then the greatest value). Segments that no layer covers have no rows.
     """
+    layers = written(layers)  # read for the boundaries and for the pieces
     cuts = boundaries(layers, by)
     segments = cuts.select(*by, F.col("at_us").alias("from_us"), F.lead("at_us").over(Window.partitionBy(*by).orderBy("at_us")).alias("to_us")).where(
         "to_us is not null"
     )
     # Visible pieces begin and end at boundaries, so each unfolds into its own segments, which are the rows of the result, by a count of boundaries.
-    numbered = segments.withColumn("seg", F.row_number().over(Window.partitionBy(*by).orderBy("from_us")))
+    numbered = written(segments.withColumn("seg", F.row_number().over(Window.partitionBy(*by).orderBy("from_us"))))
     first = numbered.select(*by, F.col("from_us").alias("start_us"), F.col("seg").alias("first_seg"))
     last = numbered.select(*by, F.col("to_us").alias("end_us"), F.col("seg").alias("last_seg"))
     unfolded = (
