@@ -43,6 +43,7 @@ COVER, GRAM = 160, 16
 ROW = ["row_a", "row_b"]
 _BASE = 0x5851F42D4C957F2D
 _LOW = np.uint64((1 << 24) - 1)
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 #: Runs that cross edges of partitions, up to which their list is broadcast.
 EDGES = 100_000
 #: A reach beyond every text.
@@ -54,6 +55,12 @@ def sizes(length: int) -> tuple[int, int]:
     return max(1, min(COVER, 2 * length // 5)), max(1, min(GRAM, length // 8))
 
 
+def letter_size(length: int) -> int:
+    """Bytes of a letter: those that decide where the next sampled position lies, or more, so that most triples reach ``length`` bytes."""
+    cover, gram = sizes(length)
+    return max(cover + gram, length - cover // 2)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """SplitMix64's last steps."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -93,15 +100,13 @@ def _sampled(names: Names, windows: int, length: int) -> tuple[np.ndarray, np.nd
     cover, gram = sizes(length)
     n = windows + cover - 1
     sums, down = names.sums, names.down
-    grams = _mixed((sums[gram : n + gram] - sums[:n]) * down[:n])
-    order = (grams & ~_LOW) | (_LOW - (np.arange(n, dtype=np.uint64) & _LOW))  # of equal grams the rightmost counts as least
-    blocks = -(-n // cover)
-    padded = np.full(blocks * cover, np.iinfo(np.uint64).max)
-    padded[:n] = order
-    padded = padded.reshape(blocks, cover)
-    ahead = np.minimum.accumulate(padded, axis=1).ravel()
-    behind = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    least = np.minimum(behind[:windows], ahead[cover - 1 : cover - 1 + windows])
+    grams = (sums[gram : n + gram] - sums[:n]) * down[:n] * _FACTOR
+    least = (grams & ~_LOW) | (_LOW - (np.arange(n, dtype=np.uint64) & _LOW))  # of equal grams the rightmost counts as least
+    width = 1
+    while width < cover:  # least of `width` neighbours, doubled until it is of `cover`
+        step = min(width, cover - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
     first = np.nonzero(np.concatenate([[True], least[1:] != least[:-1]]))[0]
     final = np.append(first[1:], windows) - 1
     low = (_LOW - (least[first] & _LOW)).astype(np.int64)
@@ -148,13 +153,13 @@ def _suffixes(keyed: DataFrame, length: int, names_only: bool) -> DataFrame:
 
 
 def _pieces(found: DataFrame, length: int) -> DataFrame:
-    """For each row's pieces, the union of the contexts of its suffixes: place i and letter of every sampled position.
+    """For each row's pieces, the union of the contexts of its suffixes: place i and letter (and 128 bits that name it) of every sampled position.
 
     Those that stand for starts have row, a, low, high, and the bytes after and before them (backwards). An empty letter ends a piece.
     """
     cover, gram = sizes(length)
-    block = cover + gram
-    kinds = {"seq": pa.int64(), "i": pa.int32(), "letter": pa.binary(), "at": pa.int64(), "reach": pa.int64()}
+    block = letter_size(length)
+    kinds = {"seq": pa.int64(), "i": pa.int32(), "letter": pa.binary(), "l1": pa.int64(), "l2": pa.int64(), "at": pa.int64(), "reach": pa.int64()}
     kinds |= dict.fromkeys(ROW, pa.int64()) | dict.fromkeys(["a", "low", "high"], pa.int32()) | {"after": pa.binary(), "before": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,13 +170,13 @@ def _pieces(found: DataFrame, length: int) -> DataFrame:
                 spans = _merged([{"s": a - high, "e": a - low + length} for a, (low, high) in wanted.items()], data, False)
                 rows: dict[str, list] = {c: [] for c in kinds}
                 for s, e in spans:
-                    at, _, _ = _sampled(Names(data[s:e]), e - s - block + 2, length)
+                    at, _, _ = _sampled(Names(data[s:e]), e - s - cover - gram + 2, length)
                     for a in (at + s).tolist():
                         low, high = wanted.get(a, (None, None))
                         starts = low is not None
                         rows["letter"].append(data[a : min(a + block, e)])
                         rows["at"].append(a)
-                        rows["reach"].append(a + block if a + block <= e else _FAR)
+                        rows["reach"].append(a + block if a + block < e else _FAR)
                         rows["a"].append(a if starts else None)
                         rows["low"].append(low)
                         rows["high"].append(high)
@@ -180,6 +185,8 @@ def _pieces(found: DataFrame, length: int) -> DataFrame:
                     for c, x in (("letter", b""), ("at", e), ("reach", _FAR), *((c, None) for c in ("a", "low", "high", "after", "before"))):
                         rows[c].append(x)
                 n = len(rows["at"])
+                named = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, rows["letter"])), "<i8").reshape(-1, 2)
+                rows |= {"l1": named[:, 0], "l2": named[:, 1]}
                 rows |= {"seq": [seq] * n, "i": list(range(n)), ROW[0]: [row_a] * n, ROW[1]: [row_b] * n}
                 for part in range(0, n, 4096):
                     yield _table({c: x[part : part + 4096] for c, x in rows.items()}, kinds)
@@ -188,13 +195,15 @@ def _pieces(found: DataFrame, length: int) -> DataFrame:
     return found.mapInArrow(run, ", ".join(f"{c} {named[t]}" for c, t in kinds.items()))
 
 
-def places(rows: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
-    """(keys, sums, ``<sum>_before``): for each distinct key the total of columns ``sums`` at it and at all smaller keys.
+def places(rows: DataFrame, keys: list[str], sums: list[str], carried: list[str] = ()) -> DataFrame:
+    """(keys, carried, sums, ``<sum>_before``): for each distinct key the total of columns ``sums`` at it and at all smaller keys.
 
-    Keys are counted before they are shuffled, then sorted by range partitioning;
-    one row for each partition tells how much the partitions before it hold.
+    Keys are counted before they are shuffled, unless columns are ``carried``, which
+    asks for distinct keys; then they are sorted by range partitioning, and one row
+    for each partition tells how much the partitions before it hold.
     """
-    grouped = rows.groupBy(*keys).agg(*[F.sum(s).cast("long").alias(s) for s in sums])
+    grouped = rows.select(*keys, *carried, *sums) if carried else rows.groupBy(*keys).agg(*[F.sum(s).cast("long").alias(s) for s in sums])
+    fixed = [*keys, *carried, *sums]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in grouped.schema.fields] + [f"{s}_here long" for s in sums] + ["part int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,51 +212,61 @@ def places(rows: DataFrame, keys: list[str], sums: list[str]) -> DataFrame:
         for batch in batches:
             columns = list(batch.columns)
             for j, s in enumerate(sums):
-                own = batch.column(len(keys) + j).to_numpy()
+                own = batch.column(s).to_numpy()
                 upto = np.cumsum(own) + held[j]
                 columns.append(pa.array(upto - own))
                 held[j] = upto[-1] if len(upto) else held[j]
             columns.append(pa.array(np.full(batch.num_rows, part, np.int32)))
-            yield pa.RecordBatch.from_arrays(columns, names=[*keys, *sums, *(f"{s}_here" for s in sums), "part"])
+            yield pa.RecordBatch.from_arrays(columns, names=[*fixed, *(f"{s}_here" for s in sums), "part"])
 
     local = written(grouped.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema))
     parts = local.groupBy("part").agg(*[F.sum(s).alias(s) for s in sums])  # a row for each partition
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("part", *[F.coalesce(F.sum(s).over(ahead), F.lit(0)).alias(f"{s}_ahead") for s in sums])
-    return local.join(F.broadcast(offsets), "part").select(*keys, *sums, *[(F.col(f"{s}_here") + F.col(f"{s}_ahead")).alias(f"{s}_before") for s in sums])
+    return local.join(F.broadcast(offsets), "part").select(*fixed, *[(F.col(f"{s}_here") + F.col(f"{s}_ahead")).alias(f"{s}_before") for s in sums])
 
 
 def suffix_ranks(rows: DataFrame, length: int) -> DataFrame:
-    """(seq, i, rank) for every row of ``rows`` (seq, i from 0, name, at, reach): one more than how many suffixes are smaller.
+    """(seq, i, rank) for the ``asked`` rows of ``rows`` (seq, i from 0, name, at, reach, asked): one more than how many asked suffixes are smaller.
 
     A suffix is the names of a sequence from place i on; a name stands for the
     bytes from ``at`` up to ``reach``. Suffixes that agree in ``length`` bytes may
-    come in any order, or tie.
+    come in any order, or tie. Only sequences in which a triple that is shorter
+    than that repeats are sorted again by their names.
     """
     along = Window.partitionBy("seq").orderBy("i")
     ahead = lambda c, n: F.lead(c, n, 0).over(along)
-    whole = written(
-        rows.select("seq", "i", "name", ahead("name", 1).alias("name1"), ahead("name", 2).alias("name2"), "at", F.greatest("reach", ahead("reach", 1), ahead("reach", 2)).alias("reach"))
-    )
-    sampled = whole.where("i % 3 <> 0").withColumn("n", F.lit(1))
-    triple = ["name", "name1", "name2"]
-    named = written(sampled.drop("n").join(places(sampled, triple, ["n"]), triple).select("seq", "i", (F.col("n_before") + 1).alias("name"), "at", "reach", "n", "name2"))
-    if named.where((F.col("n") > 1) & (F.col("name2") > 0) & (F.col("reach") - F.col("at") < length)).isEmpty():
-        ranks = named.select("seq", "i", F.col("name").alias("rank"))
+    behind = lambda n: F.coalesce(F.lag("asked", n).over(along), F.lit(False))
+    reach = F.greatest("reach", ahead("reach", 1), ahead("reach", 2)).alias("reach")
+    needed = (F.col("asked") | behind(1) | behind(2)).alias("needed")
+    whole = written(rows.select("seq", "i", "name", ahead("name", 1).alias("name1"), ahead("name", 2).alias("name2"), "at", reach, "asked", needed))
+    sampled, triple = whole.where("i % 3 <> 0"), ["name", "name1", "name2"]
+    counted = places(sampled.select(*triple, F.lit(1).alias("n")), triple, ["n"])
+    open_ = F.col("needed") & (F.col("n") > 1) & (F.col("name2") > 0) & (F.col("reach") - F.col("at") < length)
+    named = written(sampled.join(counted, triple).select("seq", "i", (F.col("n_before") + 1).alias("name"), "at", "reach", "needed", open_.alias("open")))
+    ranks = named.where("needed").select("seq", "i", F.col("name").alias("rank"))
+    if named.where("open").isEmpty():
+        ranks = ranks.withColumn("fine", F.lit(0).cast("long"))
     else:
-        shorter = named.select((F.col("seq") * 2 + F.col("i") % 3 - 1).alias("seq"), F.expr("int(i div 3)").alias("i"), "name", "at", "reach")
+        again = named.join(named.where("open").select("seq").distinct(), "seq", "left_semi")
+        shorter = again.select((F.col("seq") * 2 + F.col("i") % 3 - 1).alias("seq"), F.expr("int(i div 3)").alias("i"), "name", "at", "reach", F.col("open").alias("asked"))
         deeper = suffix_ranks(shorter, length)
-        ranks = deeper.select(F.expr("seq div 2").alias("seq"), F.expr("int(i * 3 + seq % 2 + 1)").alias("i"), "rank")
-    ranked = whole.join(ranks, ["seq", "i"], "left").withColumn("rank", F.coalesce("rank", F.lit(0)))
+        deeper = deeper.select(F.expr("seq div 2").alias("seq"), F.expr("int(i * 3 + seq % 2 + 1)").alias("i"), F.col("rank").alias("fine"))
+        ranks = ranks.join(deeper, ["seq", "i"], "left").withColumn("fine", F.coalesce("fine", F.lit(0).cast("long")))
     third = lambda n: (F.col("i") % 3 == n).cast("int")
-    merged = written(
-        ranked.select("seq", "i", "name", "name1", "rank", ahead("rank", 1).alias("rank1"), ahead("rank", 2).alias("rank2"), third(0).alias("left"), third(1).alias("one"), third(2).alias("two"))
-    )
-    by_one, by_two = ["name", "rank1"], ["name", "name1", "rank2"]
+    none = F.lit(0).cast("long")
+    ranked = whole.where("needed").join(ranks, ["seq", "i"], "left").withColumns({"rank": F.coalesce("rank", none), "fine": F.coalesce("fine", none)})
+    # The ranks of the two places after each; a place that is not the next one stands past the end.
+    after = lambda c, n: F.when(F.lead("i", n).over(along) == F.col("i") + n, F.lead(c, n).over(along)).otherwise(none).alias(f"{c}{n}")
+    merged = ranked.select("seq", "i", "name", "name1", "asked", "rank", "fine", *[after(c, n) for n in (1, 2) for c in ("rank", "fine")])
+    merged = written(merged.where("asked").select("*", third(0).alias("left"), third(1).alias("one"), third(2).alias("two"), F.lit(1).alias("own")))
+    by_one, by_two, by_own = ["name", "rank1", "fine1"], ["name", "name1", "rank2", "fine2"], ["rank", "fine"]
     first = places(merged.where("two = 0"), by_one, ["left", "one"]).select(*by_one, F.col("left_before").alias("left1"), F.col("one_before").alias("one1"))
     second = places(merged.where("one = 0"), by_two, ["left", "two"]).select(*by_two, F.col("left_before").alias("left2"), F.col("two_before").alias("two2"))
-    rank = F.when(F.col("one") == 1, F.col("rank") + F.col("left1")).when(F.col("two") == 1, F.col("rank") + F.col("left2")).otherwise(1 + F.col("left1") + F.col("one1") + F.col("two2"))
-    return written(merged.join(first, by_one, "left").join(second, by_two, "left").select("seq", "i", rank.alias("rank")))
+    third_ = places(merged.where("left = 0"), by_own, ["own"]).select(*by_own, "own_before")
+    rank = F.when(F.col("one") == 1, F.col("own_before") + F.col("left1")).when(F.col("two") == 1, F.col("own_before") + F.col("left2")).otherwise(F.col("left1") + F.col("one1") + F.col("two2"))
+    joined = merged.join(first, by_one, "left").join(second, by_two, "left").join(third_, by_own, "left")
+    return written(joined.select("seq", "i", (rank + 1).alias("rank")))
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -343,8 +362,10 @@ def _merged(spans: list[dict], data: bytes, whole_chars: bool) -> list[tuple[int
 
 def _equal_starts(pieces: DataFrame, length: int) -> DataFrame:
     """(row_a, row_b, s, e): for each sampled suffix that stands for starts, the bytes of those whose strings occur twice."""
-    letters = places(pieces.select("letter", F.lit(1).alias("n")), ["letter"], ["n"]).select("letter", (F.col("n_before") + 1).alias("name"))
-    ranks = suffix_ranks(pieces.join(letters, "letter").select("seq", "i", "name", "at", "reach"), length)
+    letters = pieces.groupBy("l1", "l2").agg(F.first("letter").alias("letter"), F.lit(1).alias("n"))
+    letters = places(letters, ["letter"], ["n"], ["l1", "l2"]).select("l1", "l2", (F.col("n_before") + 1).alias("name"))
+    spelt = pieces.select("seq", "i", "l1", "l2", "at", "reach", F.col("a").isNotNull().alias("asked")).join(letters, ["l1", "l2"])
+    ranks = suffix_ranks(spelt.drop("l1", "l2"), length)
     asked = pieces.where("a is not null")
     after = asked.join(ranks, ["seq", "i"]).select("seq", "i", F.col("after").alias("data"), (length - F.col("high")).alias("least"), (length - F.col("low")).alias("most"), "rank")
     before = asked.select("seq", "i", F.col("before").alias("data"), F.col("low").alias("least"), F.col("high").alias("most"))

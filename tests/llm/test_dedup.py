@@ -183,11 +183,13 @@ def test_repeats_of_any_length_equal_brute_force(spark, length):
 def test_suffix_ranks_equal_sorted_suffixes(spark):
     rnd = random.Random(5)
     seqs = [[rnd.randint(1, 2) for _ in range(n)] for n in (1, 2, 3, 4, 17, 40)] + [[1] * 12, [1, 2] * 9]
-    names = [(s, i, x, i, i + 1) for s, seq in enumerate(seqs) for i, x in enumerate(seq)]
-    df = spark.createDataFrame(names, "seq long, i int, name long, at long, reach long")
-    got = {(r["seq"], r["i"]): r["rank"] for r in rows(suffix_dedup.suffix_ranks(df, 1000))}
-    suffixes = {(s, i): seq[i:] for s, seq in enumerate(seqs) for i in range(len(seq))}
-    assert got == {k: 1 + sum(o < v for o in suffixes.values()) for k, v in suffixes.items()}
+    for every in (1, 3):
+        asked = {(s, i): rnd.randrange(every) == 0 for s, seq in enumerate(seqs) for i in range(len(seq))}
+        names = [(s, i, seqs[s][i], i, i + 1, yes) for (s, i), yes in asked.items()]
+        df = spark.createDataFrame(names, "seq long, i int, name long, at long, reach long, asked boolean")
+        got = {(r["seq"], r["i"]): r["rank"] for r in rows(suffix_dedup.suffix_ranks(df, 1000))}
+        suffixes = {(s, i): seqs[s][i:] for (s, i), yes in asked.items() if yes}
+        assert got == {k: 1 + sum(o < v for o in suffixes.values()) for k, v in suffixes.items()}
 
 
 def test_cut_texts_spares_short_repeats(spark):
