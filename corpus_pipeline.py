@@ -15,7 +15,7 @@ from chronolane.llm.common import DOC_ID, TEXT, small_batches, table, written
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model scores under 0.5."""
+    """Documents that the toxicity model scores under 0.5; null and empty texts score like any other text without toxic words."""
     small_batches(spark)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~registry.held_out()))
     return docs.where(toxicity.scored(model, F.col(TEXT)) < 0.5)
@@ -26,10 +26,11 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     small_batches(spark)
     groups = simhash_dedup.similar_documents(docs)
     losers = groups.where(F.col(DOC_ID) != F.col("component_id")).select(DOC_ID).distinct()
-    kept = docs.join(losers, DOC_ID, "left_anti").select(docs.columns)
-    # Rows that share an id are copies of each other if their texts are equal.
+    kept = docs.where(F.col(DOC_ID).isNotNull()).join(losers, DOC_ID, "left_anti").select(docs.columns)
+    # Rows that share an id are copies of each other if their texts are equal; all but one of them go before the shuffle.
     again = F.row_number().over(Window.partitionBy(DOC_ID, F.xxhash64(TEXT)).orderBy(DOC_ID))
-    return kept.select("*", again.alias("_again")).where((F.col("_again") == 1) | F.col(DOC_ID).isNull()).drop("_again")
+    once = kept.select("*", again.alias("_again")).where(F.col("_again") == 1).drop("_again")
+    return once.unionAll(docs.where(F.col(DOC_ID).isNull()))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,14 +44,14 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; a document without an id is never matched, so it stays."""
     small_batches(spark)
     found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(DOC_ID).distinct()
     return docs.join(found, DOC_ID, "left_anti").select(docs.columns)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, checked by decoding them again."""
+    """Token ids of every text, and a digest of the text that they decode to; null and empty texts have no ids."""
     small_batches(spark)
     words = registry.vocabulary()
     return bpe.decode(bpe.encode(docs, words), words).select(
