@@ -4,9 +4,10 @@
    they share a shingle. So every shingle of every document meets the items'
    shingles, and each meeting proposes the window of the item's size that lines
    both up. Windows with equal content are then one.
-2. Windows and items get 64-bit SimHash fingerprints. A multi-index of
-   ``radius`` + 1 blocks of bits finds every item of the window's size within
-   ``radius`` bits: two such fingerprints agree in one block at least.
+2. Windows and items get 64-bit SimHash fingerprints. A multi-index of ``BLOCKS``
+   blocks of bits finds every item of the window's size within ``radius`` bits:
+   two such fingerprints differ in ``radius // BLOCKS`` bits at most in one block
+   at least, and items are filed under all values so near to their own.
 3. Weighted Jaccard similarity of the shingle bags (weight: how often a shingle
    occurs) decides.
 
@@ -17,6 +18,7 @@ counted first; a larger benchmark is joined by shuffles.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +27,8 @@ from .common import DOC_ID, TEXT, texts, written
 
 WIDTH, SIMILARITY, RADIUS = 5, 0.8, 20
 BROADCAST_ROWS = 200_000
+#: Of 64 bits and a radius of 20: a window meets a tenth of the items of its size in each block, and an item is filed 46 to 56 times in each.
+BLOCKS = 7
 
 
 def _words(text: Column) -> Column:
@@ -52,21 +56,32 @@ def _fingerprint(hashes: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), bit)
 
 
-def _blocks(fp: Column, radius: int) -> Column:
-    """The fingerprint's radius + 1 blocks of bits, each with its number."""
-    n = radius + 1
-    edges = [64 * i // n for i in range(n + 1)]
+def _edges() -> list[int]:
+    return [64 * i // BLOCKS for i in range(BLOCKS + 1)]
+
+
+def _blocks(fp: Column) -> Column:
+    """The fingerprint's blocks of bits, each with its number."""
+    edges = _edges()
     return F.array(
         *[
-            F.struct(
-                F.lit(i).alias("no"),
-                F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits"),
-            )
+            F.struct(F.lit(i).alias("no"), F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("bits"))
             for i, (lo, hi) in enumerate(zip(edges, edges[1:]))
         ]
     )
 
 
+def _near_blocks(fp: Column, radius: int) -> Column:
+    """For each block the values that differ from its own in ``radius // BLOCKS`` bits at most."""
+    edges = _edges()
+    out = []
+    for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
+        flips = [sum(1 << b for b in bits) for n in range(radius // BLOCKS + 1) for bits in combinations(range(hi - lo), n)]
+        own = F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
+        out.append(F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x, own=own, i=i: F.struct(F.lit(i).alias("no"), own.bitwiseXOR(x).alias("bits"))))
+    return F.concat(*out)
+
+
 def _bag_overlap(a: Column, b: Column) -> Column:
     def count(bag: Column, x: Column) -> Column:
         return F.size(F.filter(bag, lambda y: y == x))
@@ -120,9 +135,9 @@ def contaminated(
         .dropDuplicates(["row_key", "start", "size", "k"])
     )
     contents = windows.groupBy("content").agg(F.first("bag").alias("bag"), F.first("size").alias("size"), F.first("k").alias("k")).withColumn("fp", _fingerprint(F.col("bag")))
-    mine = contents.select("content", "size", "k", "bag", "fp", F.explode(_blocks(F.col("fp"), radius)).alias("block"))
+    mine = contents.select("content", "size", "k", "bag", "fp", F.explode(_blocks(F.col("fp"))).alias("block"))
     theirs = known.select(
-        "item_id", "size", "k", F.col("bag").alias("item_bag"), F.col("fp").alias("item_fp"), F.explode(_blocks(F.col("fp"), radius)).alias("block")
+        "item_id", "size", "k", F.col("bag").alias("item_bag"), F.col("fp").alias("item_fp"), F.explode(_near_blocks(F.col("fp"), radius)).alias("block")
     )
     near = (
         mine.join(theirs, ["size", "k", "block"])
