@@ -126,9 +126,9 @@ def scan(files: DataFrame, known: DataFrame, header_cosine: float = HEADER_COSIN
 
     idf = {w: math.log((n_lines + 1.0) / (counts.get(w, 0) + 1.0)) + 1.0 for w in vocabulary}
     outside = math.log(n_lines + 1.0) + 1.0
-    low = F.lower(TEXT)
     cued_words = cues(listed_bags, idf, min(header_cosine, file_cosine))
-    base_cued = base.where(reduce(lambda a, b: a | b, [low.contains(w) for w in cued_words], F.lit(False)))
+    # An array of one element, so that the text is put in lower case once.
+    base_cued = base.where(F.exists(F.array(F.lower(TEXT)), lambda low: reduce(lambda a, b: a | b, [low.contains(w) for w in cued_words], F.lit(False))))
     lines = base_cued.select("key", F.posexplode(F.split(TEXT, "\n")).alias("line", "content"))
     worded = lines.select("key", "line", _words(F.col("content")).alias("words"))
     blocks = base_cued.select("key", F.posexplode(F.split(TEXT, r"\n[ \t\r]*\n")).alias("block", "content")).where(F.trim(F.col("content"), F.lit("\n")).contains("\n"))
