@@ -190,3 +190,57 @@ def test_licences_and_inheritance(spark):
         "e": ("GPL-3.0", "inherited", "repo/vendor"), "f": (None, "none", None), "g": (None, "none", None), "h": (None, "none", None),
     }
     assert licenses.scan(df.limit(0), licenses.templates(spark)).count() == 0
+
+
+def test_pages_give_headline_and_document(spark, sf_dir):
+    """The number that ends a page's path names the document that its article was made from."""
+    import html
+    import re
+
+    documents_of = {r["doc_id"]: r["text"] for r in rows(spark.read.parquet(f"{sf_dir}/documents.parquet"))}
+    found = {r["page_id"]: r["text"] for r in rows(html_extract.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet")))}
+    seen = 0
+    for page in rows(spark.read.parquet(f"{sf_dir}/pages.parquet")):
+        number = re.search(r"/(\d+)[^/]*$", page["url"] or "")
+        text = documents_of.get(int(number[1])) if number else None
+        if text:
+            head = re.search(r"<h1[^>]*>(.*?)</h1>", page["html"], re.S)
+            assert found[page["page_id"]].split() == html.unescape(re.sub("<[^>]*>", "", head[1])).split() + text.split()
+            seen += 1
+    assert seen > 10
+
+
+def test_broken_and_huge_pages_take_linear_time(spark):
+    import time
+
+    began = time.perf_counter()
+    assert html_extract.extract("<p>the one and only</p><div " + " ".join('a=""' for _ in range(5000))) == "the one and only"
+    assert html_extract.extract("<p title=it's>one</p><p>two</p>") == "one two"
+    assert html_extract.extract("".join(f"<p>w{i}</p>" for i in range(50_000))).count(" ") == 49_999
+    for part in ("<a ", "<!x", '<p a="x', "<![CDATA[", '<script a="', "<div>"):
+        html_extract.extract(part * 50_000 + "</b>" * 1000)
+    assert time.perf_counter() - began < 30
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_extract.main_text(none).count() == 0
+    big = (1 << 60) + 1
+    odd = spark.createDataFrame([(big, None, "<p>a"), (None, None, None), (big, None, "<p>a")], "page_id long, url string, html string").coalesce(1)
+    assert Counter((r["page_id"], r["text"]) for r in rows(html_extract.main_text(odd))) == {(big, "a"): 2, (None, ""): 1}
+
+
+def test_url_filter_of_no_pages_and_repeated_rows(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/en/1", 0)] * 3 + [(None, None, 0)], "page_id long, url string, verdict int")
+    nothing = spark.createDataFrame([], "url string, blocked boolean")
+    got = Counter((r["page_id"], r["verdict"]) for r in rows(url_filter.judge(pages, nothing, registry.URL_RULES)))
+    assert got == {(1, "block"): 3, (None, "allow"): 1}
+    assert url_filter.judge(pages.limit(0), nothing, registry.URL_RULES).count() == 0
+
+
+def test_toxicity_of_repeated_ids_and_long_texts(spark):
+    rnd = random.Random(11)
+    data = [(i, words(rnd, 20) + (" worthless scumbag" if i % 2 else "")) for i in range(200)]
+    data += [(7, "short")] * 300 + [(500, words(rnd, 20000) + " worthless scumbag")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    known = spark.createDataFrame([(i, i % 2) for i in range(200)] * 2, "doc_id long, toxic int")
+    model = toxicity.fit(docs, known, max_rows=150)
+    scores = {r["doc_id"]: r["score"] for r in rows(toxicity.score(docs.where("doc_id <> 7"), model))}
+    assert scores[500] >= 0.5 and sum((scores[i] >= 0.5) == bool(i % 2) for i in range(200) if i != 7) >= 190
