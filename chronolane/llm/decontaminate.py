@@ -74,12 +74,13 @@ def _blocks(fp: Column) -> Column:
 def _near_blocks(fp: Column, radius: int) -> Column:
     """For each block the values that differ from its own in ``radius // BLOCKS`` bits at most."""
     edges = _edges()
-    out = []
-    for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
+
+    def near(i: int, lo: int, hi: int) -> Column:
         flips = [sum(1 << b for b in bits) for n in range(radius // BLOCKS + 1) for bits in combinations(range(hi - lo), n)]
         own = F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-        out.append(F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x, own=own, i=i: F.struct(F.lit(i).alias("no"), own.bitwiseXOR(x).alias("bits"))))
-    return F.concat(*out)
+        return F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: F.struct(F.lit(i).alias("no"), own.bitwiseXOR(x).alias("bits")))
+
+    return F.concat(*[near(i, lo, hi) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))])
 
 
 def _bag_overlap(a: Column, b: Column) -> Column:
