@@ -102,8 +102,8 @@ def topk_margin(spark, sf_dir):
 @query(f"""WITH RECURSIVE names AS (SELECT p_name AS name, MIN(p_partkey) AS entry_id FROM part GROUP BY p_name),
 asked AS (SELECT entry_id AS asked, replace(lower(trim(regexp_replace(substr(name, 1, 3) || ' x' || substr(name, 4), '\\s+', ' ', 'g'))), 'ß', 'ss') AS a FROM names),
 pairs AS (SELECT asked, entry_id, a, replace(lower(name), 'ß', 'ss') AS b FROM asked, names), {common_sql("pairs")},
-scored AS (SELECT asked, entry_id, ROUND(200.0::DOUBLE * common / (length(a) + length(b))) AS score FROM pairs JOIN lcs USING (a, b) WHERE 200.0::DOUBLE * common / (length(a) + length(b)) >= 70),
-r AS (SELECT *, ROW_NUMBER() OVER w AS n, score - LEAD(score) OVER w AS margin FROM scored WINDOW w AS (PARTITION BY asked ORDER BY score DESC, entry_id))
+scored AS (SELECT asked, entry_id, 200.0::DOUBLE * common / (length(a) + length(b)) AS ratio, round_even(200.0::DOUBLE * common / (length(a) + length(b)), 0) AS score FROM pairs JOIN lcs USING (a, b)),
+r AS (SELECT *, ROW_NUMBER() OVER w AS n, score - LEAD(score) OVER w AS margin FROM scored WHERE ratio >= 70 WINDOW w AS (PARTITION BY asked ORDER BY ratio DESC, entry_id))
 SELECT asked, entry_id, score, margin FROM r WHERE n = 1""")
 def fuzzy_catalog_match(spark, sf_dir):
     """Noisy part names against the distinct names, case folded: best entry of at least 70, whole scores, and its lead."""
@@ -112,8 +112,10 @@ def fuzzy_catalog_match(spark, sf_dir):
     # Every text meets every name, in blocks of both: the runner-up may begin with any letter.
     pairs = noisy.crossJoin(names)
     ratio = fuzzy.ratio(text.casefold(text.squeezed(F.col("text"))), text.casefold(F.col("name")))
-    scored = pairs.select("asked", "entry_id", ratio.alias("ratio")).where("ratio >= 70").select("asked", "entry_id", F.round("ratio").alias("score"))
-    return catalog.top_and_margin(scored, ["asked"])
+    scored = pairs.select("asked", "entry_id", ratio.alias("score")).where("score >= 70")
+    # The exact ratio ranks; whole scores are what is told.
+    best = catalog.top_and_margin(scored, ["asked"])
+    return best.select("asked", "entry_id", F.bround("score").alias("score"), (F.bround("score") - F.bround(F.col("score") - F.col("margin"))).alias("margin"))
 
 
 TEMPLATES = [("bench", "sent by {name}: the erhe thatnd"), ("ring", "call {number} and then for the onen")]

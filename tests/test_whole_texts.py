@@ -42,7 +42,7 @@ def test_every_name_is_a_candidate(spark, tmp_path):
     got = {r.asked: (r.entry_id, r.score, None if r.margin is None else round(r.margin, 4)) for r in plans.queries()["fuzzy_catalog_match"](spark, str(tmp_path)).collect()}
     want = {}
     for i, x in enumerate(names):
-        scores = [(round(fuzzy.ratio_of(x[:3] + " x" + x[3:], y), 4), -j) for j, y in enumerate(names)]
+        scores = [(fuzzy.ratio_of(x[:3] + " x" + x[3:], y), -j) for j, y in enumerate(names)]
         best, *rest = sorted((s for s in scores if s[0] >= 70), reverse=True)
-        want[i] = (-best[1], best[0], round(best[0] - rest[0][0], 4) if rest else None)
+        want[i] = (-best[1], round(best[0]), round(best[0]) - round(rest[0][0]) if rest else None)
     assert got == want and got[0][2] is not None
