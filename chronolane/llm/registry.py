@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     bpe,
+    centroids,
     decontaminate,
     hilbert_shards,
     html_extract,
@@ -137,6 +138,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, seed=3)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -149,6 +154,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_toxicity": op9_toxicity,
         "op10_media": op10_media,
+        "op12_centroids": op12_centroids,
     }
 
 
@@ -161,5 +167,34 @@ f AS (SELECT page_id, host, path, (SELECT arg_max({{'rule': h || p, 'verdict': v
 SELECT page_id, host, path, fit.rule AS rule, COALESCE(fit.verdict, 'allow') AS verdict, CAST(0 AS BIGINT) AS n_rules FROM f"""
 
 
+
+def _centroid_sql(rounds: int) -> str:
+    """One CTE for each round; components are rows (vec_id, i, v)."""
+    steps = []
+    for r in range(rounds + 1):
+        # The sums of products in wide integers, each vector with each centroid; of equally near ones the first.
+        steps.append(
+            f"""d{r} AS MATERIALIZED (SELECT vec_id, k, CAST(SUM((v.v - c.v) * (v.v - c.v)) AS BIGINT) AS d FROM v JOIN c{r} c USING (i) GROUP BY vec_id, k),
+a{r} AS MATERIALIZED (SELECT vec_id, MIN(d) AS distance, arg_min(k, (d, k)) AS cluster FROM d{r} GROUP BY vec_id)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""s{r} AS (SELECT cluster AS k, i, CAST(SUM(v) AS BIGINT) AS s, COUNT(*) AS n FROM a{r} JOIN v USING (vec_id) GROUP BY cluster, i),
+c{r + 1} AS MATERIALIZED (SELECT k, i, CASE WHEN n IS NULL THEN c.v WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END AS v FROM c{r} c LEFT JOIN s{r} USING (k, i))"""
+            )
+    return ",\n".join(steps)
+
+
+#: Round by round; vec_ids are unique in the given tables, as the SQL takes them to be.
+OP12_SQL = f"""WITH e AS MATERIALIZED (SELECT vec_id, embedding AS x FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+v AS MATERIALIZED (SELECT vec_id, i, CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) AS v FROM (SELECT vec_id, UNNEST(x) AS x, UNNEST(range(64)) AS i FROM e)),
+f AS (SELECT vec_id, ROW_NUMBER() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR))) - 1 AS k FROM e),
+c0 AS MATERIALIZED (SELECT CAST(k AS INT) AS k, i, v FROM f JOIN v USING (vec_id) WHERE k < 8),
+{_centroid_sql(10)},
+h AS (SELECT k AS cluster, sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY i)) AS centroid_sha256 FROM c10 GROUP BY k)
+SELECT vec_id, cluster, distance, CAST(SUM(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(SUM(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a10 JOIN h USING (cluster)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": OP8_SQL}
+    return {"op8_url_filter": OP8_SQL, "op12_centroids": OP12_SQL}

@@ -7,7 +7,7 @@ from chronolane.llm import registry
 
 def test_queries_equal_their_oracles(spark, sf_dir):
     con = duckdb.connect()
-    for name in ("documents", "pages", "labels", "benchmark"):
+    for name in ("documents", "pages", "labels", "benchmark", "embeddings", "conversations"):
         con.execute(f"create view {name} as select * from '{sf_dir}/{name}.parquet'")
     for name, sql in registry.oracle_sql().items():
         df = registry.queries()[name](spark, sf_dir)
