@@ -15,6 +15,7 @@ from . import (
     html_extract,
     licenses,
     media,
+    repair,
     simhash_dedup,
     suffix_dedup,
     toxicity,
@@ -142,6 +143,11 @@ def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, seed=3)
 
 
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
@@ -155,6 +161,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": op9_toxicity,
         "op10_media": op10_media,
         "op12_centroids": op12_centroids,
+        "op13_repair": op13_repair,
     }
 
 
@@ -196,5 +203,57 @@ SELECT vec_id, cluster, distance, CAST(SUM(distance) OVER (PARTITION BY cluster)
 FROM a10 JOIN h USING (cluster)"""
 
 
+def _repair_sql() -> str:
+    """Cost, audit and lines of the four states, turn by turn, in one recursive query; the least (cost, audit) of all ways into a state."""
+
+    def way(state: str, edit: str, line: str, extra: str = "0") -> str:
+        return f"{{'c': {state}.c + {repair.COST[edit]} + {extra}, 'a': {state}.a || '{edit}', 't': {state}.t || {line}}}"
+
+    def least(*ways: str) -> str:
+        return f"list_min([{', '.join(ways)}])"
+
+    def named(role: str, text: str = "''") -> str:
+        return f"chr(10) || '{role}:' || {text}"
+
+    def kept(state: str, role: str) -> str:
+        return f"CASE WHEN initial = '{role}' AND fault NOT IN ('b', 'd') THEN {way(state, 'K', "chr(10) || role || ':' || text", 'cut')} END"
+
+    def renamed(state: str, role: str) -> str:
+        return f"CASE WHEN fault NOT IN ('b', 'd') THEN {way(state, 'R', named(role, 'text'), 'cut')} END"
+
+    def gone(state: str) -> str:
+        return way(state, "D", "''")
+
+    after = [
+        least(gone("s0")),
+        least(gone("s1"), kept("s0", "s")),
+        least(gone("s2"), *[f(x, r) for x in ("s0", "s1", "s3") for f, r in ((kept, "u"), (renamed, "user"))]),
+        least(gone("s3"), kept("s2", "a"), renamed("s2", "assistant")),
+    ]
+    user, assistant = named("user"), named("assistant")
+    twice = [way(f"({way(q, 'I', user)})", "I", assistant) for q in ("q0", "q1")]
+    then = ["q0", "q1", least("q2", *[way(q, "I", user) for q in ("q0", "q1", "q3")]), least("q3", way("q2", "I", assistant), *twice)]
+    never = "{'c': 1000000000, 'a': '', 't': ''}"
+    begin = ["{'c': 0, 'a': '', 't': ''}", never, f"{{'c': 2, 'a': 'I', 't': {user}}}", f"{{'c': 4, 'a': 'II', 't': {user} || {assistant}}}"]
+    each = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda v, z: xor(v >> 1, (v & 1) * 3988292384))"
+    return f"""WITH RECURSIVE k AS (SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text, COALESCE(CAST(conv_id AS VARCHAR), ' ') || ':' || COALESCE(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+h AS (SELECT *, CAST(xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS UBIGINT))), lambda c, b: {each}), 4294967295) % 20 AS INT) AS h FROM k),
+m AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE WHEN h = 1 THEN '' WHEN h = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, UNNEST(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy FROM h WHERE h <> 0),
+o AS (SELECT *, DENSE_RANK() OVER (ORDER BY conv_id NULLS FIRST) AS c, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text), copy) AS n FROM m),
+b AS (SELECT *, CASE WHEN role[1] IN ('s', 'u', 'a') THEN role[1] ELSE 'o' END AS initial, ROW_NUMBER() OVER (PARTITION BY c, role, text ORDER BY n) AS nth, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS body FROM o),
+f AS (SELECT *, CASE WHEN body = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, LAG(initial) OVER (PARTITION BY c ORDER BY n) AS prior FROM b),
+g AS MATERIALIZED (SELECT *, CASE WHEN fault = 't' THEN 1 ELSE 0 END AS cut FROM f),
+w(c, n, s0, s1, s2, s3) AS (SELECT DISTINCT c, 0::BIGINT, {", ".join(begin)} FROM g UNION ALL
+SELECT c, n, {", ".join(then)} FROM (SELECT g.c, g.n, {", ".join(f"{x} AS q{i}" for i, x in enumerate(after))} FROM w JOIN g ON g.c = w.c AND g.n = w.n + 1)),
+l AS (SELECT c, {least("s0", "s3")} AS best FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY c ORDER BY n DESC) AS z FROM w) WHERE z = 1),
+t AS (SELECT c, conv_id, COALESCE(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT(*) FILTER (fault = 'b') AS blank, COUNT(*) FILTER (fault = 'd') AS duplicate, COUNT(*) FILTER (fault = 't') AS truncated,
+COUNT(*) FILTER (prior IS NOT NULL AND prior || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM g GROUP BY c, conv_id)
+SELECT d.conv_id, COALESCE(gaps, 0) AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate, COALESCE(truncated, 0) AS truncated, COALESCE(illegal, 0) AS illegal, CAST(COALESCE(best.c, 0) AS BIGINT) AS cost, COALESCE(best.a, '') AS audit, sha256(COALESCE(best.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN l ON l.c = t.c"""
+
+
+OP13_SQL = _repair_sql()
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_url_filter": OP8_SQL, "op12_centroids": OP12_SQL}
+    return {"op8_url_filter": OP8_SQL, "op12_centroids": OP12_SQL, "op13_repair": OP13_SQL}
