@@ -15,6 +15,7 @@ from . import (
     html_extract,
     licenses,
     media,
+    mixing,
     repair,
     simhash_dedup,
     suffix_dedup,
@@ -139,6 +140,13 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x["end_word"] - x["first_word"])
+    return mixing.placed(table(spark, sf_dir, "documents")).select(
+        DOC_ID, "size", "source_size", "target", pieces.alias("taken"), F.size("pieces").cast("long").alias("n_pieces")
+    )
+
+
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dims=64, seed=3)
 
@@ -160,6 +168,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": op8_url_filter,
         "op9_toxicity": op9_toxicity,
         "op10_media": op10_media,
+        "op11_mixing": op11_mixing,
         "op12_centroids": op12_centroids,
         "op13_repair": op13_repair,
     }
