@@ -8,8 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolane.model import TIME
 from chronolane.sources.shared import written
 
+from . import scan
+
 
 def stab(runs: DataFrame, points: DataFrame, by: list[str], bucket_us: int) -> DataFrame:
     """The runs that hold each point (by, at_us). Runs are filed under the time buckets they touch, so the join has an equi-key."""
@@ -92,19 +95,20 @@ def visible(layers: DataFrame, by: list[str]) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def overlay(layers: DataFrame, by: list[str]) -> DataFrame:
+def overlay(layers: DataFrame, by: list[str], width: int | None = None) -> DataFrame:
     """Elementary segments between all boundaries of ``layers`` (by, layer, start_us, end_us, v), one row for each segment and layer that covers it.
 
     Where two runs of one layer cover a segment, the one that starts last counts
-    (then the greatest value). Segments that no layer covers have no rows.
+    (then the greatest value). Segments that no layer covers have no rows. ``width``:
+    see ``scan``, for logs with more boundaries than a task should sort.
     """
     layers = written(layers)  # read for the boundaries and for the pieces
-    cuts = boundaries(layers, by)
-    segments = cuts.select(*by, F.col("at_us").alias("from_us"), F.lead("at_us").over(Window.partitionBy(*by).orderBy("at_us")).alias("to_us")).where(
-        "to_us is not null"
-    )
+    cuts = boundaries(layers, by).withColumnRenamed("at_us", TIME)
+    # The last boundary begins no segment, so the numbers of segments are those of boundaries.
+    each = scan.along(cuts, by, [TIME], width, seg=scan.ordinal(), _next=scan.following(TIME))
+    segments = each.select(*by, F.col(TIME).alias("from_us"), F.col(f"_next.{TIME}").alias("to_us"), "seg").where("to_us is not null")
     # Visible pieces begin and end at boundaries, so each unfolds into its own segments, which are the rows of the result, by a count of boundaries.
-    numbered = written(segments.withColumn("seg", F.row_number().over(Window.partitionBy(*by).orderBy("from_us"))))
+    numbered = written(segments)
     first = numbered.select(*by, F.col("from_us").alias("start_us"), F.col("seg").alias("first_seg"))
     last = numbered.select(*by, F.col("to_us").alias("end_us"), F.col("seg").alias("last_seg"))
     unfolded = (

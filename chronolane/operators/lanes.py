@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from chronolane.model import LOG
 
+from . import scan
+from .temporal import validity
+
 LANE = [LOG, "fo", "lane", "col", "v"]
 
 
@@ -71,26 +74,24 @@ def closes(obs: DataFrame) -> DataFrame:
     )
 
 
-def gate_changes(obs: DataFrame, gate: str) -> DataFrame:
+def gate_changes(obs: DataFrame, gate: str, width: int | None = None) -> DataFrame:
     """(log_id, t_us, pos, open): when a log's gate, held under any key, opens and closes. It is closed before the first row."""
-    own = obs.where(F.col("signal") == gate)
-    held = F.col("v").isNotNull().cast("int")
-    by_key = Window.partitionBy(LOG, "col").orderBy("t_us", "pos")
-    by_log = Window.partitionBy(LOG).orderBy("t_us", "pos")
-    steps = own.withColumn("_d", held - F.coalesce(F.lag(held).over(by_key), F.lit(0))).where("_d <> 0")
-    counted = steps.withColumn("open", F.sum("_d").over(by_log) > 0)
-    return counted.withColumn("_p", F.coalesce(F.lag("open").over(by_log), F.lit(False))).where("open <> _p").select(LOG, "t_us", "pos", "open")
+    order = ["t_us", "pos"]
+    own = obs.where(F.col("signal") == gate).select(LOG, "col", *order, F.col("v").isNotNull().cast("int").alias("_held"))
+    known = scan.along(own, [LOG, "col"], order, width, _was=scan.previous("_held"))
+    steps = known.withColumn("_d", F.col("_held") - F.coalesce("_was._held", F.lit(0))).where("_d <> 0")
+    counted = scan.along(steps, [LOG], order, width, _n=scan.total(F.col("_d")))
+    # A step from or to no held key at all turns the gate.
+    return counted.where((F.col("_n") > 0) != (F.col("_n") - F.col("_d") > 0)).select(LOG, *order, (F.col("_n") > 0).alias("open"))
 
 
-def lane_changes(obs: DataFrame, gate: str, projectors: dict, ends: DataFrame) -> DataFrame:
+def lane_changes(obs: DataFrame, gate: str, projectors: dict, ends: DataFrame, width: int | None = None) -> DataFrame:
     """(log_id, lane, col, t_us, shown, v): change points of every lane, the sparse form of ``unpivot`` over carried state.
 
     A lane's own rows and its log's gate changes meet in one window; of several at
     one time the last counts. The lane ``no_ui`` shows while the gate is closed.
     All that follows the rows' own change points needs one shuffle by (log, lane, col).
     """
-    from .temporal import validity
-
     named = {s: p for s, p in projectors.items() if p is not None}
 
     def pick(of) -> Column:
@@ -101,8 +102,8 @@ def lane_changes(obs: DataFrame, gate: str, projectors: dict, ends: DataFrame) -
     at = F.struct(F.col("t_us"), F.col("pos")).alias("fo")
     held = F.coalesce(pick(lambda p: F.expr(p.shows)), F.lit(False))
     own = F.struct(held.alias("held"), F.when(held, pick(lambda p: F.expr(p.value).cast("long"))).alias("v")).alias("own")
-    rows = validity(shown, ["signal", "col"]).select(LOG, lane, "col", at, own, F.lit(None).cast("boolean").alias("gate"))
-    gates = gate_changes(obs, gate)
+    rows = validity(shown, ["signal", "col"], width).select(LOG, lane, "col", at, own, F.lit(None).cast("boolean").alias("gate"))
+    gates = gate_changes(obs, gate, width)
     empty = F.lit(None).cast("struct<held: boolean, v: bigint>")
     turned = shown.select(LOG, lane, "col").distinct().join(gates, LOG).select(LOG, "lane", "col", at, empty.alias("own"), F.col("open").alias("gate"))
     bare = F.struct(F.lit(True).alias("held"), F.lit(None).cast("long").alias("v")).alias("own")
@@ -110,9 +111,8 @@ def lane_changes(obs: DataFrame, gate: str, projectors: dict, ends: DataFrame) -
         ends.select(LOG, F.struct(F.col("first_us").alias("t_us"), F.lit(-1).cast("long").alias("pos")).alias("fo"), F.lit(True).alias("gate"))
     )
     dark = dark.select(LOG, F.lit("no_ui").alias("lane"), F.lit(0).cast("long").alias("col"), "fo", bare, "gate")
-    w = Window.partitionBy(LOG, "lane", "col").orderBy("fo")
-    both = rows.unionByName(turned).unionByName(dark)
-    state = both.withColumns({"own": F.last("own", True).over(w), "gate": F.last("gate", True).over(w)})
+    both = rows.unionByName(turned).unionByName(dark).withColumn("t_us", F.col("fo.t_us"))
+    state = scan.along(both, [LOG, "lane", "col"], ["fo"], width, own=scan.carried(F.col("own")), gate=scan.carried(F.col("gate")))
     points = state.select(
         LOG, "lane", "col", "fo", (F.coalesce("gate", F.lit(False)) & F.coalesce("own.held", F.lit(False))).alias("shown"), F.col("own.v").alias("v")
     )

@@ -1,8 +1,8 @@
 """Point-in-time state: snapshots, carry-forward, as-of joins, first row per tick.
 
 All windows are partitioned by log and key and ordered by (t_us, pos), so one
-shuffle serves a chain of these operators and no window spans a whole log unless
-the semantics do.
+shuffle serves a chain of these operators. ``width`` (see ``scan``) spreads a
+single long log or key over tasks.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from chronolane.model import LOG, POS, TIME
 
+from . import scan
+
 
 def ordered(*keys: str):
     return Window.partitionBy(*keys).orderBy(TIME, POS)
@@ -36,39 +38,37 @@ def frame_at(obs: DataFrame, at: DataFrame) -> DataFrame:
     return obs.join(last, [LOG, "frame"]).select(*obs.columns)
 
 
-def frames(obs: DataFrame) -> DataFrame:
+def frames(obs: DataFrame, width: int | None = None) -> DataFrame:
     """(log_id, frame, t_us, fo): sampled frames with a dense ordinal from 1."""
     each = obs.groupBy(LOG, "frame", TIME).agg(F.min(POS).alias(POS))
-    return each.withColumn("fo", F.row_number().over(ordered(LOG))).select(LOG, "frame", TIME, "fo")
+    return scan.along(each, [LOG], [TIME, POS], width, fo=scan.ordinal()).select(LOG, "frame", TIME, "fo")
 
 
-def carry_forward(obs: DataFrame, keys: list[str]) -> DataFrame:
+def carry_forward(obs: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
     """(log_id, frame, t_us, fo, keys, since_us, v): the state of every key in every frame, this frame included."""
-    grid = frames(obs)
+    grid = frames(obs, width)
     known = obs.select(LOG, *keys).distinct()
     last = obs.groupBy(LOG, "frame", TIME, *keys).agg(
         F.max_by(F.struct(F.col(TIME).alias("since_us"), "v"), F.col(POS)).alias("row")
     )
     dense = grid.join(known, LOG).join(last, [LOG, "frame", TIME, *keys], "left")
-    held = F.last("row", ignorenulls=True).over(Window.partitionBy(LOG, *keys).orderBy("fo"))
     return (
-        dense.withColumn("held", held)
+        scan.along(dense, [LOG, *keys], ["fo"], width, held=scan.carried(F.col("row")))
         .where("held.v is not null")
         .select(LOG, "frame", TIME, "fo", *keys, "held.since_us", "held.v")
     )
 
 
-def validity(obs: DataFrame, keys: list[str]) -> DataFrame:
+def validity(obs: DataFrame, keys: list[str], width: int | None = None) -> DataFrame:
     """``obs`` without rows that repeat their key's value, each with ``until_us``: the sparse form of carry-forward."""
-    w = ordered(LOG, *keys)
-    changed = obs.withColumn("_prev", F.lag(F.struct("v")).over(w)).where(
-        F.col("_prev").isNull() | ~F.col("_prev.v").eqNullSafe(F.col("v"))
-    )
-    return changed.drop("_prev").withColumn("until_us", F.lead(TIME).over(w))
+    by, order = [LOG, *keys], [TIME, POS]
+    changed = scan.along(obs, by, order, width, _prev=scan.previous("v")).where(F.col("_prev").isNull() | ~F.col("_prev.v").eqNullSafe(F.col("v")))
+    then = scan.along(changed.drop("_prev"), by, order, width, _next=scan.following(TIME))
+    return then.withColumn("until_us", F.col(f"_next.{TIME}")).drop("_next")
 
 
 def asof(
-    left: DataFrame, right: DataFrame, by: list[str], take: list[str], inclusive: bool = True, forward: bool = False
+    left: DataFrame, right: DataFrame, by: list[str], take: list[str], inclusive: bool = True, forward: bool = False, width: int | None = None
 ) -> DataFrame:
     """``left`` with the struct ``got``: columns ``take`` of the nearest row of ``right`` before it (after it, if ``forward``).
 
@@ -78,14 +78,15 @@ def asof(
     One shuffle, no range join.
     """
     first = 0 if inclusive else 1
+    # Read backwards, the sides of one time change places.
+    first, last = (1 - first, first) if forward else (first, 1 - first)
     row = F.struct(*left.columns)
-    both = left.select(*by, TIME, POS, F.lit(1 - first).alias("_side"), row.alias("_row"), F.lit(None).alias("_got")).unionByName(
+    both = left.select(*by, TIME, POS, F.lit(last).alias("_side"), row.alias("_row"), F.lit(None).alias("_got")).unionByName(
         right.select(*by, TIME, POS, F.lit(first).alias("_side"), F.struct(*take).alias("_got")), allowMissingColumns=True
     )
-    order = [F.desc(TIME), F.asc("_side"), F.desc(POS)] if forward else [TIME, "_side", POS]
-    w = Window.partitionBy(*by).orderBy(*order)
+    fold = scan.coming if forward else scan.carried
     return (
-        both.withColumn("got", F.last("_got", ignorenulls=True).over(w))
+        scan.along(both, by, [TIME, "_side", POS], width, got=fold(F.col("_got")))
         .where("_row is not null")
         .select("_row.*", "got")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chronolane.operators import intervals, lanes, runs, temporal
+from chronolane.operators import intervals, lanes, runs, scan, temporal
 
 from .bind import HOUR, MID, OBS, middle, observations, query, table
 
@@ -48,11 +48,12 @@ def carry_forward_state(spark, sf_dir):
     obs = observations(spark, sf_dir)
     only = obs.withColumn("v", F.when(F.col("signal") == "purchase", F.col("v")))
     bought = obs.where("signal = 'purchase'")
-    grid = temporal.frames(only)
-    held = F.last("row", ignorenulls=True).over(Window.partitionBy("log_id", "col").orderBy("fo"))
+    width = scan.width(obs)
+    grid = temporal.frames(only, width)
     rows = bought.select("log_id", "frame", "col", F.struct(F.col("t_us").alias("since_us"), "v").alias("row"))
     dense = grid.join(bought.select("log_id", "col").distinct(), "log_id").join(rows, ["log_id", "frame", "col"], "left")
-    return dense.withColumn("h", held).where("h.v is not null").select("log_id", "frame", "col", "h.since_us", "h.v")
+    held = scan.along(dense, ["log_id", "col"], ["fo"], width, h=scan.carried(F.col("row")))
+    return held.where("h.v is not null").select("log_id", "frame", "col", "h.since_us", "h.v")
 
 
 @query(f"""WITH {OBS}, c AS (SELECT * FROM obs WHERE signal = 'click'), r AS (SELECT * FROM obs WHERE signal = 'view')
@@ -108,15 +109,16 @@ EVENT_RUNS = RUNS.format(src="obs", v="v // 2500")
 RUN_COLUMNS = ["log_id", "col", "start_us", "end_us", "v"]
 
 
-def event_runs(spark, sf_dir, obs=None):
+def event_runs(spark, sf_dir, obs=None, width=None):
     obs = observations(spark, sf_dir) if obs is None else obs
-    shown = runs.own_frames(obs).select("log_id", "fo", "t_us", "nxt", "col", F.floor(F.col("v") / 2500).alias("v"))
-    return runs.encode_timed(shown, ["col"]).select(*RUN_COLUMNS)
+    shown = runs.own_frames(obs, width).select("log_id", "fo", "t_us", "nxt", "col", F.floor(F.col("v") / 2500).alias("v"))
+    return runs.encode_timed(shown, ["col"], width).select(*RUN_COLUMNS)
 
 
 @query(f"WITH {OBS}, {EVENT_RUNS} SELECT log_id, col, start_us, end_us, v FROM runs")
 def runs_encode(spark, sf_dir):
-    return event_runs(spark, sf_dir)
+    obs = observations(spark, sf_dir)
+    return event_runs(spark, sf_dir, obs, scan.width(obs))
 
 
 @query(f"WITH {OBS}, {RUNS.format(src='obs', v='CASE WHEN k >= 50 THEN k // 25 END')} SELECT log_id, col, COUNT(*) AS n_runs, COUNT(*) FILTER (v IS NULL) AS unresolved, CAST(SUM(end_us - start_us) AS BIGINT) AS total_us FROM runs GROUP BY ALL")
@@ -157,16 +159,17 @@ i4 AS (SELECT *, SUM(chg) OVER (PARTITION BY log_id, lane, col, isl ORDER BY fo)
 lane_runs AS (SELECT log_id, lane, col, MIN(t_us) AS start_us, arg_max(nxt, fo) AS end_us, MIN(vf) AS v FROM i4 GROUP BY log_id, lane, col, isl, run)"""
 
 
-def lane_runs(spark, sf_dir, obs=None):
+def lane_runs(spark, sf_dir, obs=None, width=None):
     obs = observations(spark, sf_dir) if obs is None else obs
     ends = lanes.closes(obs)
-    changes = lanes.lane_changes(obs, "view", lanes.PROJECTORS, ends)
-    return runs.encode_changes(changes, ends.select("log_id", "close_us"), ["lane", "col"])
+    changes = lanes.lane_changes(obs, "view", lanes.PROJECTORS, ends, width)
+    return runs.encode_changes(changes, ends.select("log_id", "close_us"), ["lane", "col"], width)
 
 
 @query(f"WITH {OBS}, {STATE}, {LANE_RUNS} SELECT log_id, lane, col, start_us, end_us, v FROM lane_runs")
 def interval_view(spark, sf_dir):
-    return lane_runs(spark, sf_dir).select("log_id", "lane", "col", "start_us", "end_us", "v")
+    obs = observations(spark, sf_dir)
+    return lane_runs(spark, sf_dir, obs, scan.width(obs)).select("log_id", "lane", "col", "start_us", "end_us", "v")
 
 
 @query(f"WITH {OBS}, {STATE} SELECT lane, COUNT(*) AS shown, COUNT(v) AS valued, CAST(SUM(v) AS BIGINT) AS total FROM painted GROUP BY lane")
@@ -195,8 +198,8 @@ def interval_stab(spark, sf_dir):
 LONGER = f"longer AS (SELECT log_id, col, start_us, start_us + (v + 1) * {HOUR} AS end_us, v FROM runs WHERE v IS NOT NULL)"
 
 
-def longer_runs(spark, sf_dir):
-    found = event_runs(spark, sf_dir).where("v is not null")
+def longer_runs(spark, sf_dir, obs=None):
+    found = event_runs(spark, sf_dir, obs).where("v is not null")
     return found.withColumn("end_us", F.col("start_us") + (F.col("v") + 1) * HOUR)
 
 
@@ -223,7 +226,8 @@ s AS (SELECT log_id, t AS from_us, LEAD(t) OVER (PARTITION BY log_id ORDER BY t)
 SELECT s.log_id, l.col AS layer, from_us, to_us, arg_max(l.v, (l.start_us, l.v)) AS v FROM s JOIN longer l ON l.log_id = s.log_id AND l.start_us <= from_us AND to_us <= l.end_us
 WHERE to_us IS NOT NULL GROUP BY ALL""")
 def interval_overlay(spark, sf_dir):
-    return intervals.overlay(longer_runs(spark, sf_dir).withColumnRenamed("col", "layer"), ["log_id"])
+    obs = observations(spark, sf_dir)
+    return intervals.overlay(longer_runs(spark, sf_dir, obs).withColumnRenamed("col", "layer"), ["log_id"], scan.width(obs))
 
 
 @query(f"""WITH {OBS}, s AS (SELECT *, MIN(t_us) OVER (PARTITION BY log_id) AS t0 FROM obs),
@@ -231,3 +235,47 @@ b AS (SELECT *, CAST(FLOOR((t_us - t0) / 1000000.0 * (1.0 / 7200) + 1e-6) AS BIG
 SELECT log_id, tick, arg_min(pos, (t_us, pos)) AS pos FROM b GROUP BY log_id, tick""")
 def sample_first_per_tick(spark, sf_dir):
     return temporal.first_per_tick(observations(spark, sf_dir), ["log_id"], 1.0 / 7200).select("log_id", "tick", "pos")
+
+
+# One log that holds all rows: the same views, spread over stretches of a day.
+DAY = 24 * HOUR
+ONE = OBS.replace("user_id % 10 AS log_id", "0::BIGINT AS log_id")
+
+
+def one_log(spark, sf_dir):
+    return observations(spark, sf_dir).withColumn("log_id", F.lit(0).cast("long"))
+
+
+@query(f"WITH {ONE}, {EVENT_RUNS} SELECT log_id, col, start_us, end_us, v FROM runs")
+def runs_encode_one_log(spark, sf_dir):
+    return event_runs(spark, sf_dir, one_log(spark, sf_dir), DAY)
+
+
+@query(f"WITH {ONE}, {STATE}, {LANE_RUNS} SELECT log_id, lane, col, start_us, end_us, v FROM lane_runs")
+def interval_view_one_log(spark, sf_dir):
+    return lane_runs(spark, sf_dir, one_log(spark, sf_dir), DAY).select("log_id", "lane", "col", "start_us", "end_us", "v")
+
+
+@query(f"WITH {ONE}, {STATE} SELECT log_id, frame, signal, col, since_us, v FROM state")
+def carry_forward_one_log(spark, sf_dir):
+    return temporal.carry_forward(one_log(spark, sf_dir), KEY, DAY).select("log_id", "frame", "signal", "col", "since_us", "v")
+
+
+@query(f"""WITH {ONE}, c AS (SELECT * FROM obs WHERE signal = 'click'), r AS (SELECT * FROM obs WHERE signal = 'view'),
+b AS (SELECT c.log_id, c.pos, c.t_us, r.k AS before FROM c ASOF LEFT JOIN r ON c.log_id = r.log_id AND c.t_us >= r.t_us)
+SELECT b.log_id, b.pos, b.before, r.k AS after FROM b ASOF LEFT JOIN r ON b.log_id = r.log_id AND b.t_us < r.t_us""")
+def asof_one_log(spark, sf_dir):
+    obs = one_log(spark, sf_dir)
+    views = obs.where("signal = 'view'")
+    before = temporal.asof(obs.where("signal = 'click'"), views, ["log_id"], ["k"], width=DAY).withColumn("before", F.col("got.k")).drop("got")
+    both = temporal.asof(before, views, ["log_id"], ["k"], inclusive=False, forward=True, width=DAY)
+    return both.select("log_id", "pos", "before", F.col("got.k").alias("after"))
+
+
+@query(f"""WITH {ONE}, {EVENT_RUNS}, {LONGER}, b AS (SELECT log_id, start_us AS t FROM longer UNION SELECT log_id, end_us FROM longer),
+s AS (SELECT log_id, t AS from_us, LEAD(t) OVER (PARTITION BY log_id ORDER BY t) AS to_us FROM b)
+SELECT s.log_id, l.col AS layer, from_us, to_us, arg_max(l.v, (l.start_us, l.v)) AS v FROM s JOIN longer l ON l.log_id = s.log_id AND l.start_us <= from_us AND to_us <= l.end_us
+WHERE to_us IS NOT NULL GROUP BY ALL""")
+def interval_overlay_one_log(spark, sf_dir):
+    layers = longer_runs(spark, sf_dir, one_log(spark, sf_dir)).withColumnRenamed("col", "layer")
+    return intervals.overlay(layers, ["log_id"], DAY)
