@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chronolane.functions import clock
 from chronolane.operators import archive, graph, privacy, ranks
-from chronolane.sources import jsonl, tails
+from chronolane.sources import jsonl, sealed, tails
 from chronolane.sources.shared import folder
 
 from .bind import OBS, observations, partial_sql, query, table
@@ -284,3 +284,22 @@ def src_incremental_scan(spark, sf_dir):
     known = now.where(name < "log-7").withColumn("fresh", F.lit(False))
     fresh = jsonl.changed(now, known).withColumn("fresh", F.lit(True))
     return jsonl.refreshed(now, known, fresh).select(name.alias("log_id"), "fresh")
+
+
+@query(f"""WITH {OBS} SELECT 'log-' || log_id AS log_id, COUNT(*) AS observations, MAX(t_us) AS last_us, 'kept' AS note, 'complete' AS state FROM obs GROUP BY log_id""")
+def src_sealed_tails(spark, sf_dir):
+    """Header, appendix and footer of logs that the library sealed, from head and tail of each file."""
+    where = _folder(spark)
+    obs = _wire(spark, sf_dir)
+    logs = obs.select("log_id").distinct()
+    appendix = logs.select("log_id", F.lit(sealed.APPENDIX).alias("step"), F.lit('{"intervals_version":1,"intervals":[],"note":"kept"}').alias("line"))
+    footer = logs.select("log_id", F.lit(sealed.FOOTER).alias("step"), F.lit('{"summary_version":1,"summary":{}}').alias("line"))
+    jsonl.write_logs(obs, where, appendix.unionByName(footer))
+    read = tails.edge_lines(tails.listing(spark, where)).withColumn("footer", jsonl.footer(F.col("last")))
+    return read.select(
+        F.regexp_extract("name", r"log_id=([^/]*)/", 1).alias("log_id"),
+        "footer.observations",
+        F.get_json_object("last", "$.last_us").cast("long").alias("last_us"),
+        F.get_json_object("second_last", "$.note").alias("note"),
+        archive.state(F.col("footer.observations"), F.col("footer.summary_version")).alias("state"),
+    )

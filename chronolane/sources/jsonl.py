@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from chronolane.model import LOG, LOG_VERSION, POS, TIME, checked_signal, micros
 
+from . import sealed
+
 KINDS = {"log_version": "header", "intervals_version": "appendix", "observations": "footer"}
 WIRE = "t DOUBLE, f BIGINT, s STRING, k ARRAY<STRING>, v STRING, c DOUBLE, log_version INT, intervals_version INT, observations BIGINT"
 
@@ -23,25 +25,39 @@ def line_kind(parsed: Column) -> Column:
 
 
 def encode(obs: DataFrame) -> DataFrame:
-    """(log_id, pos, value): observations as wire lines. A null value is written, not left out."""
+    """(log_id, pos, t_us, value): observations as wire lines. A null value is written, not left out."""
     line = F.to_json(
         F.struct(
             (F.col(TIME) / 1_000_000.0).alias("t"), F.col("frame").alias("f"), F.col("signal").alias("s"), F.col("key").alias("k"), F.col("value").alias("v"), F.col("score").alias("c")
         ),
         {"ignoreNullFields": "false"},
     )
-    return obs.select(LOG, POS, line.alias("value"))
+    return obs.select(LOG, POS, TIME, line.alias("value"))
+
+
+def write_logs(obs: DataFrame, path: str, extras: DataFrame | None = None) -> None:
+    """One sealed log for each log_id under ``path``: header, observations by pos, footer that counts them, and a pointer to the tail.
+
+    ``extras``: (log_id, step, line), lines of ``sealed.HEADER``, ``APPENDIX`` or ``FOOTER``
+    (a JSON object that joins the counts), at most one of each for a log.
+    """
+    void = F.lit(None).cast("long")
+    line = encode(obs)
+    body = line.select(LOG, F.lit(sealed.BODY).alias("step"), TIME, POS, F.col("value").alias("line"))
+    if extras is not None:
+        body = body.unionByName(extras.select(F.col(LOG).cast(obs.schema[LOG].dataType).alias(LOG), "step", void.alias(TIME), void.alias(POS), "line"))
+    sealed.write(body, path)
 
 
-def write_logs(obs: DataFrame, path: str) -> None:
-    """One gzip file for each log under ``path``, sealed with a footer that counts the observations."""
+def write_plain_logs(obs: DataFrame, path: str) -> None:
+    """One gzip file for each log under ``path``, sealed with a footer that counts the observations, without a pointer: for stores that only Spark opens."""
     head = obs.select(LOG).distinct().select(
         LOG, F.lit(-1).cast("long").alias(POS), F.to_json(F.struct(F.lit(LOG_VERSION).alias("log_version"))).alias("value")
     )
     foot = obs.groupBy(LOG).agg(F.count(F.lit(1)).alias("observations"), F.max(TIME).alias("last_us")).select(
         LOG, F.lit((1 << 62)).alias(POS), F.to_json(F.struct("observations", "last_us")).alias("value")
     )
-    lines = head.unionByName(encode(obs)).unionByName(foot)
+    lines = head.unionByName(encode(obs).drop(TIME)).unionByName(foot)
     lines.repartition(LOG).sortWithinPartitions(LOG, POS).select(LOG, "value").write.partitionBy(LOG).option("compression", "gzip").text(path)
 
 

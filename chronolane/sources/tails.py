@@ -11,14 +11,18 @@ from __future__ import annotations
 
 import gzip
 import io
+import itertools
 import struct
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import stores
+
 #: Fixed values of the file format: the name of the extra subfield and its length in bytes.
 SUBFIELD, SUBFIELD_BYTES = b"HU", 8
 #: Bytes read of a file's head, and of the end of a log that is still written.
@@ -34,24 +38,39 @@ def member(payload: bytes, extra: bytes = b"") -> bytes:
     return whole[:3] + bytes([whole[3] | 4]) + whole[4:10] + struct.pack("<H", len(extra)) + extra + whole[10:]
 
 
-def packed(header: bytes, body: bytes, appendix: bytes | None, footer: bytes) -> bytes:
-    """A sealed log; ``body`` is whole lines, the others one line each without its end."""
+def ends(header: bytes, appendix: bytes | None, footer: bytes) -> tuple[bytes, bytes]:
+    """What goes before and after the body of a sealed log; the lines come without their ends."""
     tail = [b"" if appendix is None else member(appendix + b"\n"), member(footer + b"\n")]
     sizes = struct.pack("<II", *map(len, tail))
-    return member(header + b"\n", SUBFIELD + struct.pack("<H", len(sizes)) + sizes) + member(body) + b"".join(tail)
+    return member(header + b"\n", SUBFIELD + struct.pack("<H", len(sizes)) + sizes), b"".join(tail)
+
+
+def packed(header: bytes, body: bytes, appendix: bytes | None, footer: bytes) -> bytes:
+    """A sealed log; ``body`` is whole lines, the others one line each without its end."""
+    head, tail = ends(header, appendix, footer)
+    return head + member(body) + tail
+
+
+def extra_fields(head: bytes) -> dict[bytes, bytes]:
+    """The extra fields of a gzip header by name (RFC 1952, 2.3.1.1); none if there are none, or the header isn't whole."""
+    source, out = io.BytesIO(head), {}
+    start = source.read(10)
+    if start[:3] != b"\x1f\x8b\x08" or not start[3:4] or not start[3] & 0b100:
+        return out
+    (left,) = struct.unpack("<H", source.read(2).ljust(2, b"\0"))
+    source = io.BytesIO(source.read(left))
+    for name in iter(lambda: source.read(2), b""):
+        size = int.from_bytes(source.read(2), "little")
+        value = source.read(size)
+        if len(value) == size:
+            out[name] = value
+    return out
 
 
 def tail_sizes(head: bytes) -> tuple[int, int] | None:
     """Compressed sizes of appendix (0: none) and footer, from a file's first bytes; None if they are not told."""
-    if len(head) < 12 or head[:2] != b"\x1f\x8b" or not head[3] & 4:
-        return None
-    fields = head[12 : 12 + int.from_bytes(head[10:12], "little")]
-    while len(fields) >= 4:
-        size = int.from_bytes(fields[2:4], "little")
-        if fields[:2] == SUBFIELD and size == SUBFIELD_BYTES and len(fields) >= 4 + size:
-            return struct.unpack_from("<II", fields, 4)
-        fields = fields[4 + size :]
-    return None
+    told = extra_fields(head).get(SUBFIELD, b"")
+    return struct.unpack("<II", told) if len(told) == SUBFIELD_BYTES else None
 
 
 def head_line(head: bytes) -> bytes | None:
@@ -63,31 +82,40 @@ def head_line(head: bytes) -> bytes | None:
     return line if end else None
 
 
+def _lines(source) -> Iterator[bytes]:
+    """The lines of a stream that are not blank, without white space around them."""
+    return filter(None, map(bytes.strip, source))
+
+
 def edges(file, size: int, packed_: bool) -> tuple[bytes, bytes, bytes]:
-    """First line and last two lines that are not blank, of a file that can seek; a missing line is empty."""
-    head = file.read(min(size, HEAD))
-    if packed_:
-        told, first = tail_sizes(head), head_line(head)
-        if told is not None and first is not None:
-            appendix, footer = told
-            file.seek(size - footer - appendix)
-            tail = file.read(appendix + footer)
-            return first, gzip.decompress(tail[:appendix]).strip() if appendix else b"", gzip.decompress(tail[appendix:]).strip()
+    """First line and last two lines that are not blank, of a file that can seek; a missing line is empty.
+
+    Of a log with a pointer the second last is its appendix, empty if it has none;
+    head and tail are read. Of a plain file head and end are read, a gzip file without
+    a pointer is read through, one line at a time.
+    """
+
+    def part(start: int, end: int) -> bytes:
+        file.seek(start)
+        return file.read(end - start)
+
+    head = part(0, min(size, HEAD))
+    told = tail_sizes(head) if packed_ else None
+    first = head_line(head) if told else None
+    if first is not None:
+        tail = gzip.decompress(part(size - sum(told), size)).splitlines()
+        last = deque(_lines(tail), maxlen=2 if told[0] else 1)
+    elif packed_:
         file.seek(0)
-        kept: list[bytes] = []
-        first = b""
-        for line in gzip.GzipFile(fileobj=file):  # a stream: the lines before the last two are let go
-            if line.strip():
-                first = first or line.strip()
-                kept = [*kept[-1:], line.strip()]
+        rest = _lines(gzip.GzipFile(fileobj=file))
+        first = next(rest, b"")
+        last = deque(itertools.chain([first] if first else [], rest), maxlen=2)
     else:
         first = head.partition(b"\n")[0].strip()
         start = max(0, size - TAIL)
-        file.seek(start)
-        lines = file.read(size - start).split(b"\n")
-        kept = [x.strip() for x in lines[start > 0 :] if x.strip()][-2:]
-    kept = [b""] * (2 - len(kept)) + kept
-    return first, kept[0], kept[1]
+        # A window that begins inside a line begins with a part of one.
+        last = deque(_lines(part(start, size).split(b"\n")[start > 0 :]), maxlen=2)
+    return first, *[b""] * (2 - len(last)), *last
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
@@ -100,15 +128,13 @@ def edge_lines(files: DataFrame, by_content: bool = False) -> DataFrame:
     """(name, first, second_last, last) of each file of ``files`` (name, size; content if ``by_content``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         for batch in batches:
             names, lines = batch.column(0).to_pylist(), []
             for name, size, content in zip(names, batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if by_content:
                     lines.append(edges(io.BytesIO(content), size, name.endswith(".gz")))
                     continue
-                store, at = fs.FileSystem.from_uri(name)
+                store, at = stores.opened(name)
                 with store.open_input_file(at) as file:
                     lines.append(edges(file, size, name.endswith(".gz")))
             columns = [pa.array([x[i].decode("utf-8", "replace") for x in lines], pa.string()) for i in range(3)]
