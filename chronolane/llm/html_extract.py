@@ -6,7 +6,9 @@ notices and comments go, as does all that stands outside an article where the
 page marks one), then link density, then stop-word density and length. Short
 blocks, and long ones without stop words, stay open. In pass two each open block
 takes the label of the nearest decided block (of the article, where one is
-marked); with none decided it stays.
+marked); with none decided it stays. Attributes are read by name, so that neither
+their values nor other attributes are taken for marks; a page of which nothing is
+left is read again with whole names only.
 """
 
 from __future__ import annotations
@@ -53,7 +55,11 @@ _TAG = re.compile(
     rf"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>{_INSIDE})(?:>|\Z)",
     re.S | re.I,
 )
-_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]++))?""")
+#: Elements that hold text themselves: of their names only whole ones mark them.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt figcaption td th".split()) | INLINE
+#: First parts of names that say what an element has or is near, not what it is.
+ABOUT = frozenset("has have with without no not is are hide show before after under over pre post".split())
 _WORD = re.compile(r"[^\W\d_]+")
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -68,18 +74,39 @@ class Block:
     keep: bool | None = None
 
 
-def _marks(attrs: str) -> set[str]:
+def _attributes(attrs: str) -> dict[str, str]:
+    """Attributes by lower-case name, the first of each."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attrs):
+        out.setdefault(m.group(1).lower(), (m.group(2) or "").strip("\"'"))
+    return out
+
+
+def _marks(name: str, attrs: str, parts: bool) -> set[str]:
+    """The marks among the names (class, id, role) of an element.
+
+    A name counts as a whole. With ``parts``, a part of it does too (``site-footer``,
+    ``cookieNotice``), except on elements that hold text themselves and behind a first
+    part like ``has``. A hidden element is marked as an overlay.
+    """
+    if not attrs:
+        return set()
+    given = _attributes(attrs)
     out: set[str] = set()
-    for m in _NAMES.finditer(attrs):
-        spaced = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", m.group(2))
-        out.update(_SPLIT.split(spaced.lower()))
-    if re.search(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until))|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", attrs, re.I):
+    for token in " ".join(given.get(x, "") for x in ("class", "id", "role")).split():
+        out.add(token.lower())
+        pieces = [x for x in _SPLIT.split(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()) if x]
+        if parts and name not in TEXTUAL and pieces and pieces[0] not in ABOUT:
+            out.update(pieces)
+    out &= MARKS
+    hidden = "hidden" in given and given["hidden"].lower() not in ("false", "until-found")
+    if hidden or given.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", given.get("style", ""), re.I):
         out.add("overlay")
     return out
 
 
-def blocks_of(page: str) -> list[Block]:
-    """The page's blocks in order, not yet labelled."""
+def blocks_of(page: str, name_parts: bool = True) -> list[Block]:
+    """The page's blocks in order, not yet labelled; ``name_parts``: see ``_marks``."""
     out: list[Block] = []
     open_tags: list[tuple[str, bool, bool, bool]] = []  # name; from here on: furniture, in an article, no article even if one is marked
     n_open: Counter[str] = Counter()
@@ -120,7 +147,7 @@ def blocks_of(page: str) -> list[Block]:
             state["link_depth"] = 0 if m.group("end") else 1
             continue
         attrs = m.group("attrs") or ""
-        if name in INLINE and not m.group("end") and not _marks(attrs) & MARKS:
+        if name in INLINE and not m.group("end") and not _marks(name, attrs, name_parts):
             continue
         if name in INLINE and m.group("end") and not n_open[name]:
             continue
@@ -140,7 +167,7 @@ def blocks_of(page: str) -> list[Block]:
             open_tags.pop()
             n_open[name] -= 1
         _, bad, inside, never = open_tags[-1] if open_tags else ("", False, False, False)
-        marks = _marks(attrs)
+        marks = _marks(name, attrs, name_parts)
         never = never or bool(marks & REMARKS)
         if name in ARTICLE:
             bad = never or (bad and inside)
@@ -148,7 +175,7 @@ def blocks_of(page: str) -> list[Block]:
         elif name in ("body", "html"):
             bad = False
         else:
-            bad = bad or name in FURNITURE or (name == "header" and not inside) or bool(marks & MARKS) or name == "head"
+            bad = bad or name in FURNITURE or (name == "header" and not inside) or bool(marks) or name == "head"
         state["section"] += name not in ("p", "li", "td", "tr")
         open_tags.append((name, bad, inside, never))
         n_open[name] += 1
@@ -191,8 +218,12 @@ def classify(blocks: list[Block]) -> None:
 
 
 def extract(page: str) -> str:
-    blocks = blocks_of(page)
-    classify(blocks)
+    """The page's main text. If nothing is left, parts of names have misled: then only whole ones count."""
+    for name_parts in (True, False):
+        blocks = blocks_of(page, name_parts)
+        classify(blocks)
+        if any(b.keep for b in blocks):
+            break
     return " ".join(b.text for b in blocks if b.keep)
 
 

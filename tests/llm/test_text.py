@@ -244,3 +244,33 @@ def test_toxicity_of_repeated_ids_and_long_texts(spark):
     model = toxicity.fit(docs, known, max_rows=150)
     scores = {r["doc_id"]: r["score"] for r in rows(toxicity.score(docs.where("doc_id <> 7"), model))}
     assert scores[500] >= 0.5 and sum((scores[i] >= 0.5) == bool(i % 2) for i in range(200) if i != 7) >= 190
+
+
+def test_names_and_attributes_that_are_no_marks():
+    text = "The quick brown fox of the story was in the garden and it is not on the way to the house with the old man, as it was for the others."
+    kept = [
+        '<div class="overflow-hidden"><p>{}</p></div>',
+        '<article><div class="overflow-hidden"><p>{}</p></div></article>',
+        '<p title="the hidden truth">{}</p>',
+        '<div class="content has-sidebar"><p>{}</p></div>',
+        '<p data-id="share">{}</p>',
+        '<p class="related-work">{}</p>',
+        '<div class="related-work"><p>{}</p></div>',
+        "<div data-role=menu data-class='ad'><p>{}</p></div>",
+        '<div hidden="until-found" style="color: red"><p>{}</p></div>',
+    ]
+    for page in kept:
+        assert html_extract.extract("<body>" + page.format(text)) == text, page
+    gone = [
+        "<div hidden><p>{}</p></div>",
+        '<div aria-hidden="true"><p>{}</p></div>',
+        "<div style='display : none'><p>{}</p></div>",
+        '<div class="wide comments"><p>{}</p></div>',
+        '<ul id="sidebar"><li>{}</li></ul>',
+        '<p class="notice">{}</p>',
+    ]
+    for page in gone:
+        assert html_extract.extract("<body>" + page.format(text)) == "", page
+    for name in ("site-footer", "cookieNotice", "post-list related-posts", "comment-list"):
+        page = f'<body><div class="{name}"><p>{text} Not this.</p></div><div class="page"><p>{text}</p></div>'
+        assert html_extract.extract(page) == text, name
