@@ -242,10 +242,15 @@ def _marked(docs: DataFrame, width: int) -> DataFrame:
             rows = [known[text] for text in batch.column(1).to_pylist()]
             columns = [pa.array(list(c), t) for c, t in zip(zip(*rows), (*[pa.int64()] * 3, pa.list_(pa.int64())))] if rows else []
             if rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=[DOC_ID, "size", "name", "name2", "fps"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=[DOC_ID, "text_name", "size", "name", "name2", "fps"])
 
-    ids = texts(docs).select(F.col(DOC_ID).cast("long"), TEXT).where(F.col(DOC_ID).isNotNull())
-    return ids.mapInArrow(run, f"{DOC_ID} long, size long, name long, name2 long, fps array<long>")
+    ids = texts(docs).select(F.col(DOC_ID).cast("long"), TEXT, text_name().alias("text_name")).where(F.col(DOC_ID).isNotNull())
+    return ids.mapInArrow(run, f"{DOC_ID} long, text_name string, size long, name long, name2 long, fps array<long>")
+
+
+def text_name() -> Column:
+    """128 bits that tell a text, null read as empty, from others."""
+    return F.md5(F.coalesce(F.col(TEXT).cast("string"), F.lit("")).cast("binary"))
 
 
 def near_pairs(a: np.ndarray, b: np.ndarray, similarity: float, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -364,8 +369,8 @@ def _alike(bags: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b").mapInArrow(run, "u long, v long")
 
 
-def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS) -> DataFrame:
-    """(doc_id, component_id) for every row of ``docs`` with an id: groups of texts whose word shingles are alike.
+def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(doc_id, text_name, component_id, first) for every row of ``docs`` with an id: groups of texts whose word shingles are alike.
 
     Texts link if the Jaccard similarity of their sets of ``width``-word shingles
     is ``similarity`` or more. Equal sets are one text. Fingerprints of 256 bits are
@@ -374,14 +379,16 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
     similarity of 0.8 fingerprints differ in 25 to 41 bits on average (48 for sets of
     five and four shingles) with a deviation of 5 to 6, so the radius loses none in a million.
     Each tile pair returns a forest, never all pairs. Texts without words are
-    alike. component_id is the smallest doc_id of the group; rows with a null
-    doc_id are left out; documents that share an id are one.
+    alike. component_id is the smallest doc_id of the group, ``first`` whether a row has
+    that id and, of texts that share it, the set with the least name. Rows with a null
+    doc_id are left out; different texts that share an id are different texts.
     """
     marked = written(_marked(docs, width))
-    distinct = written(marked.groupBy("name", "name2").agg(F.min(DOC_ID).alias("node"), F.first("size").alias("size"), F.first("fps").alias("fps")))
+    sets_ = marked.groupBy("name", "name2").agg(F.min(DOC_ID).alias("first_id"), F.first("size").alias("size"), F.first("fps").alias("fps"))
+    distinct = written(sets_.withColumn("node", F.monotonically_increasing_id()))
     groups = components(_candidates(distinct, similarity, radius))
     rooted = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())
-    wanted = written(distinct.select("node", "name", "name2").join(rooted, "node"))
+    wanted = written(distinct.select("node", "first_id", "name", "name2").join(rooted, "node"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -394,8 +401,16 @@ def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8,
                 root, node, bag = zip(*rows)
                 yield pa.RecordBatch.from_arrays([pa.array(root, pa.int64()), pa.array(node, pa.int64()), pa.array(bag, pa.list_(pa.int64()))], names=["root", "node", "bag"])
 
-    found = texts(docs).select(F.col(DOC_ID).cast("long").alias("node"), TEXT).join(wanted, "node").select(TEXT, "node", "root", "name", "name2")
+    found = texts(docs).select(F.col(DOC_ID).cast("long").alias("first_id"), TEXT).join(wanted, "first_id").select(TEXT, "node", "root", "name", "name2")
     bags = written(found.mapInArrow(sets, "root long, node long, bag array<long>").dropDuplicates(["node", "root"]))
     roots = components(_alike(bags, similarity))
-    labelled = distinct.join(roots, "node", "left").withColumn("component_id", F.coalesce("root", "node"))
-    return marked.join(labelled.select("name", "name2", "component_id"), ["name", "name2"]).select(DOC_ID, "component_id")
+    labelled = written(distinct.join(roots, "node", "left").select("name", "name2", "first_id", F.coalesce("root", "node").alias("root")))
+    least = labelled.groupBy("root").agg(F.min(F.struct("first_id", "name", "name2")).alias("least"))
+    told = marked.join(labelled.join(least, "root").select("name", "name2", "least"), ["name", "name2"])
+    first = F.struct(DOC_ID, "name", "name2") == F.col("least")
+    return told.select(DOC_ID, "text_name", F.col("least.first_id").alias("component_id"), first.alias("first"))
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(doc_id, component_id) of ``similar_texts``."""
+    return similar_texts(docs, width, similarity, radius).select(DOC_ID, "component_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from chronolane.llm import hilbert_shards, media, registry, toxicity
 
-from .helpers import SCHEMA, documents, rows
+from .helpers import SCHEMA, documents, rows, words
 
 
 def test_store_and_read_back_any_bytes():
@@ -108,3 +108,17 @@ def test_pipeline_stages(spark, sf_dir):
 def test_queries_run_on_the_smallest_tables(spark, sf_dir):
     for name, query in registry.queries().items():
         assert query(spark, sf_dir).columns, name
+
+
+def test_texts_that_share_an_id_are_told_apart(spark):
+    import random
+
+    import corpus_pipeline
+
+    rnd = random.Random(8)
+    a, b, c = (words(rnd, 120) for _ in range(3))
+    rows_ = [(1, a), (2, a + " more"), (2, b), (2, b), (3, b + " again"), (4, c), (None, a), (5, None), (6, ""), (4, c)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows_], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.without_near_copies(spark, docs, "").collect()), key=repr)
+    assert kept == sorted([(1, a), (2, b), (4, c), (None, a), (5, None)], key=repr)
+    assert corpus_pipeline.without_near_copies(spark, docs.limit(0), "").count() == 0
