@@ -22,14 +22,18 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies (five-word shingles alike by 0.8 or more); documents without an id stay."""
+    """One document of each group of near copies (five-word shingles alike by 0.8 or more), the one with the smallest id; documents without an id stay.
+
+    A row goes for its text, not for its id: of rows that share an id the ones with other texts stay.
+    """
     small_batches(spark)
-    groups = simhash_dedup.similar_documents(docs)
-    losers = groups.where(F.col(DOC_ID) != F.col("component_id")).select(DOC_ID).distinct()
-    kept = docs.where(F.col(DOC_ID).isNotNull()).join(losers, DOC_ID, "left_anti").select(docs.columns)
-    # Rows that share an id are copies of each other if their texts are equal; all but one of them go before the shuffle.
-    again = F.row_number().over(Window.partitionBy(DOC_ID, F.xxhash64(TEXT)).orderBy(DOC_ID))
-    once = kept.select("*", again.alias("_again")).where(F.col("_again") == 1).drop("_again")
+    groups = simhash_dedup.similar_texts(docs)
+    losers = groups.where("not first").select(DOC_ID, F.col("text_name").alias("_text")).distinct()
+    named = docs.where(F.col(DOC_ID).isNotNull()).withColumn("_text", simhash_dedup.text_name())
+    kept = named.join(losers, [DOC_ID, "_text"], "left_anti")
+    # Rows alike in id and text are copies of each other; all but one of them go.
+    again = F.row_number().over(Window.partitionBy(DOC_ID, "_text").orderBy(DOC_ID))
+    once = kept.withColumn("_again", again).where(F.col("_again") == 1).select(docs.columns)
     return once.unionAll(docs.where(F.col(DOC_ID).isNull()))
 
 
