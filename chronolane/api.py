@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolane.functions.text import normalized
-from chronolane.model import LOG
+from chronolane.model import INTERVALS_VERSION, LOG
 from chronolane.operators import archive, lanes, privacy, rules, summary, temporal, wire
-from chronolane.sources import jsonl, tails
+from chronolane.sources import jsonl, memories, tails
 from chronolane.sources.shared import written
 
 search = archive.search
+INTERVAL = "lane string, arm int, col int, start_us long, end_us long, v string"
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -111,7 +112,11 @@ def inventory(spark: SparkSession, path: str, by_content: bool = False) -> DataF
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path) if by_content else tails.listing(spark, path)
     named = files.select(F.col("path").alias("name"), F.col("length").alias("size"), "content") if by_content else files
-    read = tails.edge_lines(named, by_content).withColumns({"header": jsonl.header(F.col("first")), "footer": jsonl.footer(F.col("last"))})
+    return _entries(tails.edge_lines(named, by_content))
+
+
+def _entries(edges: DataFrame) -> DataFrame:
+    read = edges.withColumns({"header": jsonl.header(F.col("first")), "footer": jsonl.footer(F.col("last"))})
     kind = archive.state(F.col("footer.observations"), F.coalesce("footer.summary_version", F.lit(0)))
     last_s = F.get_json_object("last", "$.t").try_cast("double")
     return read.withColumn("state", kind).select(
@@ -125,6 +130,44 @@ def inventory(spark: SparkSession, path: str, by_content: bool = False) -> DataF
     )
 
 
+def remembered_inventory(spark: SparkSession, path: str, memory: str) -> DataFrame:
+    """``inventory`` with modified and size, of which only new and changed files are opened.
+
+    The rest is known from the last snapshot under ``memory``. What is gone from
+    ``path`` goes. Each scan writes a snapshot of its own, which counts once it is
+    whole, so scans may run at the same time.
+    """
+    now, known = tails.listing(spark, path), memories.newest(spark, memory)
+    files = now if known is None else jsonl.changed(now, known)
+    fresh = _entries(tails.edge_lines(files)).join(files, "name")
+    return memories.kept(fresh if known is None else jsonl.refreshed(now, known, fresh.select(known.columns)), memory)
+
+
+def intervals(spark: SparkSession, path: str, actions: DataFrame, memory: str) -> DataFrame:
+    """(name, lane, arm, col, start_us, end_us, v) of all logs under ``path``, derived once.
+
+    A log's own appendix counts if its version is current. For others, intervals
+    that were derived from a file of the same name, time and size at this version
+    are read from ``memory``; those of the rest are derived and stored there.
+    """
+    files = tails.listing(spark, path)
+    lines = tails.edge_lines(files).select("name", jsonl.appendix(F.col("second_last"), INTERVALS_VERSION).alias("own"))
+    told = written(lines.where("own is not null").select("name", F.explode_outer("own.intervals").alias("x")))
+    rest = written(files.join(told, "name", "left_anti"))
+    known = memories.newest(spark, memory)
+    good = None if known is None else known.join(rest, ["name", "modified", "size"], "left_semi").where(F.col("version") == INTERVALS_VERSION)
+    open_ = rest if good is None else rest.join(good, "name", "left_anti")
+    names = [r["name"] for r in open_.select("name").collect()]  # paths, which Spark's reader takes on the driver
+    if names:
+        runs = wire.interval_view(wire.fields(jsonl.observations(jsonl.read_lines(spark, names))), actions)
+        # A log without any interval has one row of nulls, so that it is known too.
+        named = runs.withColumn("name", jsonl.path_of(F.col(LOG))).drop(LOG).select("name", F.struct("lane", "arm", "col", "start_us", "end_us", "v").alias("run"))
+        made = open_.join(named, "name", "left").withColumn("version", F.lit(INTERVALS_VERSION))
+        good = memories.kept(made if good is None else good.unionByName(made), memory)
+    own = told.select("name", F.from_json("x", INTERVAL).alias("run"))
+    return (own if good is None else own.unionByName(good.select("name", "run"))).where("run is not null").select("name", "run.*")
+
+
 def corpus() -> dict:
     """What ``search`` looks into of an inventory's rows: names, and of summaries the instruments, actions and texts."""
 

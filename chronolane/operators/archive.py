@@ -40,6 +40,21 @@ def tokenize(query: str) -> list[tuple[str | None, str]]:
     return out
 
 
+#: One token: a field name, and a phrase or a word.
+TOKEN = rf"(?i)\s*(?:({'|'.join(FIELDS)}):\s*+)?+(?:\"([^\"]*)\"?|([^ \"][^ ]*+)?)"
+
+
+def tokens(query: Column) -> Column:
+    """``tokenize`` of a column: an array of structs (field, token); null for a null query."""
+    text = F.trim(query)
+    field, phrase, word = (F.regexp_extract_all(text, F.lit(TOKEN), F.lit(i)) for i in (1, 2, 3))
+    all_ = F.transform(
+        F.arrays_zip(field.alias("field"), phrase.alias("phrase"), word.alias("word")),
+        lambda x: F.struct(F.when(x["field"] != "", F.lower(x["field"])).alias("field"), F.concat(x["phrase"], x["word"]).alias("token")),
+    )
+    return F.filter(all_, lambda x: x["token"] != "")
+
+
 def _values(field: str | None, corpus: dict[str, Column]) -> Column:
     empty = F.array().cast("array<string>")
     if field is None:

@@ -42,8 +42,8 @@ def unique(aliases: DataFrame) -> DataFrame:
 
 
 def resolve(rows: DataFrame, text: str, aliases: DataFrame) -> DataFrame:
-    """``rows`` with entry_id of the exact alias, case folded; of several the smallest. Null if none."""
-    known = aliases.groupBy(casefold(F.col("alias")).alias("_folded")).agg(F.min("entry_id").alias("entry_id"))
+    """``rows`` with entry_id of the exact alias, case folded; null if none. Aliases that two entries claim are an error (``unique``)."""
+    known = unique(aliases).groupBy(casefold(F.col("alias")).alias("_folded")).agg(F.min("entry_id").alias("entry_id"))
     return rows.withColumn("_folded", casefold(F.col(text))).join(known, "_folded", "left").drop("_folded")
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronolane.functions import clock
@@ -51,13 +53,15 @@ def search_fuzzy(spark, sf_dir):
     return archive.search(corpus(spark, sf_dir), "banner:exampel.org", fields()).select("page_id")
 
 
-TOKENS = ['name:foo bar', '"two words" x', 'nope:foo', 'POPUP:"open end', 'text:"a b" c', "  "]
-
-
-@query("SELECT * FROM (VALUES (0, 0, 'name', 'foo'), (0, 1, NULL, 'bar'), (1, 0, NULL, 'two words'), (1, 1, NULL, 'x'), (2, 0, NULL, 'nope:foo'), (3, 0, 'popup', 'open end'), (4, 0, 'text', 'a b'), (4, 1, NULL, 'c')) t(query, place, field, token)")
+#: Queries in all forms that a search takes, made of each page's host and id.
+@query("""WITH p AS (SELECT page_id, CAST(page_id AS VARCHAR) AS id, regexp_extract(url, '//([^/]*)', 1) AS host FROM pages),
+t AS (SELECT page_id, [{'f': 'name', 't': host}, {'f': NULL, 't': 'two ' || id}, {'f': NULL, 't': 'nope:' || id}, {'f': 'text', 't': id}, {'f': 'popup', 't': 'open end ' || id || ' '}] AS l FROM p),
+u AS (SELECT page_id, UNNEST(l) AS x, UNNEST(range(5)) AS place FROM t) SELECT page_id, CAST(place AS INT) AS place, x.f AS field, x.t AS token FROM u""")
 def search_tokens(spark, sf_dir):
-    rows = [(q, i, f, t) for q, text in enumerate(TOKENS) for i, (f, t) in enumerate(archive.tokenize(text))]
-    return spark.createDataFrame(rows, "query int, place int, field string, token string")
+    host, key = F.regexp_extract("url", "//([^/]*)", 1), F.col("page_id").cast("string")
+    asked = F.concat(F.lit(" name:"), host, F.lit(' "two '), key, F.lit('" nope:'), key, F.lit(" Text: "), key, F.lit(' POPUP:"open end '), key, F.lit(' "" '))
+    found = table(spark, sf_dir, "pages").select("page_id", F.posexplode(archive.tokens(asked)).alias("place", "x"))
+    return found.select("page_id", "place", "x.field", "x.token")
 
 
 @query("""WITH c AS (SELECT o_custkey, COUNT(*) AS n, COUNT(*) FILTER (o_orderstatus = 'F') AS changes FROM orders GROUP BY o_custkey)
@@ -212,22 +216,29 @@ def set_except(spark, sf_dir):
     return a.subtract(b)
 
 
-#: Which sensor comes after which; a fixed small graph.
-EDGES = [("click", "view"), ("signup", "view"), ("purchase", "signup"), ("purchase", "click"), ("error", "purchase"), ("error", "lost")]
-_edges = ", ".join(f"('{a}', '{b}')" for a, b in EDGES)
-_nodes = ", ".join(f"('{n}')" for n in ("view", "click", "signup", "purchase", "error"))
+#: What depends on what in the given tables: orders on customers, those and suppliers on nations, these on regions.
+_edges = """e(node, needs) AS (SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders UNION ALL SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer
+  UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)"""
+
+
+def dependencies(spark, sf_dir):
+    def edge(name, own, other, needs):
+        return table(spark, sf_dir, name).select(F.concat(F.lit(own[0]), F.col(own[1]).cast("string")).alias("node"), F.concat(F.lit(other), F.col(needs).cast("string")).alias("needs"))
+
+    parts = [("orders", ("o", "o_orderkey"), "c", "o_custkey"), ("customer", ("c", "c_custkey"), "n", "c_nationkey"), ("supplier", ("s", "s_suppkey"), "n", "s_nationkey"), ("nation", ("n", "n_nationkey"), "r", "n_regionkey")]
+    return reduce(DataFrame.unionByName, [edge(*part) for part in parts])
 
 
-@query(f"""WITH RECURSIVE e(node, needs) AS (VALUES {_edges}), r(node, needs) AS (SELECT * FROM e UNION SELECT r.node, e.needs FROM r JOIN e ON r.needs = e.node) SELECT node, needs FROM r""")
+@query(f"""WITH RECURSIVE {_edges}, r(node, needs) AS (SELECT * FROM e UNION SELECT r.node, e.needs FROM r JOIN e ON r.needs = e.node) SELECT node, needs FROM r""")
 def graph_closure(spark, sf_dir):
-    return graph.closure(spark.createDataFrame(EDGES, "node string, needs string"))
+    return graph.closure(dependencies(spark, sf_dir))
 
 
-@query(f"""WITH RECURSIVE e(node, needs) AS (VALUES {_edges}), n(node) AS (VALUES {_nodes}), d(node, level) AS (SELECT node, 0 FROM n UNION ALL SELECT e.node, d.level + 1 FROM d JOIN e ON e.needs = d.node)
+@query(f"""WITH RECURSIVE {_edges}, n(node) AS (SELECT node FROM e UNION SELECT needs FROM e), d(node, level) AS (SELECT node, 0 FROM n UNION ALL SELECT e.node, d.level + 1 FROM d JOIN e ON e.needs = d.node)
 SELECT node, MAX(level) AS level FROM d GROUP BY node""")
 def graph_levels(spark, sf_dir):
-    nodes = spark.createDataFrame([("view",), ("click",), ("signup",), ("purchase",), ("error",)], "node string")
-    return graph.levels(nodes, spark.createDataFrame(EDGES, "node string, needs string"))
+    edges = dependencies(spark, sf_dir)
+    return graph.levels(edges.select("node").union(edges.select("needs")), edges)
 
 
 # Files.

@@ -61,7 +61,13 @@ def write_plain_logs(obs: DataFrame, path: str) -> None:
     lines.repartition(LOG).sortWithinPartitions(LOG, POS).select(LOG, "value").write.partitionBy(LOG).option("compression", "gzip").text(path)
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
+def path_of(file: Column) -> Column:
+    """A file's path as listings tell it, from the URI that lines carry."""
+    plain = F.url_decode(F.replace(file, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(plain, "^file:/+", "file:/")
+
+
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, pos, value, kind, parsed): the lines of all logs under ``path`` that are not blank, in order.
 
     A gzip file is read by one task, so ids rise along the file; plain files are
