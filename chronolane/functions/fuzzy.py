@@ -59,6 +59,62 @@ def partial_ratio_of(a: str, b: str) -> float:
     return max(best(a, b), best(b, a)) if len(a) == len(b) else best(a, b)
 
 
+class Phrases:
+    """Many phrases against a text at once: their letters lie in one bit vector, a free bit between two phrases keeps their carries apart."""
+
+    def __init__(self, phrases: list[str]) -> None:
+        self.phrases, self.where, self.full, self.spans, at = phrases, {}, 0, [], 0
+        for phrase in phrases:
+            for i, c in enumerate(phrase, at):
+                self.where[c] = self.where.get(c, 0) | (1 << i)
+            mask = (1 << len(phrase)) - 1
+            self.full |= mask << at
+            self.spans.append((at, mask))
+            at += len(phrase) + 1
+
+    def common(self, text: str) -> list[int]:
+        """Lengths of the longest common subsequences with the text, in one pass over it."""
+        open_bits = self.full
+        for c in text:
+            letters = self.where.get(c)
+            if letters is not None:
+                hit = open_bits & letters
+                open_bits = ((open_bits + hit) | (open_bits - hit)) & self.full
+        return [mask.bit_count() - (open_bits >> at & mask).bit_count() for at, mask in self.spans]
+
+    def best(self, text: str, least: float) -> tuple[int, float] | None:
+        """The phrase with the greatest partial ratio of ``least`` or more, the first of equals.
+
+        A window has no more in common with a phrase than the whole text has, and is
+        at least as long as that; so phrases that cannot reach are never compared.
+        """
+        bounds = []
+        for i, (phrase, common) in enumerate(zip(self.phrases, self.common(text))):
+            short = min(len(phrase), len(text))
+            bounds.append((-(200.0 * common / (short + common) if short + common else partial_ratio_of(phrase, text)), i))
+        found: tuple[float, int] | None = None
+        for bound, i in sorted(bounds):
+            if -bound < least - 1e-9 or (found is not None and -bound < found[0] - 1e-9):
+                break
+            score = partial_ratio_of(self.phrases[i], text)
+            if score >= least and (found is None or (-score, i) < (-found[0], found[1])):
+                found = (score, i)
+        return None if found is None else (found[1], found[0])
+
+
+def best_phrase(text: Column, phrases: list[str], least: float) -> Column:
+    """A struct (place, score) of the phrase most like a part of ``text``, or the other way round; null if none reaches ``least``. One Arrow call for all phrases; repeated texts are scored once a batch."""
+    many = Phrases(phrases)
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        known = {x: many.best(x, least) for x in set(texts) if x is not None}
+        hits = [known.get(x) or (None, None) for x in texts]
+        return pd.DataFrame({"place": pd.array([h[0] for h in hits], "Int32"), "score": pd.array([h[1] for h in hits], "Float64")})
+
+    hit = F.pandas_udf(run, "place int, score double")(text)
+    return F.when(hit["place"].isNotNull(), hit)
+
+
 @F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio_of(x, y) for x, y in zip(a, b)], dtype="float64")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronolane.functions.fuzzy import partial_ratio
+from chronolane.functions.fuzzy import best_phrase
 from chronolane.functions.text import normalized
 from chronolane.model import LOG, POS, TIME
 
@@ -39,20 +39,18 @@ def best_template(rows: DataFrame, text: str, templates: DataFrame, threshold: f
     """``rows`` with the struct ``hit`` (template_id, score) of the best template, the first of equals; null if none reaches the threshold.
 
     ``templates``: (template_id, ord, tail), a short list that is checked and sent
-    along as a literal; distinct texts are scored once, one Arrow pass, no join.
+    along in one bit vector; a text meets all of them in one pass, and only those that
+    can reach the threshold are compared window by window.
     """
     listed = [(r["template_id"], r["tail"]) for r in templates.orderBy("ord").limit(1001).collect()]
     if len(listed) > 1000:
         raise ValueError("more than 1000 templates")
-    out: Column = F.lit(None).cast("struct<template_id:string,score:double>")
-    scores = F.array(*[F.struct(F.lit(i).cast("string").alias("template_id"), partial_ratio(F.lit(tail), normalized(F.col(text))).alias("score")) for i, tail in listed]) if listed else None
-    if scores is not None:
-        out = F.aggregate(
-            scores,
-            out,
-            lambda best, x: F.when((x["score"] >= threshold) & (best.isNull() | (x["score"] > best["score"])), x).otherwise(best),
-        )
-    return rows.withColumn("hit", out)
+    if not listed:
+        return rows.withColumn("hit", F.lit(None).cast("struct<template_id:string,score:double>"))
+    names = F.array(*[F.lit(i).cast("string") for i, _ in listed])
+    found = rows.withColumn("_hit", best_phrase(normalized(F.col(text)), [tail for _, tail in listed], threshold))
+    named = F.struct(F.get(names, F.col("_hit.place")).alias("template_id"), F.col("_hit.score").alias("score"))
+    return found.withColumn("hit", F.when(F.col("_hit").isNotNull(), named)).drop("_hit")
 
 
 def episodes(reads: DataFrame, by: list[str], read: list[str] = (POS,)) -> DataFrame:
