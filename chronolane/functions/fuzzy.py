@@ -7,6 +7,7 @@ longer one; windows cut off at either end count too.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,24 +64,34 @@ class Phrases:
     """Many phrases against a text at once: their letters lie in one bit vector, a free bit between two phrases keeps their carries apart."""
 
     def __init__(self, phrases: list[str]) -> None:
-        self.phrases, self.where, self.full, self.spans, at = phrases, {}, 0, [], 0
-        for phrase in phrases:
-            for i, c in enumerate(phrase, at):
-                self.where[c] = self.where.get(c, 0) | (1 << i)
-            mask = (1 << len(phrase)) - 1
-            self.full |= mask << at
-            self.spans.append((at, mask))
-            at += len(phrase) + 1
+        self.phrases = phrases
+        self.sizes = np.array([len(p) for p in phrases], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes + 1)[:-1]]).astype(np.int64) if phrases else np.zeros(0, np.int64)
+        self.bytes = (int((self.sizes + 1).sum()) + 7) // 8
+        letters: dict[str, bytearray] = {}
+        full = bytearray(self.bytes)
+        for phrase, start in zip(phrases, self.starts.tolist()):
+            for i, c in enumerate(phrase, start):
+                own = letters.get(c)
+                if own is None:
+                    own = letters[c] = bytearray(self.bytes)
+                own[i >> 3] |= 1 << (i & 7)
+                full[i >> 3] |= 1 << (i & 7)
+        self.where = {c: int.from_bytes(v, "little") for c, v in letters.items()}
+        self.full = int.from_bytes(full, "little")
 
     def common(self, text: str) -> list[int]:
         """Lengths of the longest common subsequences with the text, in one pass over it."""
+        if not self.phrases:
+            return []
         open_bits = self.full
         for c in text:
             letters = self.where.get(c)
             if letters is not None:
                 hit = open_bits & letters
                 open_bits = ((open_bits + hit) | (open_bits - hit)) & self.full
-        return [mask.bit_count() - (open_bits >> at & mask).bit_count() for at, mask in self.spans]
+        bits = np.unpackbits(np.frombuffer(open_bits.to_bytes(self.bytes, "little"), np.uint8), bitorder="little")
+        return (self.sizes - np.add.reduceat(bits, self.starts, dtype=np.int64)).tolist()
 
     def best(self, text: str, least: float) -> tuple[int, float] | None:
         """The phrase with the greatest partial ratio of ``least`` or more, the first of equals.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from chronolane.functions import fuzzy, text
+from chronolane.functions import text
 from chronolane.operators import catalog, privacy, temporal
 
 from .bind import OBS, common_sql, observations, partial_sql, query, table
@@ -109,12 +109,9 @@ def fuzzy_catalog_match(spark, sf_dir):
     """Noisy part names against the distinct names, case folded: best entry of at least 70, whole scores, and its lead."""
     names = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("name")).agg(F.min("p_partkey").alias("entry_id"))
     noisy = names.select(F.col("entry_id").alias("asked"), F.concat(F.substring("name", 1, 3), F.lit(" x"), F.expr("substring(name, 4)")).alias("text"))
-    # Every text meets every name, in blocks of both: the runner-up may begin with any letter.
-    pairs = noisy.crossJoin(names)
-    ratio = fuzzy.ratio(text.casefold(text.squeezed(F.col("text"))), text.casefold(F.col("name")))
-    scored = pairs.select("asked", "entry_id", ratio.alias("score")).where("score >= 70")
+    folded = noisy.select("asked", text.casefold(text.squeezed(F.col("text"))).alias("text"))
+    best = catalog.match(folded, names.select("entry_id", text.casefold(F.col("name")).alias("alias")), 70)
     # The exact ratio ranks; whole scores are what is told.
-    best = catalog.top_and_margin(scored, ["asked"])
     return best.select("asked", "entry_id", F.bround("score").alias("score"), (F.bround("score") - F.bround(F.col("score") - F.col("margin"))).alias("margin"))
 
 

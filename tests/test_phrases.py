@@ -50,3 +50,29 @@ def test_best_template_without_templates(spark):
     none = spark.createDataFrame([], "template_id string, ord int, tail string")
     row = privacy.best_template(spark.createDataFrame([("x",)], "t string"), "t", none).first()
     assert row["hit"] is None
+
+
+def test_match_equals_all_pairs(spark, monkeypatch):
+    from chronolane.operators import catalog
+
+    monkeypatch.setattr(catalog, "ASKED", 7)
+    monkeypatch.setattr(catalog, "LISTED", 11)
+    rnd = random.Random(4)
+    word = lambda: "".join(rnd.choice("etaoins ") for _ in range(rnd.randint(1, 30)))
+    names = [(rnd.randrange(40), word()) for _ in range(60)] + [(90, ""), (91, "long " * 40)]
+    asked = [(i, n[1][:2] + rnd.choice(["", "x", " ab"]) + n[1][2:]) for i, n in enumerate(names)] + [(100, ""), (101, "q" * 300), (102, names[3][1])]
+    want = {}
+    for i, t in asked:
+        best = {}
+        for entry, alias in names:
+            ratio = fuzzy.ratio_of(t, alias)
+            if ratio >= 70:
+                best[entry] = max(best.get(entry, 0), ratio)
+        order = sorted(best.items(), key=lambda kv: (-kv[1], kv[0]))
+        if order:
+            want[i] = (order[0][0], order[0][1], order[0][1] - order[1][1] if len(order) > 1 else None)
+    df = catalog.match(spark.createDataFrame(asked, "asked int, text string"), spark.createDataFrame(names, "entry_id int, alias string"))
+    assert {r["asked"]: (r["entry_id"], r["score"], r["margin"]) for r in df.collect()} == want
+    assert "CartesianProduct" not in df._jdf.queryExecution().toString() and "BroadcastNestedLoopJoin" not in df._jdf.queryExecution().toString()
+    none = spark.createDataFrame([], "entry_id int, alias string")
+    assert catalog.match(spark.createDataFrame(asked, "asked int, text string"), none).count() == 0
