@@ -1,4 +1,4 @@
-"""Command line over the named API: rows as JSON lines on standard output.
+"""Command line over the named API: rows as JSON lines on standard output, or as a text table with ``--table``.
 
     python -m chronolane query LOGS --at 1:02:03 [--show state|fresh|lanes]
     python -m chronolane intervals|summary LOGS [--actions ACTIONS.json] [--templates TEMPLATES.json] [--raw]
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from chronolane import api
 from chronolane.functions.clock import parsed
+from chronolane.functions.text import aligned
 from chronolane.operators import privacy
 
 ACTIONS = "alias string, color string, labels array<string>"
@@ -32,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("query", "intervals", "summary", "frames", "inventory", "search", "screen", "catalog"):
         own = commands.add_parser(name)
         own.add_argument("entries" if name == "catalog" else "logs")
+        own.add_argument("--table", action="store_true", help="aligned columns instead of JSON lines")
         if name == "search":
             own.add_argument("words")
         if name == "query":
@@ -88,8 +90,15 @@ def run(spark: SparkSession, args: argparse.Namespace) -> DataFrame:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("chronolane").getOrCreate()
-    found = 0
-    for row in run(spark, args).toJSON().toLocalIterator():
+    found, rows = 0, run(spark, args)
+    if args.table:
+        flat = rows.select(*[F.to_json(c).alias(c) if t.startswith(("struct", "array", "map")) else F.col(c) for c, t in rows.dtypes])
+        head, rule, lines = aligned(flat, flat.columns)
+        print(head, rule, sep="\n")
+        printed = (r[0] for r in lines.select("line").toLocalIterator())
+    else:
+        printed = rows.toJSON().toLocalIterator()
+    for row in printed:
         print(row)
         found += 1
     return int(args.command == "screen" and found > 0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,3 +46,15 @@ def titled(name: Column) -> Column:
     """Underscores as blanks, each word with a capital, its tail as it was."""
     words = F.split(F.replace(name, F.lit("_"), F.lit(" ")), " ")
     return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1_000_000))), " ")
+
+
+def aligned(rows: DataFrame, columns: list[str]) -> tuple[str, str, DataFrame]:
+    """A text table: header, rule, and ``rows`` with ``line``, cells left-justified under their headers, two blanks apart.
+
+    Nulls are empty cells. Widths are one aggregate over all rows; the driver gets those alone.
+    """
+    cells = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns}
+    found = rows.agg(*[F.max(F.length(x)).alias(c) for c, x in cells.items()]).first()
+    widths = {c: max(len(c), found[c] or 0) for c in columns}
+    line = F.rtrim(F.concat_ws("  ", *[F.rpad(x, widths[c], " ") for c, x in cells.items()]))
+    return "  ".join(c.ljust(n) for c, n in widths.items()).rstrip(), "  ".join("─" * n for n in widths.values()), rows.withColumn("line", line)

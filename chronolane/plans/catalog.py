@@ -160,6 +160,13 @@ def str_fold(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.folded("text").alias("plain"))
 
 
+@query("""WITH w AS (SELECT CAST(greatest(9, MAX(length(CAST(c_custkey AS VARCHAR)))) AS INT) AS a, CAST(greatest(6, MAX(length(c_name))) AS INT) AS b, CAST(greatest(12, MAX(length(c_mktsegment))) AS INT) AS c FROM customer)
+SELECT c_custkey, rtrim(rpad(CAST(c_custkey AS VARCHAR), a, ' ') || '  ' || rpad(c_name, b, ' ') || '  ' || rpad(c_mktsegment, c, ' ')) AS line FROM customer, w""")
+def text_table(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    return text.aligned(rows, rows.columns)[2].select("c_custkey", "line")
+
+
 @query("SELECT p_partkey, list_aggregate(list_transform(string_split(replace(p_name || '_of the_' || p_type, '_', ' '), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ') AS title FROM part")
 def str_titlecase(spark, sf_dir):
     name = F.concat(F.col("p_name"), F.lit("_of the_"), F.col("p_type"))

@@ -92,6 +92,8 @@ def test_command_line(log, tmp_path, capsys):
     (tmp_path / "entries.json").write_text('[{"name": "b", "type": "x"}, {"name": "a", "type": "x"}]')
     assert main(["catalog", str(tmp_path / "entries.json")]) == 0
     assert [json.loads(x)["name"] for x in capsys.readouterr().out.splitlines()] == ["a", "b"]
+    assert main(["catalog", str(tmp_path / "entries.json"), "--table"]) == 0
+    assert capsys.readouterr().out.splitlines() == ["name  type", "────  ────", "a     x", "b     x"]
     with pytest.raises(SystemExit):
         parser().parse_args(["nothing"])
 
