@@ -46,20 +46,21 @@ def encode_timed(shown: DataFrame, lane: list[str], width: int | None = None) ->
 
 
 def encode_changes(changes: DataFrame, closes: DataFrame, lane: list[str], width: int | None = None) -> DataFrame:
-    """The same from change points only: (log_id, lane, t_us, shown, v), each holding until the lane's next one.
+    """The same from change points only: (log_id, lane, t_us, pos, shown, v), each holding until the lane's next one by (t_us, pos).
 
     ``closes``: (log_id, close_us), when a log's last runs end. The rows are as many
     as changes, not frames times lanes.
     """
+    at = F.struct(TIME, POS)
     if width is None:
-        w = Window.partitionBy(LOG, *lane).orderBy(TIME)
+        w = Window.partitionBy(LOG, *lane).orderBy(TIME, POS)
         timed = changes.withColumns({"nxt": F.lead(TIME).over(w), "_isl": F.sum(F.when(F.col("shown"), 0).otherwise(1)).over(w)})
         held = timed.where("shown").join(closes, LOG).withColumn("nxt", F.coalesce("nxt", "close_us"))
-        return _filled(_spans(held, lane, F.col(TIME).alias("_first"), F.col("_isl")), [LOG, *lane])
-    timed = scan.along(changes, [LOG, *lane], [TIME], width, _after=scan.following(TIME), _before=scan.previous(TIME)).where("shown")
+        return _filled(_spans(held, lane, at.alias("_first"), F.col("_isl")), [LOG, *lane])
+    timed = scan.along(changes, [LOG, *lane], [TIME, POS], width, _after=scan.following(TIME), _before=scan.previous(TIME, POS)).where("shown")
     held = timed.join(closes, LOG).withColumn("nxt", F.coalesce(f"_after.{TIME}", "close_us"))
     # A row that is not shown stands between two that are.
-    return _encoded(held.withColumns({"_first": F.col(TIME), "_prior": F.col(f"_before.{TIME}")}), lane, width)
+    return _encoded(held.withColumns({"_first": at, "_prior": F.col("_before")}), lane, width)
 
 
 def _spans(rows: DataFrame, lane: list[str], *more: Column) -> DataFrame:

@@ -95,3 +95,17 @@ def test_one_long_log_is_many_tasks(spark, sf_dir):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert len(plain) == 1 and len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < whole / 2
+
+
+@pytest.mark.parametrize("width", [None, 30])
+def test_views_of_frames_at_one_time_equal_those_of_all_frames(spark, width):
+    from chronolane.plans.temporal import lanes as L
+
+    obs = log(spark, 5, n=200)
+    last = obs.agg(F.max("t_us")).first()[0]
+    # Frames at one time, the last of each log among them, and frames of two rows that lie between each other.
+    obs = obs.withColumn("t_us", F.when(F.col("pos") >= 195, last).otherwise(F.floor(F.col("t_us") / 10) * 10)).withColumn("frame", F.when(F.col("pos") % 5 == 2, F.col("pos") - 2).otherwise(F.col("pos")))
+    grid = temporal.frames(obs)
+    dense = runs.encode_runs(grid, L.unpivot(grid, temporal.carry_forward(obs, KEY), "view", L.PROJECTORS), ["lane", "col"])
+    columns = ["log_id", "lane", "col", "start_us", "end_us", "v"]
+    same(lane_runs(spark, "", obs, width).select(*columns), dense.select(*columns))
