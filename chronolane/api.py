@@ -87,8 +87,7 @@ def screen(log: DataFrame, templates: DataFrame) -> DataFrame:
 
 def frame_view(log: DataFrame) -> DataFrame:
     """One nested record a frame."""
-    state = temporal.carry_forward(log, wire.KEYS)
-    return lanes.frame_records(state.withColumn("col", F.array_join("key", "/")))
+    return lanes.frame_records(temporal.states(log, wire.KEYS), lambda h: F.array_join(h["key"], "/"))
 
 
 def interval_view(log: DataFrame, actions: DataFrame) -> DataFrame:

@@ -46,14 +46,8 @@ held AS (SELECT *, last_value(CASE WHEN hit IS NOT NULL THEN {{'t': ht, 'v': hv}
 SELECT log_id, frame, col, h.t AS since_us, h.v AS v FROM held WHERE h.v IS NOT NULL""")
 def carry_forward_state(spark, sf_dir):
     obs = observations(spark, sf_dir)
-    only = obs.withColumn("v", F.when(F.col("signal") == "purchase", F.col("v")))
-    bought = obs.where("signal = 'purchase'")
-    width = scan.width(obs)
-    grid = temporal.frames(only, width)
-    rows = bought.select("log_id", "frame", "col", F.struct(F.col("t_us").alias("since_us"), "v").alias("row"))
-    dense = grid.join(bought.select("log_id", "col").distinct(), "log_id").join(rows, ["log_id", "frame", "col"], "left")
-    held = scan.along(dense, ["log_id", "col"], ["fo"], width, h=scan.carried(F.col("row")))
-    return held.where("h.v is not null").select("log_id", "frame", "col", "h.since_us", "h.v")
+    held = temporal.states(obs, ["col"], scan.width(obs), F.col("signal") == "purchase")
+    return held.select("log_id", "frame", F.inline("held")).select("log_id", "frame", "col", "since_us", "v")
 
 
 @query(f"""WITH {OBS}, c AS (SELECT * FROM obs WHERE signal = 'click'), r AS (SELECT * FROM obs WHERE signal = 'view')
@@ -175,14 +169,14 @@ def interval_view(spark, sf_dir):
 @query(f"WITH {OBS}, {STATE} SELECT lane, COUNT(*) AS shown, COUNT(v) AS valued, CAST(SUM(v) AS BIGINT) AS total FROM painted GROUP BY lane")
 def lanes_unpivot(spark, sf_dir):
     obs = observations(spark, sf_dir)
-    painted = lanes.unpivot(temporal.frames(obs), temporal.carry_forward(obs, KEY), "view", lanes.PROJECTORS)
+    painted = lanes.unpivot_states(temporal.states(obs, KEY, scan.width(obs)), "view", lanes.PROJECTORS)
     return painted.groupBy("lane").agg(F.count(F.lit(1)).alias("shown"), F.count("v").alias("valued"), F.sum("v").alias("total"))
 
 
 @query(f"WITH {OBS}, {STATE} SELECT log_id, frame, COUNT(*) AS n_held, COUNT(*) FILTER (since_us < t_us) AS n_carried, CAST(SUM(v) AS BIGINT) AS total FROM state GROUP BY log_id, frame")
 def frame_view_nested(spark, sf_dir):
     obs = observations(spark, sf_dir)
-    records = lanes.frame_records(temporal.carry_forward(obs, KEY))
+    records = lanes.frame_records(temporal.states(obs, KEY, scan.width(obs)))
     carried = F.filter("held", lambda h: h["observed_us"].isNotNull())
     total = F.aggregate("held", F.lit(0).cast("long"), lambda a, h: a + h["v"])
     return records.select("log_id", "frame", F.size("held").cast("long").alias("n_held"), F.size(carried).cast("long").alias("n_carried"), total.alias("total"))
@@ -246,6 +240,11 @@ def one_log(spark, sf_dir):
     return observations(spark, sf_dir).withColumn("log_id", F.lit(0).cast("long"))
 
 
+def one_width(obs):
+    """A day, or less where a day has more rows than one task should take."""
+    return min(DAY, scan.width(obs) or DAY)
+
+
 @query(f"WITH {ONE}, {EVENT_RUNS} SELECT log_id, col, start_us, end_us, v FROM runs")
 def runs_encode_one_log(spark, sf_dir):
     return event_runs(spark, sf_dir, one_log(spark, sf_dir), DAY)
@@ -258,7 +257,8 @@ def interval_view_one_log(spark, sf_dir):
 
 @query(f"WITH {ONE}, {STATE} SELECT log_id, frame, signal, col, since_us, v FROM state")
 def carry_forward_one_log(spark, sf_dir):
-    return temporal.carry_forward(one_log(spark, sf_dir), KEY, DAY).select("log_id", "frame", "signal", "col", "since_us", "v")
+    obs = one_log(spark, sf_dir)
+    return temporal.carry_forward(obs, KEY, one_width(obs)).select("log_id", "frame", "signal", "col", "since_us", "v")
 
 
 @query(f"""WITH {ONE}, c AS (SELECT * FROM obs WHERE signal = 'click'), r AS (SELECT * FROM obs WHERE signal = 'view'),

@@ -109,3 +109,31 @@ def test_views_of_frames_at_one_time_equal_those_of_all_frames(spark, width):
     dense = runs.encode_runs(grid, L.unpivot(grid, temporal.carry_forward(obs, KEY), "view", L.PROJECTORS), ["lane", "col"])
     columns = ["log_id", "lane", "col", "start_us", "end_us", "v"]
     same(lane_runs(spark, "", obs, width).select(*columns), dense.select(*columns))
+
+
+@pytest.mark.parametrize("width", [None, 30])
+def test_state_of_every_frame_equals_a_loop_and_is_not_shuffled(spark, width, monkeypatch):
+    from chronolane.plans.temporal import lanes as L
+
+    obs = log(spark, 7, n=150).withColumn("frame", F.when(F.col("pos") % 5 == 2, F.col("pos") - 2).otherwise(F.col("pos"))).cache()
+    rows = obs.collect()
+    first = {}
+    for r in rows:
+        f = (r.log_id, r.frame, r.t_us)
+        first[f] = min(first.get(f, r.pos), r.pos)
+    state, want, count = {}, {}, {}
+    for r in sorted(rows, key=lambda r: (r.log_id, r.t_us, first[r.log_id, r.frame, r.t_us], r.pos)):
+        f = (r.log_id, r.frame, r.t_us)
+        if f not in want:
+            count[r.log_id] = count.get(r.log_id, 0) + 1
+        state[r.log_id, r.signal, r.col] = (r.t_us, r.v)
+        want[f] = (count[r.log_id], [(s, c, t, v) for (log_id, s, c), (t, v) in state.items() if log_id == r.log_id and v is not None])
+    held = temporal.carry_forward(obs, KEY, width)
+    assert sorted(map(tuple, held.collect())) == sorted((*f, fo, *h) for f, (fo, hs) in want.items() for h in hs)
+    states = temporal.states(obs, KEY, width)
+    got = {(r.log_id, r.fo, r.lane, r.col, r.v) for r in L.unpivot_states(states, "view", L.PROJECTORS).collect()}
+    grid = temporal.frames(obs)
+    assert got == {tuple(r) for r in L.unpivot(grid, held, "view", L.PROJECTORS).collect()}
+    for df in (temporal.carry_forward(obs, KEY, width), L.frame_records(states), L.unpivot_states(states, "view", L.PROJECTORS)):
+        behind = df._jdf.queryExecution().executedPlan().toString().split("MapInArrow")
+        assert len(behind) == 2 and "Exchange" not in behind[0]
