@@ -160,11 +160,19 @@ def geo_end_centers(spark, sf_dir):
 @query("""WITH r AS (SELECT DISTINCT l_orderkey, l_partkey AS y FROM lineitem), g AS (SELECT *, CASE WHEN y - LAG(y) OVER (PARTITION BY l_orderkey ORDER BY y) <= 200 THEN 0 ELSE 1 END AS nw FROM r),
 c AS (SELECT *, SUM(nw) OVER (PARTITION BY l_orderkey ORDER BY y) AS grp FROM g) SELECT l_orderkey, grp, CAST(SUM(y) // COUNT(*) AS BIGINT) AS y FROM c GROUP BY l_orderkey, grp""")
 def cluster_gap_mean(spark, sf_dir):
+    # One shuffle and one sort; all else are windows in that order, so that a task keeps an order's rows and no table of groups.
     w = Window.partitionBy("l_orderkey").orderBy("y")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("y")).distinct()
-    near = F.col("y") - F.lag("y").over(w) <= 200
-    grouped = rows.withColumn("nw", F.when(near, 0).otherwise(1)).withColumn("grp", F.sum("nw").over(w))
-    return grouped.groupBy("l_orderkey", "grp").agg(F.expr("sum(y) DIV count(1)").alias("y"))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("y"))
+    before = F.struct(F.lag("y").over(w).alias("y"), F.lag(F.lit(True)).over(w).alias("is"))
+    once = rows.withColumn("_b", before).where(F.col("_b.is").isNull() | ~F.col("y").eqNullSafe(F.col("_b.y")))
+    near = F.when(F.col("y") - F.col("_b.y") <= 200, 0).otherwise(1)
+    summed = once.select("l_orderkey", "y", near.alias("nw")).withColumns(
+        {"grp": F.sum("nw").over(upto), "_n": F.count(F.lit(1)).over(upto), "_sum": F.sum("y").over(upto), "_then": F.lead("nw").over(w)}
+    )
+    ends = summed.where("coalesce(_then, 1) = 1")
+    own = [F.col(c) - F.coalesce(F.lag(c).over(w), F.lit(0)) for c in ("_sum", "_n")]
+    return ends.select("l_orderkey", "grp", own[0].alias("_sum"), own[1].alias("_n")).select("l_orderkey", "grp", F.expr("_sum DIV _n").alias("y"))
 
 
 @query("""WITH r AS (SELECT DISTINCT l_orderkey, l_partkey AS y FROM lineitem), g AS (SELECT *, y - LAG(y) OVER (PARTITION BY l_orderkey ORDER BY y) > 400 AS far FROM r),

@@ -137,3 +137,13 @@ def test_state_of_every_frame_equals_a_loop_and_is_not_shuffled(spark, width, mo
     for df in (temporal.carry_forward(obs, KEY, width), L.frame_records(states), L.unpivot_states(states, "view", L.PROJECTORS)):
         behind = df._jdf.queryExecution().executedPlan().toString().split("MapInArrow")
         assert len(behind) == 2 and "Exchange" not in behind[0]
+
+
+def test_patches_and_gap_means_need_one_shuffle(spark, tmp_path):
+    from chronolane.plans import rules, summary
+
+    spark.createDataFrame([(1, y) for y in (5, 5, 100, 301, 700, 801)] + [(2, 9)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = summary.cluster_gap_mean(spark, str(tmp_path))
+    plans = [got._jdf.queryExecution().executedPlan().toString(), rules.patch_apply(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()]
+    assert [p.count("Exchange hash") + p.count("Exchange range") for p in plans] == [1, 1] and "Aggregate" not in plans[0] and "Join" not in plans[1]
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 52), (1, 2, 301), (1, 3, 750), (2, 1, 9)]
