@@ -277,7 +277,7 @@ SELECT 'log-' || log_id AS log_id, '{{"log_version":1}}' AS first, frame AS seco
 def src_edge_lines(spark, sf_dir):
     where = _folder(spark)
     jsonl.write_logs(_wire(spark, sf_dir), where)
-    edges = jsonl.edge_lines(jsonl.read_lines(spark, where))
+    edges = jsonl.read_edges(spark, where)
     return edges.select(
         F.regexp_extract("file", r"log_id=([^/]*)/", 1).alias("log_id"),
         "first",

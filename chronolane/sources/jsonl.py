@@ -6,6 +6,9 @@ its format version; a line without one is an observation.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,16 +70,20 @@ def path_of(file: Column) -> Column:
     return F.regexp_replace(plain, "^file:/+", "file:/")
 
 
+def _seen(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    raw = spark.read.option("recursiveFileLookup", True).text(path)
+    return raw.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), "value"
+    ).where(F.trim("value") != "")
+
+
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, pos, value, kind, parsed): the lines of all logs under ``path`` that are not blank, in order.
 
     A gzip file is read by one task, so ids rise along the file; plain files are
     ordered by the offset of their split first.
     """
-    raw = spark.read.option("recursiveFileLookup", True).text(path)
-    seen = raw.select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"), "value"
-    ).where(F.trim("value") != "")
+    seen = _seen(spark, path)
     pos = F.row_number().over(Window.partitionBy("file").orderBy("_at", "_id")) - 1
     parsed = F.from_json("value", WIRE)
     return seen.select("file", pos.cast("long").alias(POS), "value", parsed.alias("parsed")).withColumn("kind", line_kind(F.col("parsed")))
@@ -118,6 +125,33 @@ def edge_lines(lines: DataFrame) -> DataFrame:
     )
 
 
+def read_edges(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """``edge_lines`` of all logs under ``path``: each task keeps the first and the last two lines of what it reads of a file, and only those are sorted."""
+    kept = _seen(spark, path).mapInArrow(_edges, "file string, _at long, _id long, value string")
+    pos = F.row_number().over(Window.partitionBy("file").orderBy("_at", "_id"))
+    return edge_lines(kept.select("file", pos.alias(POS), "value"))
+
+
+def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task reads a split's lines in order, one split after the other."""
+    split, held = None, None
+    for batch in batches:
+        own = list(zip(batch["file"].to_pylist(), batch["_at"].to_pylist()))
+        cuts = [0, *(i for i in range(1, len(own)) if own[i] != own[i - 1]), len(own)]
+        for start, stop in zip(cuts, cuts[1:]):
+            if start == stop:
+                continue
+            part = pa.Table.from_batches([batch.slice(start, stop - start)])
+            if split == own[start]:
+                part = pa.concat_tables([held, part])
+            elif held is not None:
+                yield from held.to_batches()
+            n = part.num_rows
+            split, held = own[start], part.take(sorted({0, max(0, n - 2), n - 1}))
+    if held is not None:
+        yield from held.to_batches()
+
+
 def changed(now: DataFrame, known: DataFrame) -> DataFrame:
     """Files that are new or have another time or size than ``known`` has."""
     return now.join(known, ["name", "modified", "size"], "left_anti")

@@ -104,3 +104,19 @@ def test_growing_files_are_read_once(spark, tmp_path):
     assert seen == [[1], [1, 2, 3], [1, 2, 3, 4], [1, 2, 3, 4], [1, 2, 3, 4, *range(10, 60)]]
     rows = spark.read.parquet(str(tmp_path / "out")).where("frame = 3").collect()
     assert [(r["pos"], r["t_us"]) for r in rows] == [(len('{"log_version":1}\n' + line(1) + line(2)), 300_000)]
+
+
+def test_edges_of_files_are_those_of_all_their_lines_and_only_they_are_sorted(spark, tmp_path):
+    from chronolane.sources import jsonl
+
+    for name, n in (("a", 1), ("b", 2), ("c", 3), ("d", 500)):
+        (tmp_path / f"{name}.jsonl").write_text("\n\n".join(f'{{"f":{i}}}' for i in range(n)) + "\n \n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        edges = jsonl.read_edges(spark, str(tmp_path))
+        want = jsonl.edge_lines(jsonl.read_lines(spark, str(tmp_path)))
+        assert sorted(map(repr, edges.collect())) == sorted(map(repr, want.collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    first = edges._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert [x for x in first if "MapInArrow" in x or "Window" in x][-1].strip().find("MapInArrow") >= 0
