@@ -85,6 +85,9 @@ def visible(layers: DataFrame, by: list[str]) -> DataFrame:
                     open_runs.clear()
                 upto(start)
                 now = start
+                # What ends no later than a run that started after it never shows again.
+                while open_runs and open_runs[-1][0] <= end:
+                    open_runs.pop()
                 open_runs.append((end, v))
             if out:
                 yield table()

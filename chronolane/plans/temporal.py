@@ -192,8 +192,8 @@ def interval_stab(spark, sf_dir):
 LONGER = f"longer AS (SELECT log_id, col, start_us, start_us + (v + 1) * {HOUR} AS end_us, v FROM runs WHERE v IS NOT NULL)"
 
 
-def longer_runs(spark, sf_dir, obs=None):
-    found = event_runs(spark, sf_dir, obs).where("v is not null")
+def longer_runs(spark, sf_dir, obs=None, width=None):
+    found = event_runs(spark, sf_dir, obs, width).where("v is not null")
     return found.withColumn("end_us", F.col("start_us") + (F.col("v") + 1) * HOUR)
 
 
@@ -221,7 +221,8 @@ SELECT s.log_id, l.col AS layer, from_us, to_us, arg_max(l.v, (l.start_us, l.v))
 WHERE to_us IS NOT NULL GROUP BY ALL""")
 def interval_overlay(spark, sf_dir):
     obs = observations(spark, sf_dir)
-    return intervals.overlay(longer_runs(spark, sf_dir, obs).withColumnRenamed("col", "layer"), ["log_id"], scan.width(obs))
+    width = scan.width(obs)
+    return intervals.overlay(longer_runs(spark, sf_dir, obs, width).withColumnRenamed("col", "layer"), ["log_id"], width)
 
 
 @query(f"""WITH {OBS}, s AS (SELECT *, MIN(t_us) OVER (PARTITION BY log_id) AS t0 FROM obs),
@@ -277,5 +278,6 @@ s AS (SELECT log_id, t AS from_us, LEAD(t) OVER (PARTITION BY log_id ORDER BY t)
 SELECT s.log_id, l.col AS layer, from_us, to_us, arg_max(l.v, (l.start_us, l.v)) AS v FROM s JOIN longer l ON l.log_id = s.log_id AND l.start_us <= from_us AND to_us <= l.end_us
 WHERE to_us IS NOT NULL GROUP BY ALL""")
 def interval_overlay_one_log(spark, sf_dir):
-    layers = longer_runs(spark, sf_dir, one_log(spark, sf_dir)).withColumnRenamed("col", "layer")
-    return intervals.overlay(layers, ["log_id"], DAY)
+    obs = one_log(spark, sf_dir)
+    width = one_width(obs)
+    return intervals.overlay(longer_runs(spark, sf_dir, obs, width).withColumnRenamed("col", "layer"), ["log_id"], width)

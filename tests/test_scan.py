@@ -147,3 +147,12 @@ def test_patches_and_gap_means_need_one_shuffle(spark, tmp_path):
     plans = [got._jdf.queryExecution().executedPlan().toString(), rules.patch_apply(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()]
     assert [p.count("Exchange hash") + p.count("Exchange range") for p in plans] == [1, 1] and "Aggregate" not in plans[0] and "Join" not in plans[1]
     assert sorted(map(tuple, got.collect())) == [(1, 1, 52), (1, 2, 301), (1, 3, 750), (2, 1, 9)]
+
+
+def test_overlay_of_one_log_makes_its_runs_in_stretches(spark, sf_dir, monkeypatch):
+    from chronolane.plans import temporal as plans
+
+    widths, plain = [], runs.own_frames
+    monkeypatch.setattr(runs, "own_frames", lambda obs, width=None: widths.append(width) or plain(obs, width))
+    plans.interval_overlay_one_log(spark, sf_dir)
+    assert widths and None not in widths
