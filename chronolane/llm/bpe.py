@@ -22,7 +22,7 @@ import hashlib
 import json
 import re
 from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOC_ID, TEXT, texts, utf8
+from .common import DOC_ID, TEXT, lean, texts, utf8
 
 #: Characters: shortest chunk, mask of the rolling hash (a cut each 600 or so), longest chunk, hash window.
 SHORTEST, MASK, LONGEST, WINDOW = 128, 511, 4096, 16
@@ -172,6 +172,17 @@ class Codec:
         place = np.searchsorted(ends, byte)
         return byte == 0 or (place < len(ends) and ends[place] == byte)
 
+    def encode_all(self, texts_: list[str]) -> list[np.ndarray]:
+        """The ids of each text; equal texts are encoded once."""
+        whole: dict[str, np.ndarray] = {}
+        for text in texts_:
+            if text not in whole:
+                whole[text] = self.encode(text)
+        return [whole[text] for text in texts_]
+
+    def forget_chunks(self) -> None:
+        self.kept, self.kept_chars = {}, 0
+
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
@@ -220,23 +231,46 @@ def encode(docs: DataFrame, vocabulary: tuple[str, str, str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(*vocabulary)
         for batch in batches:
-            whole: dict[str, np.ndarray] = {}
-            parts = []
-            for text in batch.column(1).to_pylist():
-                ids = whole.get(text)
-                if ids is None:
-                    ids = whole[text] = own.encode(text)
-                parts.append(ids)
-            offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-            values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=[DOC_ID, "ids"]
-            )
+            parts = own.encode_all(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(parts)], names=[DOC_ID, "ids"])
 
     kind = docs.select(F.col(DOC_ID)).schema[0].dataType.simpleString()
     return routed(docs).mapInArrow(run, f"{DOC_ID} {kind}, ids array<int>")
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    values = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
+def there_and_back(vocabulary: tuple[str, str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What ``encode_and_decode`` does in a task."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = codec(*vocabulary)
+        try:
+            for batch in batches:
+                parts = own.encode_all(batch.column(1).to_pylist())
+                back = [own.decode(ids.tolist()) for ids in parts]
+                yield pa.RecordBatch.from_arrays([batch.column(0), _lists(parts), pa.array(back, pa.string())], names=[DOC_ID, "ids", TEXT])
+        finally:
+            own.forget_chunks()
+
+    return run
+
+
+def encode_and_decode(docs: DataFrame, vocabulary: tuple[str, str, str]) -> DataFrame:
+    """The rows of ``decode(encode(docs))``: doc_id, ids, and the text that the ids spell.
+
+    A task has one worker instead of two, which holds one codec, and no chunks once
+    the task has ended.
+    """
+    kind = docs.select(F.col(DOC_ID)).schema[0].dataType.simpleString()
+    return routed(docs).mapInArrow(there_and_back(vocabulary), f"{DOC_ID} {kind}, ids array<int>, {TEXT} string")
+
+
 def decode(encoded: DataFrame, vocabulary: tuple[str, str, str]) -> DataFrame:
     """``encoded`` with a column text that its column ids spell; a null list of ids gives an empty text."""
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOC_ID, TEXT, texts, utf8, written
+from .common import DOC_ID, TEXT, lean, texts, utf8, written
 from .components import components
 
 #: Bits of the three lanes; their bit counts name a cell.
@@ -233,6 +233,7 @@ def _name(bag: np.ndarray) -> list[int]:
 def _marked(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, size, name, name2, fps): number of distinct shingles, the name of their set, and its wide fingerprint."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             known: dict[str, tuple] = {}
@@ -297,6 +298,7 @@ def _candidates(distinct: DataFrame, similarity: float, radius: int) -> DataFram
     right = right.withColumn("tile", F.explode(upto(F.col("band"))))
     pairs = left.join(right, ["band", "tile", "band2", "tile2"]).where("band <> band2 or tile <= tile2")
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in zip(batch.column(0), batch.column(1)):
@@ -348,6 +350,7 @@ def _alike(bags: DataFrame, similarity: float) -> DataFrame:
     sent = sent.select("root", F.least("tile", "other").alias("tile"), F.greatest("tile", "other").alias("tile2"), (F.col("tile") <= F.col("other")).alias("first"), "sets")
     pairs = sent.groupBy("root", "tile", "tile2").agg(F.first(F.when(F.col("first"), F.col("sets")), True).alias("a"), F.first(F.when(~F.col("first"), F.col("sets")), True).alias("b"))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets(x) -> tuple[np.ndarray, list[np.ndarray]]:
             values = x.values
@@ -390,6 +393,7 @@ def similar_texts(docs: DataFrame, width: int = 5, similarity: float = 0.8, radi
     rooted = groups.union(groups.select(F.col("root").alias("node"), "root").distinct())
     wanted = written(distinct.select("node", "first_id", "name", "name2").join(rooted, "node"))
 
+    @lean
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []

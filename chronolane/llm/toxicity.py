@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import DOC_ID, TEXT, texts, written
+from .common import DOC_ID, TEXT, lean, texts, written
 
 DECAY, SPAN, LEAST = 0.6, 7, 0.3
 #: Letters of a piece of a word; longer words are taken in overlapping pieces.
@@ -246,6 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, label_col: s
     found = texts(docs).join(F.broadcast(known), DOC_ID)
     sample = written(found.groupBy(DOC_ID).agg(F.first("y").alias("y"), F.max_by(TEXT, F.struct(F.length(TEXT), F.xxhash64(TEXT))).alias(TEXT)).select("y", TEXT))
 
+    @lean
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             sets = [words_of(t) for t in pdf[TEXT]]
@@ -271,6 +272,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, label_col: s
     if not landmarks:
         return nothing
 
+    @lean
     def seen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matcher = Matcher(landmarks)
         for pdf in batches:
@@ -290,6 +292,7 @@ def scored(model: ToxicityModel, text: Column) -> Column:
     """The score of a text column, 0 to 1; a null text is read as empty."""
 
     @F.pandas_udf("double")
+    @lean
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         matcher = Matcher(model.landmarks)
         for batch in batches:

@@ -58,7 +58,7 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and a digest of the text that they decode to; null and empty texts have no ids."""
     small_batches(spark)
     words = registry.vocabulary()
-    return bpe.decode(bpe.encode(docs, words), words).select(
+    return bpe.encode_and_decode(docs, words).select(
         DOC_ID,
         F.size("ids").cast("long").alias("n_tokens"),
         "ids",

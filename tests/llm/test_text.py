@@ -1,10 +1,13 @@
 import random
+import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from chronolane.llm import bpe, decontaminate, html_extract, licenses, registry, toxicity, url_filter
+import corpus_pipeline
+from chronolane.llm import bpe, common, decontaminate, html_extract, licenses, registry, toxicity, url_filter
 
 from .helpers import SCHEMA, documents, rows, words
 
@@ -31,6 +34,34 @@ def test_encoding_equals_the_library(spark, tokenizer):
     assert bpe.encode(spark.createDataFrame([], SCHEMA), vocabulary).count() == 0
 
 
+def test_one_pass_encodes_and_decodes(spark):
+    docs, vocabulary = documents(spark), registry.vocabulary()
+    apart, once = bpe.decode(bpe.encode(docs, vocabulary), vocabulary), bpe.encode_and_decode(docs, vocabulary)
+    assert once.columns == apart.columns
+    assert Counter((str(r["doc_id"]), tuple(r["ids"]), r["text"]) for r in rows(once)) == Counter((str(r["doc_id"]), tuple(r["ids"]), r["text"]) for r in rows(apart))
+    assert bpe.encode_and_decode(spark.createDataFrame([], SCHEMA), vocabulary).count() == 0
+
+
+def test_tokens_of_the_pipeline_take_one_worker_in_a_task(spark):
+    docs = documents(spark).select("doc_id", "text", "lang", "source", "n_chars")
+    plan = corpus_pipeline.to_tokens(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    behind_shuffle = plan[: plan.index("Exchange")]
+    assert len(re.findall("MapInArrow|ArrowEvalPython", behind_shuffle)) == 1, plan
+
+
+def test_a_task_hands_back_what_it_held(monkeypatch):
+    handed = []
+    monkeypatch.setattr(common, "hand_back", lambda: handed.append(len(bpe.codec(*vocabulary).kept)))
+    vocabulary, rnd = registry.vocabulary(), random.Random(9)
+    batches = [pa.record_batch([pa.array([i]), pa.array([words(rnd, 900)])], names=["doc_id", "text"]) for i in range(3)]
+    run = bpe.there_and_back(vocabulary)
+    first = next(tasks := run(iter(batches)))
+    assert first.column(2).to_pylist() == batches[0].column(1).to_pylist() and bpe.codec(*vocabulary).kept
+    tasks.close()  # a task that ends early
+    assert handed == [0]
+    assert sum(b.num_rows for b in run(iter(batches))) == 3 and handed == [0, 0]
+
+
 def test_chunks_move_with_the_content():
     rnd = random.Random(5)
     text = words(rnd, 6000)
